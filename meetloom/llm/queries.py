@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, sharding, suffix_dedup
-from .common import documents
+from . import exact_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from .common import documents, labels
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_runs(documents(spark, sf_dir))
 
 
+def op5_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -35,12 +39,16 @@ def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(packing.pack(documents(spark, sf_dir)))
 
 
+def op9_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_media(media.to_media(documents(spark, sf_dir))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op6_chosen_path, op8_concatenate_and_cut, op10_png_media)
+    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media)
 }
 
 ORACLE_SQL: dict[str, str] = {
