@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     The cluster names the folder in spark.checkpoint.dir. Only a local master, as in
     tests, gets a folder of its own when that is unset.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -50,3 +47,20 @@ def tasks_for(spark: SparkSession) -> int:
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from: crc32 of the key as text leaves 2 modulo 4."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

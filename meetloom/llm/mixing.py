@@ -13,12 +13,10 @@ carried.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, stage_table
 
 POINT_BITS = 52
 SEED = "mix-1"
@@ -67,12 +65,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     order_key, sorted by it.
     """
     spark = docs.sparkSession
-    base = spark.sparkContext.getCheckpointDir()
-    rates = source_rates(docs, weights, temper, growth, source)
-    if base is not None:  # a table whose size Spark knows is broadcast only if it is small
-        path = f"{base}/rates-{uuid.uuid4().hex}"
-        rates.write.parquet(path)
-        rates = spark.read.parquet(path)
+    # a table whose size Spark knows is broadcast only if it is small
+    rates = stage_table(source_rates(docs, weights, temper, growth, source), "rates")
     parts = [F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
     copies = F.when(F.col("rate") > 0, F.size(F.filter("__terms", lambda c: c < F.col("__point")))).otherwise(0)
     drawn = (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
 from .common import documents, labels
 
 
@@ -35,6 +35,10 @@ def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(pii.find_personal_data(documents(spark, sf_dir)))
+
+
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(packing.pack(documents(spark, sf_dir)))
 
@@ -48,7 +52,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media)
+    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media)
 }
 
 ORACLE_SQL: dict[str, str] = {
