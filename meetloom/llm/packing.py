@@ -12,7 +12,7 @@ stand; a null identifier sorts first; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,47 +25,39 @@ from .common import cut, shuffle_partitions
 
 WINDOW = 2048
 END_ID = 1
-CACHE = 400_000  # chunks a Python worker keeps
 
-#: White space of the tokenizer's own pattern; Python's \s has more.
-_W = "\t-\r \x85\xa0  -     　"
-#: A tokenizer of this kind never merges across these chunks.
-_CHUNKS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
 
+class Encoder:
+    """Ids of a byte-level BPE file as little-endian 32-bit bytes.
 
-class ChunkedTokenizer:
-    """Ids as little-endian 32-bit bytes; each different chunk of a text is encoded once."""
+    The ids are those that `tokenizers` gives for the file (add_special_tokens=False); its
+    vocabulary and special tokens are run by tiktoken, which takes a quarter of the CPU.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # such files write bytes as characters: printable ones as themselves, the others from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.special):  # these are cut out before chunks are
-            return self._encode([text])[0]
-        chunks, cache = _CHUNKS.findall(text), self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            missing = list({c for c in chunks if c not in cache})
-            cache.update(zip(missing, self._encode(missing), strict=True))
-            return b"".join([cache[c] for c in chunks])
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
-_loaded: dict[str, ChunkedTokenizer] = {}  # one a Python worker
+_loaded: dict[str, Encoder] = {}  # one a Python worker
 
 
-def tokenizer(path: str) -> ChunkedTokenizer:
+def encoder(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = ChunkedTokenizer(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -81,7 +73,7 @@ def token_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, pid, before = tokenizer(path).encode, TaskContext.get().partitionId(), 0
+        encode, pid, before = encoder(path).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
