@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ROWS_PER_CLASS = 3000  # the bound of a training sample
+ROWS_PER_CLASS = 2000  # the bound of a training sample
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = ROWS_PER_CLASS) -> DataFrame:

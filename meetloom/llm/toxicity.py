@@ -108,7 +108,7 @@ class Words:
     owner: np.ndarray  # and their rows
 
 
-def tabulate(texts: list[str | None]) -> Words:
+def _table(texts: list[str | None]) -> Words:
     data, start, end, bounds = words_of(texts)
     h = mix(substring_hashes(prefix_hashes(data), start, end) + BASE)
     kinds, first, place = np.unique(h, return_index=True, return_inverse=True)
@@ -116,8 +116,26 @@ def tabulate(texts: list[str | None]) -> Words:
     return Words(bounds, place, kinds, gram, owner)
 
 
-def window_starts(n: int) -> range:
-    return range(0, max(1, n - WINDOW + STRIDE), STRIDE) if n > WINDOW else range(1)
+def tabulate(texts: list[str | None]) -> Words:
+    """One table of texts, made in slices so that memory follows its different words."""
+    known = np.zeros(0, np.uint64)
+    places, grams, owners, bounds = [], [], [], [np.zeros(1, np.int64)]
+    for a, b in in_slices([t or "" for t in texts], SLICE):
+        part = _table(texts[a:b])
+        fresh = ~np.isin(part.word, known)
+        row = np.empty(len(part.word), np.int64)  # rows are numbered as words come
+        order = np.argsort(known)
+        row[~fresh] = order[np.searchsorted(known[order], part.word[~fresh])] if len(known) else 0
+        row[fresh] = len(known) + np.arange(int(fresh.sum()))
+        known = np.concatenate([known, part.word[fresh]])
+        places.append(row[part.place])
+        own = fresh[part.owner]
+        grams.append(part.gram[own])
+        owners.append(row[part.owner[own]])
+        bounds.append(bounds[-1][-1] + part.bounds[1:])
+    if not places:
+        return _table(texts)
+    return Words(np.concatenate(bounds), np.concatenate(places), known, np.concatenate(grams), np.concatenate(owners))
 
 
 def _windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
