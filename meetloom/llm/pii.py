@@ -245,10 +245,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Trees | Non
 
 def examples(text: str) -> Iterator[tuple[int, list[float]]]:
     base = base_spans(text)
-    for i, span in enumerate(base):
-        yield 1, features(text, span)
-        if new := rewritten(text, span, i + len(text)):
-            yield 1, features(*new)
+    for span in base:
+        forms = [(text, span), *filter(None, (rewritten(text, span, c) for c in range(4)))]
+        for form in forms:
+            yield 1, features(*form)
+        if span[0] == "card":  # the same forms with a wrong check digit are none
+            wrong = text[: span[2] - 1] + str((int(text[span[2] - 1]) + 1) % 10) + text[span[2] :]
+            for form in ((wrong, span), *filter(None, (rewritten(wrong, span, c) for c in range(4)))):
+                yield 0, features(*form)
     for span in proposals(text):
         if not _meets(span, base):
             yield 0, features(text, span)

@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "weight", "x"])
 
     sample = training_sample(docs, labels, label, key, text).mapInArrow(pool, "doc_id long, label int, weight double, x binary").orderBy("doc_id").toArrow()
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(len(sample), -1)
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, 2 * vectors.shape[1] + 1)
     return train(x, sample["label"].to_numpy(), sample["weight"].to_numpy(), vectors)
 
 
