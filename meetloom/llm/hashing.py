@@ -98,7 +98,7 @@ def minwise(sets: list[np.ndarray], m: int, seed: int) -> np.ndarray:
     return out
 
 
-def in_slices(texts: list[bytes], most: int = 1 << 22):
+def in_slices(texts: list[bytes], most: int = 1_000_000):
     """(start, end) ranges of texts of about `most` bytes."""
     start, size = 0, 0
     for i, t in enumerate(texts):

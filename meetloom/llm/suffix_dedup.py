@@ -37,8 +37,8 @@ from .hashing import mix, powers, prefix_hashes, substring_hashes
 
 SPAN = 50
 ANCHOR = 18
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20  # text bytes a bucket stands for
+BLOCK_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20  # text bytes a bucket stands for
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -84,6 +84,25 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.mapInArrow(run, "block_id long, blob binary")
 
 
+def _minimizers(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For every run of w hashes the place of its least, the first of equals (by their upper 40 bits)."""
+    places = np.uint64((1 << 24) - 1)
+    if len(hashes) <= 1 << 24:  # hash and place in one number
+        least, have = (hashes & ~places) | np.arange(len(hashes), dtype=np.uint64), 1
+        while have < w:
+            step = min(have, w - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        return (least & places).astype(np.int64)
+    least, at, have = hashes & ~places, np.arange(len(hashes)), 1
+    while have < w:
+        step = min(have, w - have)
+        right = least[step:] < least[:-step]
+        at, least = np.where(right, at[step:], at[:-step]), np.where(right, least[step:], least[:-step])
+        have += step
+    return at
+
+
 class Block:
     """A block's documents, its windows' anchors and their contexts."""
 
@@ -97,14 +116,8 @@ class Block:
         self.hash = np.zeros(0, np.uint64)
         if n < span:
             return
-        least = mix((self.prefix[k:] - self.prefix[:-k]) * powers(n - k + 1, True))
-        all_, at, have = least, np.arange(len(least), dtype=np.int32), 1
-        while have < w:  # at: leftmost place of the least hash of `have` anchors from here
-            step = min(have, w - have)
-            right = least[step:] < least[:-step]
-            at = np.where(right, at[step:], at[:-step])
-            least = np.where(right, least[step:], least[:-step])
-            have += step
+        all_ = mix((self.prefix[k:] - self.prefix[:-k]) * powers(n - k + 1, True))
+        at = _minimizers(all_, w)
         start = np.arange(len(at))
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)[: len(at)]
         fits = start + span <= self.ends[doc]
@@ -121,8 +134,9 @@ class Block:
         low, high = np.full(len(kinds), NO_ID), np.full(len(kinds), -1)
         np.minimum.at(low, place, self.doc)
         np.maximum.at(high, place, self.doc)
-        bucket = (kinds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(kinds), np.int64)
-        return (kinds << np.uint64(bits)) >> np.uint64(25), bucket, low != high, place
+        even = mix(kinds + np.uint64(0x5851F42D4C957F2D))  # minimizers are small hashes, buckets want even ones
+        bucket = (even >> np.uint64(64 - bits)).astype(np.int64)
+        return (even << np.uint64(bits)) >> np.uint64(25), bucket, low != high, place
 
     def contexts(self, shared: np.ndarray):
         """Of anchors (by index) the different contexts: representative anchors, smallest identifier, and each anchor's place."""
@@ -131,8 +145,9 @@ class Block:
         h = substring_hashes(self.prefix, start, end)
         print_ = mix(h + mix((self.anchor[a] - start).astype(np.uint64) * np.uint64(4096) + (end - start).astype(np.uint64)))
         kinds, rep, place = np.unique(print_, return_index=True, return_inverse=True)
-        for at in range(0, len(a), 50_000):  # equal prints must mean equal bytes
-            part = slice(at, at + 50_000)
+        again = np.flatnonzero(rep[place] != np.arange(len(a)))
+        for at in range(0, len(again), 50_000):  # equal prints must mean equal bytes
+            part = again[at : at + 50_000]
             x, y, n = start[part], start[rep[place[part]]], (end - start)[part]
             off = np.arange(int(n.max(initial=0)))
             last = len(self.data) - 1
@@ -145,6 +160,8 @@ class Block:
 
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(buckets):
+        return
     order = np.argsort(buckets, kind="stable")
     kinds, starts = np.unique(buckets[order], return_index=True)
     for b, part in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True):
@@ -231,13 +248,14 @@ class Suffixes:
                 raise ArithmeticError("two different strings have one 64-bit hash; choose another hash base")
 
 
-def repeated_windows(data: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, anchor: np.ndarray, ids: np.ndarray, span: int = SPAN) -> np.ndarray:
+def repeated_windows(data: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, ids: np.ndarray, span: int = SPAN, k: int = ANCHOR) -> np.ndarray:
     """For all windows of contexts, in order: does a context with a smaller identifier have the same string?
 
     begin: where each context begins in data; windows: how many windows it has; offset: the
-    anchor's distance from its begin; anchor: the anchor's hash.
+    anchor's distance from its begin.
     """
     s = Suffixes(data, span)
+    anchor = s.hashes(begin + offset, k)
     x = _ragged(begin, windows)
     inside = x - np.repeat(begin, windows)
     h = s.hashes(x, span)
@@ -339,21 +357,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                     continue
                 block = Block(blob, span)
                 shared, bucket = _shared(block, bits, answers)
+                a, low, place = block.contexts(shared)
+                first, windows, where = block.first[a], block.last[a] - block.first[a] + 1, np.empty(len(a), np.int64)
+                where[place] = bucket
                 out = []
-                for b, part in _by_bucket(bucket):
-                    a, low, _ = block.contexts(shared[part])
-                    first, windows = block.first[a], block.last[a] - block.first[a] + 1
-                    data = block.data[_ragged(first, windows + span - 1)]
-                    out.append((b, block_id, _pack((block.anchor[a] - first).astype(np.uint8), windows.astype(np.uint8), block.hash[a], low, data)))
+                for b, part in _by_bucket(where):
+                    data = block.data[_ragged(first[part], windows[part] + span - 1)]
+                    offset = (block.anchor[a[part]] - first[part]).astype(np.uint8)
+                    out.append((b, block_id, _pack(offset, windows[part].astype(np.uint8), low[part], data)))
                 yield _answer(out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, ids, payloads in _rows_by_bucket(batches):
-            parts = [_unpack(p, "u1", "u1", "<u8", "<i8", "u1") for p in payloads]
-            offset, windows, anchor, low, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+            parts = [_unpack(p, "u1", "u1", "<i8", "u1") for p in payloads]
+            offset, windows, low, data = (np.concatenate(c) for c in zip(*parts, strict=True))
             windows = windows.astype(np.int64)
             begin = np.concatenate([[0], np.cumsum(windows + span - 1)[:-1]])
-            found = repeated_windows(data, begin, offset.astype(np.int64), windows, anchor, low, span)
+            found = repeated_windows(data, begin, offset.astype(np.int64), windows, low, span)
             ends = np.cumsum([int(p[1].sum(dtype=np.int64)) for p in parts])
             yield _answer([(bucket, i, np.packbits(f).tobytes()) for i, f in zip(ids, np.split(found, ends[:-1]), strict=True)])
 
@@ -375,17 +395,19 @@ def _removed(block: Block, bits: int, shared_bits: tuple, window_bits: tuple, sp
     cover = np.zeros(len(block.data) + 1, np.int32)
     shared, bucket = _shared(block, bits, shared_bits)
     given = dict(zip(*(x or [] for x in window_bits), strict=True))
-    for b, part in _by_bucket(bucket):
-        a, low, place = block.contexts(shared[part])
-        windows = block.last[a] - block.first[a] + 1
-        found = np.unpackbits(np.frombuffer(given[b], np.uint8), count=int(windows.sum())).astype(bool)
-        begin = np.concatenate([[0], np.cumsum(windows)[:-1]])
-        every = shared[part]  # all anchors with these contexts, with their windows
-        n = windows[place]
-        smaller = np.repeat(block.ids[block.doc[every]] > low[place], n) | found[_ragged(begin[place], n)]
-        starts = _ragged(block.first[every], n)[smaller]
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + span, -1)
+    a, low, place = block.contexts(shared)
+    windows, where = block.last[a] - block.first[a] + 1, np.empty(len(a), np.int64)
+    where[place] = bucket
+    begin = np.cumsum(windows) - windows
+    found = np.zeros(int(windows.sum()), bool)
+    for b, part in _by_bucket(where):
+        at = _ragged(begin[part], windows[part])
+        found[at] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=len(at))
+    n = windows[place]  # the windows of all anchors with these contexts
+    smaller = np.repeat(block.ids[block.doc[shared]] > low[place], n) | found[_ragged(begin[place], n)]
+    starts = _ragged(block.first[shared], n)[smaller]
+    cover += np.bincount(starts, minlength=len(cover)).astype(np.int32)
+    cover += -np.bincount(starts + span, minlength=len(cover)).astype(np.int32)
     gone = np.cumsum(cover[:-1]) > 0
     ends = block.ends.tolist()
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "kept", "n_removed", "n_spans")}
