@@ -15,13 +15,13 @@ VIEWS: dict[str, str] = {
     # files of inboxes, a hundred and more a folder at larger scales
     "listing": """
 SELECT o_custkey % 200 AS inbox_id,
-  CASE o_orderkey % 9 WHEN 0 THEN 'Chair_notes' WHEN 1 THEN 'Hiroki_notes' WHEN 2 THEN 'Sorour_notes' WHEN 3 THEN 'David_sessions'
+  CASE o_orderkey % 9 WHEN 0 THEN 'Chair_notes' WHEN 1 THEN 'Ann_notes' WHEN 2 THEN 'Ben_notes' WHEN 3 THEN 'Cleo_sessions'
     WHEN 4 THEN 'Agenda' WHEN 5 THEN 'drafts' WHEN 6 THEN 'misc' WHEN 7 THEN 'Vice_Chair_session' ELSE 'Inbox' END AS folder,
   o_orderkey AS list_pos,
   CASE WHEN o_orderkey % 13 = 0 THEN concat('Agenda_v', lpad(CAST(o_orderkey % 10 AS STRING), 2, '0'), '.pdf')
     WHEN o_orderkey % 17 = 0 THEN concat('RAN1#', CAST(120 + o_custkey % 6 AS STRING), ' chair notes - v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'), '.docx')
     WHEN o_orderkey % 19 = 0 THEN 'custom schedule.docx'
-    WHEN o_orderkey % 9 = 8 AND o_custkey % 3 = 0 THEN concat('RAN1#', CAST(120 + o_custkey % 6 AS STRING), ' schedule for ', CASE o_orderkey % 4 WHEN 0 THEN 'Hiroki' WHEN 1 THEN 'Ana' WHEN 2 THEN 'Li' ELSE 'Sam' END, ' sessions_v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'), '.docx')
+    WHEN o_orderkey % 9 = 8 AND o_custkey % 3 = 0 THEN concat('RAN1#', CAST(120 + o_custkey % 6 AS STRING), ' schedule for ', CASE o_orderkey % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ana' WHEN 2 THEN 'Li' ELSE 'Sam' END, ' sessions_v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'), '.docx')
     ELSE concat(CASE WHEN o_orderkey % 23 = 0 THEN 'Draft ' ELSE '' END, 'RAN', CAST(1 + floor((o_custkey % 50) / 49) AS INT), '#', CAST(120 + o_custkey % 6 AS STRING),
       CASE o_orderkey % 5 WHEN 0 THEN 'bis' WHEN 1 THEN '-bis' WHEN 2 THEN ' adhoc' WHEN 3 THEN '-e' ELSE '' END, ' Schedules - v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'),
       CASE o_orderkey % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.ZIP' ELSE '.pptx' END) END AS name,
@@ -31,7 +31,7 @@ FROM orders""",
     # sources of meetings
     "sources": """
 SELECT o_custkey % 300 AS meeting_id, o_orderkey AS ord, concat('Folder_', CAST(o_orderkey % 5 AS STRING)) AS folder,
-  CASE o_orderkey % 7 WHEN 0 THEN 'Hiroki' WHEN 1 THEN 'Ana' WHEN 2 THEN '' WHEN 3 THEN 'Li' ELSE NULL END AS person,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ana' WHEN 2 THEN '' WHEN 3 THEN 'Li' ELSE NULL END AS person,
   o_orderkey % 8 = 4 AS is_main, concat('https://files.example/', CAST(o_orderkey AS STRING)) AS url,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderdate END AS uploaded_at
 FROM orders""",
@@ -84,7 +84,7 @@ SELECT l_orderkey % 700 AS doc_id, CAST(l_orderkey % 3 AS INT) AS table_idx, CAS
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) AS l""",
     # cells with days and blocks; sources 0 is the main one
     "slot_cells": f"""
-SELECT l_orderkey % 300 AS meeting_id, CAST(l_suppkey % 4 AS INT) AS source, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Hiroki' WHEN 2 THEN 'Ana' ELSE 'Li' END AS person,
+SELECT l_orderkey % 300 AS meeting_id, CAST(l_suppkey % 4 AS INT) AS source, CASE l_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Ann' WHEN 2 THEN 'Ana' ELSE 'Li' END AS person,
   {_DAY.format("l_orderkey")} AS day, CAST(l_orderkey % 4 AS INT) AS tb, l_orderkey * 10 + l_linenumber AS ord, CAST(l_linenumber % 3 AS INT) AS table_index,
   CAST(l_partkey % 3 AS INT) AS room_from, CAST(l_partkey % 3 + l_linenumber % 2 AS INT) AS room_to,
   concat(CASE WHEN l_partkey % 3 = 0 THEN ' ' ELSE '' END, 'topic ', CAST(l_partkey % 4 AS STRING), CASE WHEN l_partkey % 5 = 0 THEN chr(10) ELSE '' END) AS text

@@ -147,13 +147,13 @@ ORACLE_SQL["s8_write_schedule"] = with_views("SELECT CAST(meeting_id AS INTEGER)
 
 
 @query("f25_parse_cell_grammar", "items", oracle="""
-SELECT meeting_id, day, tb, room_name, name, duration_minutes, 'Xiao' AS chair, '6GR' AS group_header FROM (
+SELECT meeting_id, day, tb, room_name, name, duration_minutes, 'Kim' AS chair, '6GR' AS group_header FROM (
   SELECT *, count(*) OVER (PARTITION BY meeting_id, day, tb, room_name) AS n FROM (SELECT meeting_id, day, tb, room_name, concat('item ', ord) AS name, duration_minutes FROM items WHERE duration_minutes > 0))""")
 def f25(items):
     line = F.concat(F.lit(".item "), "ord", F.lit(" ("), "duration_minutes", F.lit(")"))
     kept = items.where("duration_minutes > 0").groupBy("meeting_id", "day", "tb", "room_name").agg(F.sum("duration_minutes").alias("n"), F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("l"))
-    text = F.concat(F.lit("Xiao ("), "n", F.lit(")\n6GR\n"), F.array_join(F.col("l.l"), "\n"), F.lit("\n~~gone (30)~~"))
-    out = grammar.parse_cells(kept.withColumn("text", text), ["Xiao"])
+    text = F.concat(F.lit("Kim ("), "n", F.lit(")\n6GR\n"), F.array_join(F.col("l.l"), "\n"), F.lit("\n~~gone (30)~~"))
+    out = grammar.parse_cells(kept.withColumn("text", text), ["Kim"])
     return out.select("meeting_id", "day", "tb", "room_name", "name", "duration_minutes", "chair", "group_header")
 
 
