@@ -200,3 +200,12 @@ QUERIES["t2_incremental_slots"] = t2
 ORACLE_SQL["t2_incremental_slots"] = """
 SELECT substr(sha256(content), 1, 16) AS content_key, min(l_orderkey) AS slot_id, upper(content) AS result
 FROM (SELECT l_orderkey, concat_ws('|', l_partkey % 50, l_returnflag, l_linestatus) AS content FROM lineitem) GROUP BY content"""
+
+
+def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given files as documents: name and length."""
+    files = documents.read_documents(spark, sf_dir)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+QUERIES["s3_read_documents"] = s3
