@@ -68,9 +68,9 @@ def discover_sources(listing: DataFrame, root: str = "Inbox") -> DataFrame:
     """Schedule sources of every inbox (U7), in order `ord`.
 
     listing holds the folders' files, and the inbox's own with folder = root. The first chair
-    folder gives the main file and pins the meeting for the other folders; files of the root
-    count for persons not yet known, unless of an older meeting; without any main file the
-    folder Chair_notes is looked at alone.
+    folder by name gives the main file and pins the meeting for the other folders; files of the root
+    count for persons not yet known, unless of an older meeting. Any further chair folder is a
+    main source too, so looking at Chair_notes alone would add nothing.
     """
     in_folders = listing.where((F.col("folder") != root) & N.is_listed_folder(F.col("folder")))
     first_chair = in_folders.where(is_chair_folder(F.col("folder"))).groupBy("inbox_id").agg(F.min("folder").alias("chair"))
