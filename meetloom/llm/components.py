@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +28,36 @@ def _small_star(links: DataFrame) -> DataFrame:
     return inner.unionByName(least.select("m", F.col("b").alias("v"))).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning star of every component among a partition's links."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = i = root.get(up, up)
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array([find(i) for i in ids], pa.int64()), pa.array(ids, pa.int64())], names=["a", "b"])
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """Links (a < b) that join the same ids as links do, in fewer steps."""
+    near = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
+    return cut(_small_star(_large_star(near.mapInArrow(_contract, "a long, b long"))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in links (a, b) other than a component's smallest, that smallest id."""
-    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
-    mark = None
+    links, mark = stars(links), None
     while True:
-        links = cut(_small_star(_large_star(links)))
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return links.select(F.col("b").alias("id"), F.col("a").alias("component"))
         mark = now
+        links = cut(_small_star(_large_star(links)))

@@ -76,16 +76,16 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
 
 
 def minwise(sets: list[np.ndarray], m: int, seed: int) -> np.ndarray:
-    """A (texts, m) array of minwise hashes (32 bits); empty sets get zeros."""
+    """A (texts, m) array of minwise hashes (64 bits); empty sets get zeros."""
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, m, dtype=np.uint64)
-    out = np.zeros((len(sets), m), np.uint32)
+    out = np.zeros((len(sets), m), np.uint64)
     full = [i for i, s in enumerate(sets) if len(s)]
     at = 0
     while at < len(full):
         end, size = at, 0
-        while end < len(full) and (end == at or size + len(sets[full[end]]) <= 1 << 15):  # stay in the cache
+        while end < len(full) and (end == at or size + len(sets[full[end]]) <= 1 << 14):  # stay in the cache
             size += len(sets[full[end]])
             end += 1
         part = [sets[i] for i in full[at:end]]
@@ -93,7 +93,7 @@ def minwise(sets: list[np.ndarray], m: int, seed: int) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum([len(s) for s in part])[:-1]])
         rows = np.array(full[at:end])
         for t in range(m):
-            out[rows, t] = np.minimum.reduceat(((x * a[t] + b[t]) >> np.uint64(32)).astype(np.uint32), starts)
+            out[rows, t] = np.minimum.reduceat(x * a[t] + b[t], starts)
         at = end
     return out
 

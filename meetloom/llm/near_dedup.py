@@ -1,11 +1,12 @@
 """Near-duplicate detection: a chosen-path set similarity join over word shingles.
 
 Documents with equal shingle sets are collapsed first. Every remaining document is
-embedded as M minwise tokens. In each of TREES independent trees it goes to the node of
-one minwise token; nodes of up to LIMIT documents are compared exhaustively, larger ones
-are branched further by tokens that the path chooses, more of them the deeper the node. Near
-pairs survive a level with a chance of at least their similarity, so that trees together
-miss a pair at similarity 0.75 about once in ten million where nodes are small.
+embedded as TOKENS minwise tokens. In each of TREES independent trees it goes to the node of
+one minwise hash; nodes of up to LIMIT documents are compared exhaustively, larger ones are
+branched further by tokens that the path chooses, more of them the deeper the node: inside a
+task up to LOCAL documents, as a table beyond. A pair survives a level with a chance of at
+least its similarity, so that all trees miss a pair at similarity 0.75 about once in ten
+million where nodes are small.
 
 Comparing a node estimates similarity from the tokens. It first yields a spanning forest of
 the likely links (a node of n similar documents needs n - 1), which are confirmed on the
@@ -34,14 +35,18 @@ from .hashing import in_slices, minwise, mix, shingle_sets
 
 WORDS = 5
 PERCENT = 75
-TOKENS = 96
+TOKENS = 160
 TREES = 12
-LIMIT = 48
+LIMIT = 128
+#: Nodes of up to so many documents branch inside a task, larger ones as a table.
+LOCAL = 4096
 #: (branches, tokens a branch) of the levels below the first; the last is repeated until LEVELS.
-BRANCHES = ((2, 1), (1, 2), (1, 4), (1, 8))
+BRANCHES = ((3, 1), (2, 2), (1, 4), (1, 8))
+TABLE_BRANCHES = ((2, 2), (1, 4), (1, 8))
 LEVELS = 14
-#: Estimates below this aren't candidates: four deviations under 0.75 at TOKENS tokens.
-ESTIMATE = 0.58
+#: Estimates below this are not candidates: over three deviations under 0.75 at TOKENS tokens.
+ESTIMATE = 0.64
+SURE = 0.87
 
 
 def _lowered(texts: list[str | None]) -> list[bytes]:
@@ -49,7 +54,7 @@ def _lowered(texts: list[str | None]) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (two longs) and its minwise tokens (null for an empty set)."""
+    """doc_id, n_shingles, the set's digest (two longs), its keys (TREES minwise hashes) and tokens (16 bits of TOKENS minwise hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,92 +64,126 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
                 n = np.array([len(s) for s in sets])
                 d1 = np.array([np.add.reduce(s) for s in sets], np.uint64).view(np.int64)
                 d2 = np.array([np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets], np.uint64).view(np.int64)
-                tokens = minwise(sets, TOKENS, 11).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * TOKENS, pa.int32()), pa.array(tokens.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n_shingles", "d1", "d2", "tokens"])
+                least = minwise(sets, TOKENS, 11)
+                keys, tokens = least[:, :TREES].view(np.int64), mix(least).astype(np.uint16).view(np.int16)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (keys, tokens)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), *lists], names=["doc_id", "n_shingles", "d1", "d2", "keys", "tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, tokens array<short>")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (node, doc_id, ...) of nodes that can be compared, and of those to branch."""
+    """rows (node, doc_id, ...) of nodes that fit a task, and of those to branch."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     sized = rows.join(sizes, "node")
-    return sized.where(F.col("size") <= LIMIT).drop("size"), sized.where(F.col("size") > LIMIT).drop("size")
-
-
-def leaves(classes: DataFrame) -> DataFrame:
-    """(node, doc_id, n_shingles, tokens) of every node small enough to compare."""
-    slim = classes.select("doc_id", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
-    small, large = _split(slim.select(F.xxhash64("tree", "token").alias("node"), "doc_id"))
-    first = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
-    found = cut(first.join(classes.select("doc_id", "n_shingles", "tokens"), "doc_id"))
-    done, rest = [found.where("NOT large").drop("large")], found.where("large").drop("large")
-    level = 0
-    while rest.limit(1).count():
-        branches, width = BRANCHES[min(level, len(BRANCHES) - 1)]
+    return sized.where(F.col("size") <= LOCAL).drop("size"), sized.where(F.col("size") > LOCAL).drop("size")
+
+
+def nodes_of(classes: DataFrame) -> DataFrame:
+    """(node, doc_id) of every node with several documents, large ones branched."""
+    keyed = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    small, large = _split(keyed.select(F.xxhash64("tree", "key").alias("node"), "doc_id"))
+    marked = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
+    done, level = [marked.where("NOT large").drop("large")], 0
+    while marked.where("large").limit(1).count():
+        branches, width = TABLE_BRANCHES[min(level, len(TABLE_BRANCHES) - 1)]
         level += 1
+        rest = marked.where("large").select("node", "doc_id").join(classes.select("doc_id", "tokens"), "doc_id")
         branched = rest.withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches))))
         chosen = [F.expr(f"element_at(tokens, cast(pmod(xxhash64(node, branch, {level}, {j}), {TOKENS}) as int) + 1)") for j in range(width)]
-        branched = branched.withColumn("node", F.xxhash64("node", "branch", F.lit(level), *chosen)).drop("branch")
+        branched = branched.select(F.xxhash64("node", "branch", F.lit(level), *chosen).alias("node"), "doc_id")
         if level == LEVELS:
             # what still stays together agrees on dozens of tokens: blocks by hash, each with the node's hub
-            hubs = branched.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "tokens")).alias("hub"), F.count("*").alias("size"))
-            blocks = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LIMIT))
-            cut_up = branched.join(hubs, "node").where("doc_id != hub.doc_id").withColumn("node", F.xxhash64("node", blocks))
-            heads = cut_up.groupBy("node").agg(F.first("hub").alias("hub")).select("node", "hub.*")
-            done.append(cut_up.select("node", "doc_id", "n_shingles", "tokens").unionByName(heads))
+            hubs = branched.groupBy("node").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size"))
+            blocks = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LOCAL))
+            cut_up = branched.join(hubs, "node").where("doc_id != hub").select(F.xxhash64("node", blocks).alias("node"), "doc_id", "hub")
+            heads = cut_up.groupBy("node").agg(F.min("hub").alias("doc_id"))
+            done.append(cut_up.select("node", "doc_id").unionByName(heads))
             break
         small, large = _split(branched)
-        both = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
-        done.append(both.where("NOT large").drop("large"))
-        rest = both.where("large").drop("large")
+        marked = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
+        done.append(marked.where("NOT large").drop("large"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _forest(group: np.ndarray, a: np.ndarray, b: np.ndarray, likely: np.ndarray) -> np.ndarray:
-    """Which pairs make a spanning forest of each group, likeliest first."""
+def _branched(path: int, rows: np.ndarray, tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """Splits a node's rows by tokens that its path chooses, until parts can be compared."""
+    open_ = [(path, rows, 0)]
+    while open_:
+        path, rows, level = open_.pop()
+        if len(rows) <= LIMIT:
+            yield rows
+            continue
+        if level == LEVELS:  # agrees on dozens of tokens: blocks, each with the same hub
+            for at in range(1, len(rows), LIMIT - 1):
+                yield np.concatenate([rows[:1], rows[at : at + LIMIT - 1]])
+            continue
+        branches, width = BRANCHES[min(level, len(BRANCHES) - 1)]
+        for branch in range(branches):
+            chosen = np.random.default_rng([path & (2**63 - 1), level, branch]).choice(TOKENS, width, replace=False)
+            key = tokens[rows, chosen[0]].astype(np.uint64)
+            for c in chosen[1:]:
+                key = mix(key) + tokens[rows, c].astype(np.uint64)
+            order = np.argsort(key, kind="stable")
+            kinds, starts = np.unique(key[order], return_index=True)
+            for k, part in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True):
+                if len(part) > 1:
+                    open_.append((hash((path, level, branch, k)), rows[part], level + 1))
+
+
+def _forest(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x, y with identifiers low < high make a spanning forest.
+
+    Nearly certain links come first, those of small identifiers before others, so that the
+    trees that meet a group mostly agree on its links.
+    """
     kept, root = [], {}
 
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = x = root.get(root[x], root[x])
-        return x
+    def find(i):
+        while root.get(i, i) != i:
+            root[i] = i = root.get(root[i], root[i])
+        return i
 
-    for i in np.lexsort((-likely, group)).tolist():  # rows are in one group only, so one forest serves all
-        x, y = find(int(a[i])), find(int(b[i]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
+    for i in np.lexsort((high, low, np.maximum(0, SURE - likely))).tolist():
+        a, b = find(int(x[i])), find(int(y[i]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
             kept.append(i)
     return np.array(kept, np.int64)
 
 
 def _compare(node, ids, n, label, tokens, forest: bool):
+    """Likely pairs of the rows of each node (rows of a node stand together)."""
     edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    sizes = np.diff(np.concatenate([edges, [len(node)]]))
-    out_a, out_b = [], []
+    parts = []
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(node)], strict=True):
+        rows = np.arange(a, b)
+        if forest or (label[a:b] != label[a]).any():  # of one label, nothing is left to join
+            parts.extend(_branched(int(node[a]), rows, tokens) if b - a > LIMIT else [rows])
+    found = [[np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.float32)]]
+    sizes = np.array([len(p) for p in parts], np.int64)
     for m in np.unique(sizes[sizes > 1]).tolist():
-        starts, (i, j) = edges[sizes == m], np.triu_indices(m, 1)
-        step = max(1, 50_000 // len(i))
-        for at in range(0, len(starts), step):
-            part = starts[at : at + step]
-            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+        own, (i, j) = np.stack([p for p in parts if len(p) == m]), np.triu_indices(m, 1)
+        step = max(1, 16_000 // len(i))
+        for at in range(0, len(own), step):
+            x, y = own[at : at + step, i].ravel(), own[at : at + step, j].ravel()
             ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
             likely = (tokens[x] == tokens[y]).mean(axis=1) if len(x) else np.zeros(0)
             ok = likely >= ESTIMATE
-            x, y, likely = x[ok], y[ok], likely[ok]
-            if forest:
-                kept = _forest(node[x], x, y, likely)
-                x, y = x[kept], y[kept]
-            out_a.append(np.minimum(ids[x], ids[y]))
-            out_b.append(np.maximum(ids[x], ids[y]))
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+            found.append([x[ok].astype(np.int32), y[ok].astype(np.int32), likely[ok].astype(np.float32)])
+    x, y, likely = (np.concatenate(c) for c in zip(*found, strict=True))
+    _, once = np.unique(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y), return_index=True)  # leaves overlap
+    x, y, likely = x[once], y[once], likely[once]
+    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    if forest:  # rows are in one node only, so one forest serves all nodes
+        kept = _forest(x, y, low, high, likely)
+        low, high = low[kept], high[kept]
+    return low, high
 
 
 def node_pairs(rows: DataFrame, forest: bool) -> DataFrame:
@@ -213,18 +252,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = cut(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2", "n_shingles")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
     )
-    nodes = cut(leaves(classes))
-    first = cut(node_pairs(nodes.withColumn("label", F.col("doc_id")), forest=True))
+    nodes, members = nodes_of(classes), classes.select("doc_id", "n_shingles", "tokens")
+    first = cut(node_pairs(nodes.join(members, "doc_id").withColumn("label", F.col("doc_id")), forest=True))
     wanted = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
     sets = cut(full_sets(docs, wanted, key, text, words).dropDuplicates(["doc_id"]))
-    links = cut(confirmed(first, sets))
-    joined = components(links)
-    label = F.coalesce("component", "doc_id")
-    labelled = nodes.join(wanted, "doc_id", "left_semi").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rest = node_pairs(labelled.withColumn("label", label), forest=False).join(first, ["a", "b"], "left_anti")
-    found = components(links.unionByName(confirmed(rest, sets)))
+    found = components(cut(confirmed(first, sets)))
+    labels = found.withColumnsRenamed({"id": "doc_id", "component": "label"})
+    labelled = nodes.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    open_ = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
+    labelled = labelled.join(open_, "node", "left_semi").join(wanted, "doc_id", "left_semi").join(members, "doc_id")
+    rest = cut(node_pairs(labelled, forest=False).join(first, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        more = cut(confirmed(rest, sets))
+        if more.limit(1).count():
+            found = components(more.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     groups = classes.select("d1", "d2", "n_shingles", F.col("doc_id").alias("id")).join(found, "id", "left")
     groups = groups.select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     placed = signed.join(groups, ["d1", "d2", "n_shingles"], "left")
