@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BATCH_ROWS = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     tests, gets a folder of its own when that is unset.
     """
     shared_folder(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.checkpoint()
 
 
@@ -49,6 +51,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get whole documents in batches of BATCH_ROWS rows at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder."""
     sc = spark.sparkContext

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_batches, held_out
 
-ROWS_PER_CLASS = 2000  # the bound of a training sample
+ROWS_PER_CLASS = 1500  # the bound of a training sample
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = ROWS_PER_CLASS) -> DataFrame:
@@ -17,6 +17,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     Which ones is decided by a hash of the identifier. weight: labelled rows of the class
     for each row of the sample.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(key)).select(F.col(key).cast("long").alias("doc_id"), F.col(label).alias("label")).distinct()
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     parts = []

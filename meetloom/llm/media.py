@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SIDE, LOW = 32, 8  # the hash sees a 32 x 32 image and keeps its 8 x 8 lowest frequencies
@@ -143,6 +145,7 @@ def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", level: in
                 files.append(encode_png(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH), level))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 

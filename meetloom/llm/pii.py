@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .learning import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
@@ -229,9 +230,10 @@ def boost(x: np.ndarray, y: np.ndarray, seed: int = 2) -> Trees | None:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Trees | None:
-    telling = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    # only text that spans and their contexts lie in goes to the driver
-    sample = telling.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h").limit(SAMPLE_DOCS)
+    bounded_batches(docs.sparkSession)
+    telling = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    least = telling.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)  # hashes alone meet in one task
+    sample = telling.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

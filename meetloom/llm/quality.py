@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, shuffle_partitions
 from .hashing import in_slices, mix, prefix_hashes, substring_hashes
-from .learning import Adam, calibrate, sigmoid, training_sample
+from .learning import ROWS_PER_CLASS, Adam, calibrate, sigmoid, training_sample
 
 LEXICAL, SHAPES = 1792, 256  # buckets of words, and of shapes
 BUCKETS = LEXICAL + SHAPES
@@ -32,7 +32,7 @@ REACH = 2  # words on either side that count as context
 HIDDEN = 32
 THRESHOLD = 0.7
 PARTS = 16
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def index_vectors(seed: int = 3) -> np.ndarray:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             x = pooled(batch.column(3).to_pylist(), vectors)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "weight", "x"])
 
-    sample = training_sample(docs, labels, label, key, text).mapInArrow(pool, "doc_id long, label int, weight double, x binary").orderBy("doc_id").toArrow()
+    sample = training_sample(docs, labels, label, key, text, 2 * ROWS_PER_CLASS).mapInArrow(pool, "doc_id long, label int, weight double, x binary").orderBy("doc_id").toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, 2 * vectors.shape[1] + 1)
     return train(x, sample["label"].to_numpy(), sample["weight"].to_numpy(), vectors)
 

@@ -35,7 +35,7 @@ VOCABULARY = 20_000  # words, and n-grams, with an embedding
 CLEAR = 3.0  # deviations from no relation to the label that earn one
 SLOT_BITS = 20
 THRESHOLD = 0.3
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
