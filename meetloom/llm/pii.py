@@ -31,8 +31,9 @@ from .learning import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 3000  # the bound of the sample that the trees are fitted on
-TREES, DEPTH, BINS, RATE = 40, 3, 24, 0.2
+TREES, DEPTH, BINS, RATE, LEAF_ROWS = 40, 3, 24, 0.2, 10
 PRECISION = 0.98
+DATES = ("2023-11-05 14", "2021-03-12 09.30", "12.03.2021 09", "05/11/2023 16.45", "1.2.3 2024-01-02 10")
 LEAST = 0.9  # no threshold is lower
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,8 +133,8 @@ def features(text: str, span: Span) -> list[float]:
     last = re.split(r"[^A-Za-z]+", s)[-1]
     return [
         KINDS.index(kind), len(s), len(d), len(d) / max(1, len(s)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[-1]) if groups else 0,
-        float(bool(d) and luhn(d)), float(s[:1] == "+"), s.count("(") + s.count("["), s.count("-"), s.count(" "), s.count("."), float("@" in s), len(last),
-        float(bool(before) and before[-1].isalnum()), float(bool(after) and (after[0].isalnum() or after[0] in "=:_")), float(any(w in before for w in _WORDS[kind])), float(len(set(d)) <= 2),
+        (float(luhn(d)) if kind == "card" else 2.0), float(s[:1] == "+"), s.count("(") + s.count("["), s.count("-"), s.count(" "), s.count("."), float("@" in s), len(last),
+        float(bool(before) and before[-1].isalnum()), float(bool(after) and (after[0].isalnum() or after[0] in "=:_")), float(any(w in before for w in _WORDS[kind])), (float(len(set(d)) <= 2) if kind != "email" else 2.0),
     ]
 
 
@@ -207,7 +208,9 @@ def boost(x: np.ndarray, y: np.ndarray, seed: int = 2) -> Trees | None:
             for j in range(b.shape[1]):
                 key = (node - first) * (BINS + 1) + b[:, j]
                 gs, hs = (np.cumsum(np.bincount(key, v, width * (BINS + 1)).reshape(width, -1), axis=1) for v in (g, h))
+                ns = np.cumsum(np.bincount(key, minlength=width * (BINS + 1)).reshape(width, -1), axis=1)
                 gain = gs**2 / (hs + 1) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1) - gs[:, -1:] ** 2 / (hs[:, -1:] + 1)
+                gain[(ns < LEAF_ROWS) | (ns[:, -1:] - ns < LEAF_ROWS)] = 0  # single spans that only look negative decide nothing
                 top = gain.argmax(axis=1)
                 better = gain[np.arange(width), top] > best + 1e-9
                 best = np.where(better, gain[np.arange(width), top], best)
@@ -255,6 +258,9 @@ def examples(text: str) -> Iterator[tuple[int, list[float]]]:
             wrong = text[: span[2] - 1] + str((int(text[span[2] - 1]) + 1) % 10) + text[span[2] :]
             for form in ((wrong, span), *filter(None, (rewritten(wrong, span, c) for c in range(4)))):
                 yield 0, features(*form)
+        if span[0] == "phone":  # dates and times in its place are none
+            for other in DATES:
+                yield 0, features(text[: span[1]] + other + text[span[2] :], ("phone", span[1], span[1] + len(other)))
     for span in proposals(text):
         if not _meets(span, base):
             yield 0, features(text, span)
