@@ -32,7 +32,7 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED = 8, 8
 GRAMS = (4, 6)  # bytes of the n-grams, boundaries counted
 VOCABULARY = 20_000  # words, and n-grams, with an embedding
-CLEAR = 3.0  # deviations from no relation to the label that earn one
+CLEAR = 2.5  # deviations from no relation to the label that earn one
 SLOT_BITS = 20
 THRESHOLD = 0.3
 SLICE = 1 << 20
