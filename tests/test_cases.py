@@ -277,3 +277,18 @@ def test_apply_facets(spark):
     assert kept(["9.1", "9.2"], [], []) == [("A", "9.1, 9.2"), ("B", "9.2")]
     assert kept(["9.1", "9.2"], [], ["A|G"]) == [("A", ""), ("A", "9.1, 9.2"), ("B", "9.2")]
     assert kept([], ["C|"], []) == [("C", "")]
+
+
+def test_facet_tree(spark):
+    import json
+
+    rows = [(1, "s10", "9.10, 9.2", "B"), (1, "s10", None, "B"), (1, "s9", "9.2", "a"), (1, "x", None, None)]
+    tree = layout.facet_tree(spark.createDataFrame(rows, "meeting_id long, name string, agenda_item string, group_header string")).first()
+    assert json.loads(tree.facets) == {
+        "groups": [
+            {"name": "a", "key": "a", "sessions": [{"name": "s9", "key": "s9|a", "ais": ["9.2"]}]},
+            {"name": "B", "key": "B", "sessions": [{"name": "s10", "key": "s10|B", "ais": ["9.2", "9.10"], "hasNoAI": True}]},
+            {"name": "Other", "key": "__other__", "sessions": [{"name": "x", "key": "x|", "ais": []}]},
+        ],
+        "allAIs": ["9.2", "9.10"],
+    }
