@@ -15,9 +15,9 @@ joined, and confirms those. So components are those of all found links without
 materialising all pairs of a group.
 
 Defined cases: null or blank text gives an empty set, linked with nothing; fully repeated
-rows are one class; a null identifier stands alone as its own component; an empty table
-gives an empty result; other columns are ignored (`near_duplicates`) or carried
-(`drop_near_duplicates`).
+rows are one class and share its fate (identifiers are else taken as unique); a null
+identifier stands alone as its own component; an empty table gives an empty result; other
+columns are ignored (`near_duplicates`) or carried (`drop_near_duplicates`).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .filters import may_hold
 from .hashing import in_slices, minwise, mix, shingle_sets
 
 WORDS = 5
@@ -224,7 +225,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: in
                 sets = [s.tobytes() for s in shingle_sets(texts[a:b], words)]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.where(may_hold(wanted, "doc_id")("doc_id")).join(wanted, "doc_id", "left_semi")  # most texts stay where they are
     return rows.mapInArrow(run, "doc_id long, set binary")
 
 
@@ -248,7 +250,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept, a row per document."""
     signed = cut(signatures(docs, key, text, words))
-    # documents of one identifier but different texts are told apart by nothing else, so classes go by digest
+    # one representative of all documents with the same set
     classes = cut(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("d1", "d2", "n_shingles")
@@ -280,5 +282,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.toDF(*names.values())
     gone = near_duplicates(renamed, names[key], names[text]).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = renamed.join(gone, F.col(names[key]) == F.col("__gone"), "left_anti")
+    gone = cut(gone)
+    maybe = may_hold(gone, "__gone")(F.col(names[key]).cast("long"))
+    asked = renamed.where(maybe).join(gone, F.col(names[key]) == F.col("__gone"), "left_anti")
+    left = renamed.where(~maybe).unionByName(asked)
     return left.select(*[F.col(n).alias(c) for c, n in names.items()])
