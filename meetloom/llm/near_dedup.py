@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets are collapsed first. Every remaining document is
 embedded as TOKENS minwise tokens. In each of TREES independent trees it goes to the node of
-one minwise hash; nodes of up to LIMIT documents are compared exhaustively, larger ones are
-branched further by tokens that the path chooses, more of them the deeper the node: inside a
-task up to LOCAL documents, as a table beyond. A pair survives a level with a chance of at
-least its similarity, so that all trees miss a pair at similarity 0.75 about once in ten
-million where nodes are small.
+one minwise hash; nodes of up to LIMIT documents are compared exhaustively. The documents of
+larger ones first meet the node's centres (those that agree most with its commonest tokens),
+in blocks where a node doesn't fit a task (LOCAL). What the centres don't join is branched
+further by tokens that the path chooses, with so many branches that a pair at similarity
+0.75 is expected in one at least, and compared exhaustively inside a task where branching
+saves less than half the work. A part of one component needs no further comparing.
 
 Comparing a node estimates similarity from the tokens. It first yields a spanning forest of
 the likely links (a node of n similar documents needs n - 1), which are confirmed on the
@@ -41,10 +42,13 @@ TREES = 12
 LIMIT = 128
 #: Nodes of up to so many documents branch inside a task, larger ones as a table.
 LOCAL = 4096
-#: (branches, tokens a branch) of the levels below the first; the last is repeated until LEVELS.
-BRANCHES = ((3, 1), (2, 2), (1, 4), (1, 8))
-TABLE_BRANCHES = ((2, 2), (1, 4), (1, 8))
-LEVELS = 14
+#: (branches, tokens a branch) of the levels below the first; the last is repeated. branches * 0.75**tokens is 1 at least.
+BRANCHES = ((3, 1), (2, 2), (4, 4), (10, 8))
+TABLE_BRANCHES = ((2, 2), (4, 4), (10, 8))
+#: Centres that a large node's documents are compared with first, and rows that tell where a centre is.
+CENTRES, SKETCH = 4, 256
+#: Pairs that agree on fewer than FEW of the first GLANCE tokens are passed over: five deviations under 0.75.
+GLANCE, FEW = 32, 12
 #: Estimates below this are not candidates: over three deviations under 0.75 at TOKENS tokens.
 ESTIMATE = 0.64
 SURE = 0.87
@@ -75,65 +79,164 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (node, doc_id, ...) of nodes that fit a task, and of those to branch."""
+    """rows (node, doc_id) of nodes that fit a task, and of those that don't."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    sized = rows.join(sizes, "node")
-    return sized.where(F.col("size") <= LOCAL).drop("size"), sized.where(F.col("size") > LOCAL).drop("size")
+    marked = cut(rows.join(sizes, "node"))
+    return marked.where(F.col("size") <= LOCAL).drop("size"), marked.where(F.col("size") > LOCAL)
 
 
-def nodes_of(classes: DataFrame) -> DataFrame:
-    """(node, doc_id) of every node with several documents, large ones branched."""
+def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id) of every node with several documents that fits a task, and (node, doc_id, size) of larger ones."""
     keyed = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
-    small, large = _split(keyed.select(F.xxhash64("tree", "key").alias("node"), "doc_id"))
-    marked = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
-    done, level = [marked.where("NOT large").drop("large")], 0
-    while marked.where("large").limit(1).count():
-        branches, width = TABLE_BRANCHES[min(level, len(TABLE_BRANCHES) - 1)]
-        level += 1
-        rest = marked.where("large").select("node", "doc_id").join(classes.select("doc_id", "tokens"), "doc_id")
-        branched = rest.withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches))))
-        chosen = [F.expr(f"element_at(tokens, cast(pmod(xxhash64(node, branch, {level}, {j}), {TOKENS}) as int) + 1)") for j in range(width)]
-        branched = branched.select(F.xxhash64("node", "branch", F.lit(level), *chosen).alias("node"), "doc_id")
-        if level == LEVELS:
-            # what still stays together agrees on dozens of tokens: blocks by hash, each with the node's hub
-            hubs = branched.groupBy("node").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size"))
-            blocks = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LOCAL))
-            cut_up = branched.join(hubs, "node").where("doc_id != hub").select(F.xxhash64("node", blocks).alias("node"), "doc_id", "hub")
-            heads = cut_up.groupBy("node").agg(F.min("hub").alias("doc_id"))
-            done.append(cut_up.select("node", "doc_id").unionByName(heads))
+    return _split(keyed.select(F.xxhash64("tree", "key").alias("node"), "doc_id"))
+
+
+def _per_node(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work's batches of whole nodes; rows are (node, ..., tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(batch.num_columns - 1)]
+            now.append(batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, TOKENS))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+            held = [x[last:] for x in now]
+            if last:
+                yield work(*[x[:last] for x in now])
+        if held is not None:
+            yield work(*held)
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
+
+
+def _bounds(node: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    return zip(edges.tolist(), [*edges[1:].tolist(), len(node)], strict=True)
+
+
+def _centre(ids: np.ndarray, tokens: np.ndarray) -> tuple[int, int]:
+    """Which row agrees most with the commonest tokens, the smallest identifier of equals, and on how many."""
+    usual = np.empty(TOKENS, tokens.dtype)
+    for t, column in enumerate(tokens[:: max(1, len(tokens) // SKETCH)].T):
+        kinds, counts = np.unique(column, return_counts=True)
+        usual[t] = kinds[counts.argmax()]
+    agree = (tokens == usual).sum(axis=1)
+    at = np.lexsort((ids, -agree))[0]
+    return int(at), int(agree[at])
+
+
+def hub_blocks(large: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, doc_id): all documents of large nodes in blocks that fit a task, each with its node's centre."""
+    block = F.xxhash64("node", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") * 2 / LOCAL)))
+    blocks = large.select(block.alias("block"), "node", "doc_id")
+
+    def work(block, node, ids, tokens):
+        found = [(int(node[a]), int(ids[a + at]), agree) for a, b in _bounds(block) for at, agree in [_centre(ids[a:b], tokens[a:b])]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["node", "doc_id", "agree"])
+
+    asked = blocks.join(members, "doc_id").select(F.col("block").alias("node"), F.col("node").alias("of"), "doc_id", "tokens")
+    hubs = _per_node(asked, work, "node long, doc_id long, agree long")
+    hubs = cut(hubs.groupBy("node").agg(F.max_by("doc_id", F.struct("agree", -F.col("doc_id"))).alias("hub")))
+    with_hub = blocks.join(hubs, "node").where("doc_id != hub")
+    heads = with_hub.groupBy("block").agg(F.first("hub").alias("doc_id"))
+    return with_hub.select(F.col("block").alias("node"), "doc_id").unionByName(heads.withColumnRenamed("block", "node"))
+
+
+def crossings(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(node, doc_id, label) of nodes that fit a task and hold the pairs of different labels in large nodes (node, doc_id, label).
+
+    Of a node nearly all of one label, the others meet every block of that label. Other nodes
+    branch by tokens; what still stays together after all levels has every two blocks meet.
+    """
+    done, rows = [], large
+    for level in range(len(TABLE_BRANCHES) + 1):
+        sizes = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
+        sizes = sizes.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("main")).where("most < size")  # of one label, nothing is left to join
+        rows = cut(rows.join(sizes, "node"))
+        fits, few = F.col("size") <= LOCAL, F.col("size") - F.col("most") <= LOCAL // 4
+        done.append(rows.where(fits).select("node", "doc_id", "label"))
+        blocks = F.ceil(F.col("most") * 2 / LOCAL)
+        every = F.sequence(F.lit(0).cast("long"), blocks - 1)
+        own = F.array(F.pmod(F.xxhash64("doc_id"), blocks))
+        crossed = rows.where(~fits & few).withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(every)))
+        done.append(crossed.select(F.xxhash64("node", "block").alias("node"), "doc_id", "label"))
+        rows = rows.where(~fits & ~few)
+        if not rows.limit(1).count():
+            break
+        if level == len(TABLE_BRANCHES):
+            blocks = F.ceil(F.col("size") * 3 / LOCAL)  # two blocks fit a task
+            rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            done.append(rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "label"))
             break
-        small, large = _split(branched)
-        marked = cut(small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True))))
-        done.append(marked.where("NOT large").drop("large"))
+        branches, width = TABLE_BRANCHES[level]
+        branched = rows.select("node", "doc_id", "label").join(tokens, "doc_id").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches))))
+        chosen = [F.expr(f"element_at(tokens, cast(pmod(xxhash64(node, branch, {level}, {j}), {TOKENS}) as int) + 1)") for j in range(width)]
+        rows = branched.select(F.xxhash64("node", "branch", F.lit(level), *chosen).alias("node"), "doc_id", "label")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _branched(path: int, rows: np.ndarray, tokens: np.ndarray) -> Iterator[np.ndarray]:
-    """Splits a node's rows by tokens that its path chooses, until parts can be compared."""
-    open_ = [(path, rows, 0)]
-    while open_:
-        path, rows, level = open_.pop()
-        if len(rows) <= LIMIT:
-            yield rows
-            continue
-        if level == LEVELS:  # agrees on dozens of tokens: blocks, each with the same hub
-            for at in range(1, len(rows), LIMIT - 1):
-                yield np.concatenate([rows[:1], rows[at : at + LIMIT - 1]])
-            continue
-        branches, width = BRANCHES[min(level, len(BRANCHES) - 1)]
-        for branch in range(branches):
-            chosen = np.random.default_rng([path & (2**63 - 1), level, branch]).choice(TOKENS, width, replace=False)
-            key = tokens[rows, chosen[0]].astype(np.uint64)
-            for c in chosen[1:]:
-                key = mix(key) + tokens[rows, c].astype(np.uint64)
-            order = np.argsort(key, kind="stable")
-            kinds, starts = np.unique(key[order], return_index=True)
-            for k, part in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True):
-                if len(part) > 1:
-                    open_.append((hash((path, level, branch, k)), rows[part], level + 1))
+def _open_pairs(label: np.ndarray) -> int:
+    """How many pairs differ in label."""
+    counts = np.unique(label, return_counts=True)[1]
+    return (len(label) ** 2 - int((counts.astype(np.int64) ** 2).sum())) // 2
+
+
+def _children(path: int, level: int, rows: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A node's rows split by tokens that its path chooses."""
+    branches, width = BRANCHES[min(level, len(BRANCHES) - 1)]
+    for branch in range(branches):
+        chosen = np.random.default_rng([path & (2**63 - 1), level, branch]).choice(TOKENS, width, replace=False)
+        key = tokens[rows, chosen[0]].astype(np.uint64)
+        for c in chosen[1:]:
+            key = mix(key) + tokens[rows, c].astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        kinds, starts = np.unique(key[order], return_index=True)
+        for k, part in zip(kinds.tolist(), np.split(order, starts[1:]), strict=True):
+            if len(part) > 1:  # a row alone has met the node's centres and goes on in other branches
+                yield hash((path, level, branch, k)), rows[part]
+
+
+def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likely ones of pairs x, y, and their estimates."""
+    ok = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+    x, y = x[ok], y[ok]
+    likely = (tokens[x] == tokens[y]).mean(axis=1) if len(x) else np.zeros(0)
+    ok = likely >= ESTIMATE
+    return x[ok].astype(np.int32), y[ok].astype(np.int32), likely[ok].astype(np.float32)
+
+
+def _to_centres(rows: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links of rows with a few centres; what a centre meets takes its label."""
+    left = rows
+    for _ in range(CENTRES):
+        if len(left) < 2:
+            return
+        centre = left[_centre(ids[left], tokens[left])[0]]
+        near = rows[label[rows] != label[centre]]
+        x, y, likely = _similar(np.full(len(near), centre), near, n, tokens)
+        yield x, y, likely
+        label[rows[np.isin(label[rows], label[y])]] = label[centre]
+        left = left[label[left] != label[centre]]
+
+
+def _all_open(rows: np.ndarray, n: np.ndarray, label: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Likely ones of all pairs of rows that differ in label."""
+    kinds, at, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
+    order = np.lexsort((at, counts[at]))  # the commonest label last: its rows begin no pair
+    rows, at = rows[order], at[order]
+    glance, own = np.ascontiguousarray(tokens[rows, :GLANCE]), n[rows]
+    for i in range(len(rows) - int(counts.max())):
+        least = i + 1 + np.flatnonzero((glance[i + 1 :] == glance[i]).sum(axis=1) >= FEW)
+        y = least[at[least] != at[i]]
+        if len(y):
+            yield _similar(np.full(len(y), rows[i]), rows[y], n, tokens)
 
 
 def _forest(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, likely: np.ndarray) -> np.ndarray:
@@ -159,24 +262,37 @@ def _forest(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, lik
 
 def _compare(node, ids, n, label, tokens, forest: bool):
     """Likely pairs of the rows of each node (rows of a node stand together)."""
-    edges = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    parts = []
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(node)], strict=True):
-        rows = np.arange(a, b)
-        if forest or (label[a:b] != label[a]).any():  # of one label, nothing is left to join
-            parts.extend(_branched(int(node[a]), rows, tokens) if b - a > LIMIT else [rows])
-    found = [[np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.float32)]]
+    parts, found = [], [[np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.float32)]]
+    for a, b in _bounds(node):
+        if b - a <= LIMIT:
+            if forest or (label[a:b] != label[a]).any():  # of one label, nothing is left to join
+                parts.append(np.arange(a, b))
+            continue
+        own = label.copy() if forest else label
+        open_ = [(int(node[a]), np.arange(a, b), 0)]
+        while open_:
+            path, rows, level = open_.pop()
+            if forest and len(rows) > LIMIT:
+                found.extend(_to_centres(rows, ids, n, own, tokens))
+            work = _open_pairs(own[rows])
+            if not work:
+                continue
+            if len(rows) <= LIMIT:
+                parts.append(rows)
+                continue
+            children = list(_children(path, level, rows, tokens))
+            if 2 * sum(_open_pairs(own[c]) for _, c in children) < work:
+                open_.extend((p, c, level + 1) for p, c in children)
+            else:  # branching saves little, so all are compared
+                found.extend(_all_open(rows, n, own, tokens))
     sizes = np.array([len(p) for p in parts], np.int64)
     for m in np.unique(sizes[sizes > 1]).tolist():
         own, (i, j) = np.stack([p for p in parts if len(p) == m]), np.triu_indices(m, 1)
         step = max(1, 16_000 // len(i))
         for at in range(0, len(own), step):
             x, y = own[at : at + step, i].ravel(), own[at : at + step, j].ravel()
-            ok = (label[x] != label[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            likely = (tokens[x] == tokens[y]).mean(axis=1) if len(x) else np.zeros(0)
-            ok = likely >= ESTIMATE
-            found.append([x[ok].astype(np.int32), y[ok].astype(np.int32), likely[ok].astype(np.float32)])
+            ok = label[x] != label[y]
+            found.append(_similar(x[ok], y[ok], n, tokens))
     x, y, likely = (np.concatenate(c) for c in zip(*found, strict=True))
     _, once = np.unique(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y), return_index=True)  # leaves overlap
     x, y, likely = x[once], y[once], likely[once]
@@ -190,29 +306,11 @@ def _compare(node, ids, n, label, tokens, forest: bool):
 def node_pairs(rows: DataFrame, forest: bool) -> DataFrame:
     """Likely pairs (a, b) within the nodes of rows (node, doc_id, n_shingles, label, tokens)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def out(x):
-            a, b = _compare(*x, forest)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def work(*x):
+        a, b = _compare(*x, forest)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            now.append(batch.column(4).flatten().to_numpy().reshape(-1, TOKENS))
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            held = [x[last:] for x in now]
-            if last:
-                yield out([x[:last] for x in now])
-        if held is not None:
-            yield out(held)
-
-    rows = rows.select("node", "doc_id", "n_shingles", "label", "tokens").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return _per_node(rows.select("node", "doc_id", "n_shingles", "label", "tokens"), work, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -247,6 +345,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept, a row per document."""
     signed = cut(signatures(docs, key, text, words))
@@ -256,17 +358,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         .groupBy("d1", "d2", "n_shingles")
         .agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
     )
-    nodes, members = nodes_of(classes), classes.select("doc_id", "n_shingles", "tokens")
+    members = classes.select("doc_id", "n_shingles", "tokens")
+    small, large = nodes_of(classes)
+    any_large = large.limit(1).count() > 0
+    nodes = small.unionByName(hub_blocks(large, members.drop("n_shingles"))) if any_large else small
     first = cut(node_pairs(nodes.join(members, "doc_id").withColumn("label", F.col("doc_id")), forest=True))
-    wanted = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = _ends(first)
     sets = cut(full_sets(docs, wanted, key, text, words).dropDuplicates(["doc_id"]))
     found = components(cut(confirmed(first, sets)))
     labels = found.withColumnsRenamed({"id": "doc_id", "component": "label"})
-    labelled = nodes.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = small.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     open_ = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
-    labelled = labelled.join(open_, "node", "left_semi").join(wanted, "doc_id", "left_semi").join(members, "doc_id")
-    rest = cut(node_pairs(labelled, forest=False).join(first, ["a", "b"], "left_anti"))
+    labelled = labelled.join(open_, "node", "left_semi").join(wanted, "doc_id", "left_semi")
+    if any_large:
+        far = large.join(labels, "doc_id", "left").select("node", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        labelled = labelled.unionByName(crossings(far, members.drop("n_shingles")))
+    rest = cut(node_pairs(labelled.join(members, "doc_id"), forest=False).join(first, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
+        new = cut(_ends(rest).join(wanted, "doc_id", "left_anti"))  # first met in branches of large nodes
+        if new.limit(1).count():
+            sets = sets.unionByName(cut(full_sets(docs, new, key, text, words).dropDuplicates(["doc_id"])))
         more = cut(confirmed(rest, sets))
         if more.limit(1).count():
             found = components(more.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))))
