@@ -2,18 +2,19 @@
 
 Documents with equal shingle sets are collapsed first. Every remaining document is
 embedded as TOKENS minwise tokens. In each of TREES independent trees it goes to the node of
-one minwise hash; nodes of up to LIMIT documents are compared exhaustively. The documents of
-larger ones first meet the node's centres (those that agree most with its commonest tokens),
-in blocks where a node doesn't fit a task (LOCAL). What the centres don't join is branched
-further by tokens that the path chooses, with so many branches that a pair at similarity
-0.75 is expected in one at least, and compared exhaustively inside a task where branching
-saves less than half the work. A part of one component needs no further comparing.
-
-Comparing a node estimates similarity from the tokens. It first yields a spanning forest of
-the likely links (a node of n similar documents needs n - 1), which are confirmed on the
-full sets; a second pass yields every likely pair that the confirmed links have not yet
-joined, and confirms those. So components are those of all found links without
-materialising all pairs of a group.
+one minwise hash; nodes of up to LIMIT documents are compared exhaustively, larger ones are
+branched further by tokens that the path chooses, or compared exhaustively inside a task
+where branching saves less than half the work. Nodes that don't fit a task (LOCAL) are
+branched as a table.
+
+The trees grow in two waves. The first FIRST trees only yield a spanning forest of their
+likely links (a node of n similar documents needs n - 1; documents of large nodes meet the
+node's centre first, those that agree most with its commonest tokens). Those links are
+confirmed on the full sets and contracted to components, which label every document. In the
+second wave a node of one label needs no further comparing. Of the others, the documents
+that are likely similar to one of another label are brought together with their full sets,
+and every two of them that differ in label are compared exactly inside the task. What comes
+out is a forest of true links, so no wave ever writes more rows than its nodes have members.
 
 Defined cases: null or blank text gives an empty set, linked with nothing; fully repeated
 rows are one class and share its fate (identifiers are else taken as unique); a null
@@ -39,19 +40,24 @@ WORDS = 5
 PERCENT = 75
 TOKENS = 160
 TREES = 12
+#: Trees of the first wave.
+FIRST = 3
 LIMIT = 128
 #: Nodes of up to so many documents branch inside a task, larger ones as a table.
 LOCAL = 4096
-#: (branches, tokens a branch) of the levels below the first; the last is repeated. branches * 0.75**tokens is 1 at least.
-BRANCHES = ((3, 1), (2, 2), (4, 4), (10, 8))
-TABLE_BRANCHES = ((2, 2), (4, 4), (10, 8))
+#: (branches, tokens a branch) of the levels below the first: a pair at similarity 0.75 stays together on a level with a
+#: chance of 1 - (1 - 0.75**tokens)**branches, which is 0.98 at least. What is left after the last level is compared in full.
+BRANCHES = ((4, 1), (5, 2), (12, 4))
+TABLE_BRANCHES = ((4, 1), (5, 2))
 #: Centres that a large node's documents are compared with first, and rows that tell where a centre is.
 CENTRES, SKETCH = 4, 256
 #: Pairs that agree on fewer than FEW of the first GLANCE tokens are passed over: five deviations under 0.75.
 GLANCE, FEW = 32, 12
-#: Estimates below this are not candidates: over three deviations under 0.75 at TOKENS tokens.
-ESTIMATE = 0.64
+#: Estimates below these are not candidates: of the first wave, and of the second, four deviations under 0.75 at TOKENS tokens.
+LIKELY, POSSIBLE = 0.7, 0.61
 SURE = 0.87
+#: Shingles of a node that are compared in one task; nodes with more are dealt into blocks, of which every two meet.
+WEIGHT = 4_000_000
 
 
 def _lowered(texts: list[str | None]) -> list[bytes]:
@@ -85,30 +91,36 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("size") <= LOCAL).drop("size"), marked.where(F.col("size") > LOCAL)
 
 
-def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def nodes_of(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """(node, doc_id) of every node with several documents that fits a task, and (node, doc_id, size) of larger ones."""
-    keyed = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    keyed = classes.select("doc_id", F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
     return _split(keyed.select(F.xxhash64("tree", "key").alias("node"), "doc_id"))
 
 
+def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut anew so that no node is in two."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        node = now.column(0).to_numpy()
+        last = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+        held = now.slice(last)
+        if last:
+            yield now.slice(0, last)
+    if held is not None:
+        yield held
+
+
 def _per_node(rows: DataFrame, work, schema: str) -> DataFrame:
     """work's batches of whole nodes; rows are (node, ..., tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(i).to_numpy() for i in range(batch.num_columns - 1)]
-            now.append(batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, TOKENS))
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-            held = [x[last:] for x in now]
-            if last:
-                yield work(*[x[:last] for x in now])
-        if held is not None:
-            yield work(*held)
+        for table in _whole_nodes(batches):
+            tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
+            yield work(*[c.to_numpy() for c in table.columns[:-1]], tokens)
 
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, schema)
 
@@ -203,12 +215,12 @@ def _children(path: int, level: int, rows: np.ndarray, tokens: np.ndarray) -> It
                 yield hash((path, level, branch, k)), rows[part]
 
 
-def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The likely ones of pairs x, y, and their estimates."""
+def _similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, tokens: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs x, y whose estimates are at least so large, and these."""
     ok = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
     x, y = x[ok], y[ok]
     likely = (tokens[x] == tokens[y]).mean(axis=1) if len(x) else np.zeros(0)
-    ok = likely >= ESTIMATE
+    ok = likely >= least
     return x[ok].astype(np.int32), y[ok].astype(np.int32), likely[ok].astype(np.float32)
 
 
@@ -220,71 +232,65 @@ def _to_centres(rows: np.ndarray, ids: np.ndarray, n: np.ndarray, label: np.ndar
             return
         centre = left[_centre(ids[left], tokens[left])[0]]
         near = rows[label[rows] != label[centre]]
-        x, y, likely = _similar(np.full(len(near), centre), near, n, tokens)
+        x, y, likely = _similar(np.full(len(near), centre), near, n, tokens, LIKELY)
         yield x, y, likely
         label[rows[np.isin(label[rows], label[y])]] = label[centre]
         left = left[label[left] != label[centre]]
 
 
-def _all_open(rows: np.ndarray, n: np.ndarray, label: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _all_open(rows: np.ndarray, n: np.ndarray, label: np.ndarray, tokens: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Likely ones of all pairs of rows that differ in label."""
     kinds, at, counts = np.unique(label[rows], return_inverse=True, return_counts=True)
     order = np.lexsort((at, counts[at]))  # the commonest label last: its rows begin no pair
     rows, at = rows[order], at[order]
-    glance, own = np.ascontiguousarray(tokens[rows, :GLANCE]), n[rows]
+    glance = np.ascontiguousarray(tokens[rows, :GLANCE])
     for i in range(len(rows) - int(counts.max())):
-        least = i + 1 + np.flatnonzero((glance[i + 1 :] == glance[i]).sum(axis=1) >= FEW)
-        y = least[at[least] != at[i]]
+        y = i + 1 + np.flatnonzero((glance[i + 1 :] == glance[i]).sum(axis=1) >= FEW)
+        y = y[at[y] != at[i]]
         if len(y):
-            yield _similar(np.full(len(y), rows[i]), rows[y], n, tokens)
+            yield _similar(np.full(len(y), rows[i]), rows[y], n, tokens, least)
 
 
-def _forest(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, likely: np.ndarray) -> np.ndarray:
-    """Which pairs of rows x, y with identifiers low < high make a spanning forest.
+def _forest(low: np.ndarray, high: np.ndarray, likely: np.ndarray) -> np.ndarray:
+    """Which pairs of documents low < high make a spanning forest.
 
     Nearly certain links come first, those of small identifiers before others, so that the
     trees that meet a group mostly agree on its links.
     """
     kept, root = [], {}
-
-    def find(i):
-        while root.get(i, i) != i:
-            root[i] = i = root.get(root[i], root[i])
-        return i
-
     for i in np.lexsort((high, low, np.maximum(0, SURE - likely))).tolist():
-        a, b = find(int(x[i])), find(int(y[i]))
+        a, b = _root(root, int(low[i])), _root(root, int(high[i]))
         if a != b:
             root[max(a, b)] = min(a, b)
             kept.append(i)
     return np.array(kept, np.int64)
 
 
-def _compare(node, ids, n, label, tokens, forest: bool):
-    """Likely pairs of the rows of each node (rows of a node stand together)."""
-    parts, found = [], [[np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.float32)]]
+def _root(root: dict[int, int], i: int) -> int:
+    while root.get(i, i) != i:
+        root[i] = i = root.get(root[i], root[i])
+    return i
+
+
+def _open_likely(node, ids, n, label, tokens, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of likely pairs of rows of a node that differ in label (rows of a node stand together)."""
+    least, parts = LIKELY if first else POSSIBLE, []
     for a, b in _bounds(node):
-        if b - a <= LIMIT:
-            if forest or (label[a:b] != label[a]).any():  # of one label, nothing is left to join
-                parts.append(np.arange(a, b))
-            continue
-        own = label.copy() if forest else label
         open_ = [(int(node[a]), np.arange(a, b), 0)]
         while open_:
             path, rows, level = open_.pop()
-            if forest and len(rows) > LIMIT:
-                found.extend(_to_centres(rows, ids, n, own, tokens))
-            work = _open_pairs(own[rows])
-            if not work:
-                continue
+            if first and len(rows) > LIMIT:
+                yield from _to_centres(rows, ids, n, label, tokens)
             if len(rows) <= LIMIT:
-                parts.append(rows)
+                if (label[rows] != label[rows[0]]).any():  # of one label, nothing is left to join
+                    parts.append(rows)
                 continue
-            children = list(_children(path, level, rows, tokens))
-            if 2 * sum(_open_pairs(own[c]) for _, c in children) < work:
+            work = _open_pairs(label[rows])
+            children = list(_children(path, level, rows, tokens)) if work and level < len(BRANCHES) else []
+            if children and 2 * sum(_open_pairs(label[c]) for _, c in children) < work:
                 open_.extend((p, c, level + 1) for p, c in children)
-            else:  # branching saves little, so all are compared
-                found.extend(_all_open(rows, n, own, tokens))
+            elif work:  # branching saves little, so all are compared
+                yield from _all_open(rows, n, label, tokens, least)
     sizes = np.array([len(p) for p in parts], np.int64)
     for m in np.unique(sizes[sizes > 1]).tolist():
         own, (i, j) = np.stack([p for p in parts if len(p) == m]), np.triu_indices(m, 1)
@@ -292,25 +298,80 @@ def _compare(node, ids, n, label, tokens, forest: bool):
         for at in range(0, len(own), step):
             x, y = own[at : at + step, i].ravel(), own[at : at + step, j].ravel()
             ok = label[x] != label[y]
-            found.append(_similar(x[ok], y[ok], n, tokens))
-    x, y, likely = (np.concatenate(c) for c in zip(*found, strict=True))
-    _, once = np.unique(np.minimum(x, y).astype(np.int64) << 32 | np.maximum(x, y), return_index=True)  # leaves overlap
-    x, y, likely = x[once], y[once], likely[once]
-    low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-    if forest:  # rows are in one node only, so one forest serves all nodes
-        kept = _forest(x, y, low, high, likely)
-        low, high = low[kept], high[kept]
-    return low, high
+            yield _similar(x[ok], y[ok], n, tokens, least)
+
+
+def likely_forest(rows: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) within the nodes of rows (node, doc_id, n_shingles, tokens), a spanning forest of each node."""
 
+    def work(node, ids, n, tokens):
+        found = list(_open_likely(node, ids, n, ids.copy(), tokens, True)) or [(np.zeros(0, np.int32),) * 3]
+        x, y, likely = (np.concatenate(c) for c in zip(*found, strict=True))
+        low, high = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+        kept = _forest(low, high, likely)
+        return pa.RecordBatch.from_arrays([pa.array(low[kept]), pa.array(high[kept])], names=["a", "b"])
 
-def node_pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """Likely pairs (a, b) within the nodes of rows (node, doc_id, n_shingles, label, tokens)."""
+    return _per_node(rows.select("node", "doc_id", "n_shingles", "tokens"), work, "a long, b long").distinct()
 
-    def work(*x):
-        a, b = _compare(*x, forest)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return _per_node(rows.select("node", "doc_id", "n_shingles", "label", "tokens"), work, "a long, b long").distinct()
+def still_open(rows: DataFrame) -> DataFrame:
+    """(node, doc_id) of those rows (node, doc_id, n_shingles, label, tokens) that are likely similar to one of their node with another label."""
+
+    def work(node, ids, n, label, tokens):
+        hit = np.zeros(len(node), bool)
+        for x, y, _ in _open_likely(node, ids, n, label, tokens, False):
+            hit[x] = hit[y] = True
+        return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(ids[hit])], names=["node", "doc_id"])
+
+    return _per_node(rows.select("node", "doc_id", "n_shingles", "label", "tokens"), work, "node long, doc_id long")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (node, doc_id, n_shingles, ...) with the nodes of more than WEIGHT shingles dealt into blocks, of which every two meet."""
+    weights = rows.groupBy("node").agg(F.sum("n_shingles").alias("weight"))
+    blocks = F.when(F.col("weight") > WEIGHT, F.ceil(F.col("weight") * 4 / WEIGHT)).otherwise(F.lit(1)).cast("long")
+    dealt = rows.join(weights.select("node", blocks.alias("blocks")), "node").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.withColumn("node", met).drop("blocks", "own", "other")
+
+
+def true_forest(rows: DataFrame) -> DataFrame:
+    """Links (a, b) by full sets within the nodes of rows (node, doc_id, label, set), a spanning forest over the labels of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_nodes(batches):
+            node, ids, label = (table.column(i).to_numpy() for i in range(3))
+            sets = table.column(3)
+            links = [link for a, b in _bounds(node) for link in _joined(ids[a:b], label[a:b], [np.frombuffer(s.as_buffer(), np.uint64) for s in sets.slice(a, b - a)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.select("node", "doc_id", "label", "set").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _joined(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets of different labels that join all labels that links join."""
+    _, at, counts = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, at, counts[at]))  # the commonest label last: its rows begin no pair
+    ids, label = ids[order], at[order]
+    size = np.array([len(sets[i]) for i in order])
+    start = np.concatenate([[0], np.cumsum(size)])
+    number = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    marked = np.zeros(int(number.max(initial=0)) + 1, np.uint8)
+    links = []
+    for i in range(len(ids) - int(counts.max())):
+        near = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= PERCENT * np.maximum(size[i + 1 :], size[i])))
+        if not len(near):
+            continue
+        marked[number[start[i] : start[i + 1]]] = 1
+        from_, to = int(near[0]), int(near[-1]) + 1
+        both = np.add.reduceat(marked[number[start[from_] : start[to]]], start[from_:to] - start[from_], dtype=np.int64)[near - from_]
+        marked[number[start[i] : start[i + 1]]] = 0
+        for j in near[100 * both >= PERCENT * (size[near] + size[i] - both)].tolist():
+            if label[j] != label[i]:
+                links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                label[label == label[j]] = label[i]
+    return links
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -359,28 +420,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         .agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens"))
     )
     members = classes.select("doc_id", "n_shingles", "tokens")
-    small, large = nodes_of(classes)
-    any_large = large.limit(1).count() > 0
-    nodes = small.unionByName(hub_blocks(large, members.drop("n_shingles"))) if any_large else small
-    first = cut(node_pairs(nodes.join(members, "doc_id").withColumn("label", F.col("doc_id")), forest=True))
+    tokens = classes.select("doc_id", "tokens")
+    small, large = nodes_of(classes, FIRST)
+    if large.limit(1).count():
+        small = small.unionByName(hub_blocks(large, tokens))
+    first = cut(likely_forest(small.join(members, "doc_id")))
     wanted = _ends(first)
     sets = cut(full_sets(docs, wanted, key, text, words).dropDuplicates(["doc_id"]))
     found = components(cut(confirmed(first, sets)))
     labels = found.withColumnsRenamed({"id": "doc_id", "component": "label"})
-    labelled = small.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    open_ = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
-    labelled = labelled.join(open_, "node", "left_semi").join(wanted, "doc_id", "left_semi")
-    if any_large:
-        far = large.join(labels, "doc_id", "left").select("node", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        labelled = labelled.unionByName(crossings(far, members.drop("n_shingles")))
-    rest = cut(node_pairs(labelled.join(members, "doc_id"), forest=False).join(first, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        new = cut(_ends(rest).join(wanted, "doc_id", "left_anti"))  # first met in branches of large nodes
-        if new.limit(1).count():
-            sets = sets.unionByName(cut(full_sets(docs, new, key, text, words).dropDuplicates(["doc_id"])))
-        more = cut(confirmed(rest, sets))
-        if more.limit(1).count():
-            found = components(more.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    small, large = nodes_of(classes)
+    rows = labelled(small)
+    open_ = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
+    rows = rows.join(open_, "node", "left_semi")
+    if large.limit(1).count():
+        rows = rows.unionByName(crossings(labelled(large).select("node", "doc_id", "label"), tokens))
+    left = cut(still_open(rows.join(members, "doc_id")))
+    new = cut(left.select("doc_id").distinct().join(wanted, "doc_id", "left_anti"))  # no candidates of the first wave
+    sets = sets.unionByName(full_sets(docs, new, key, text, words).dropDuplicates(["doc_id"]))
+    dealt = _in_blocks(left.join(classes.select("doc_id", "n_shingles"), "doc_id"))
+    more = cut(true_forest(labelled(dealt).join(sets, "doc_id")))
+    found = components(more.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b"))))
     groups = classes.select("d1", "d2", "n_shingles", F.col("doc_id").alias("id")).join(found, "id", "left")
     groups = groups.select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     placed = signed.join(groups, ["d1", "d2", "n_shingles"], "left")

@@ -63,3 +63,51 @@ def test_crossings_hold_every_open_pair(spark, monkeypatch):
     met = {(a, b) for x in blocks.values() for a in x for b in x if a < b and x[a] != x[b]}
     assert {(a, b) for a in range(5) for b in range(a + 1, 100)} <= met
     assert {(a, b) for a in range(100, 200) for b in range(a + 1, 200)} <= met
+
+
+def test_pairs_just_above_the_bound(spark):
+    """Pairs at 0.75 to 0.8 in large nodes of documents that share a passage and are else different."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"d{i}w{j}" for j in range(40)]
+        rows.append((i, " ".join(passage + own)))
+        if i < 60:  # 96 shingles, of which an edited word inside changes five
+            twin = passage + own
+            for p in rng.sample(range(1, 19), 2):
+                twin[p * 5] = f"e{i}x{p}"
+            twin += [f"t{i}y{j}" for j in range(rng.randrange(0, 5))]
+            rows.append((1000 + i, " ".join(twin)))
+    sets = brute_sets(rows)
+    likeness = [len(sets[i] & sets[1000 + i]) / len(sets[i] | sets[1000 + i]) for i in range(60)]
+    assert min(likeness) >= 0.75 and max(likeness) <= 0.83
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components(sets)
+
+
+def test_blocks_of_heavy_nodes_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "WEIGHT", 50)
+    rows = spark.createDataFrame([(1, i, 10) for i in range(30)] + [(2, i, 3) for i in range(4)], "node long, doc_id long, n_shingles long")
+    blocks = {}
+    for r in near_dedup._in_blocks(rows).collect():
+        blocks.setdefault(r.node, set()).add(r.doc_id)
+    assert blocks.pop(2) == set(range(4))
+    assert {(a, b) for x in blocks.values() for a in x for b in x if a < b} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+    assert max(map(len, blocks.values())) < 30
+
+
+def test_no_wave_writes_more_rows_than_its_nodes_have(spark):
+    """Copies that are all likely similar, few of them truly: pairs meet inside tasks only."""
+    docs = spark.createDataFrame(copies(400, (13,), 7), "doc_id long, text string")
+    signed = near_dedup.signatures(docs).cache()
+    nodes, large = near_dedup.nodes_of(signed)
+    assert large.count() == 0
+    rows = nodes.join(signed.select("doc_id", "n_shingles", "tokens"), "doc_id")
+    assert near_dedup.likely_forest(rows).count() < rows.count()
+    apart = rows.selectExpr("*", "doc_id AS label")
+    assert near_dedup.still_open(apart).count() <= rows.count()
+    sets = near_dedup.full_sets(docs, signed.select("doc_id"), "doc_id", "text", 5)
+    links = near_dedup.true_forest(apart.join(sets, "doc_id"))
+    assert 399 <= links.count() <= rows.count()
+    signed.unpersist()
