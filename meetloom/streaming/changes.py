@@ -10,20 +10,29 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.changes import ENTRY, snapshot_changed, snapshot_diff
 
 KEYS = ["inbox_id", *ENTRY]
+COMPACT = 16  # batches between two full states
 
 
 def _table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What is stored at path; no rows if there is nothing yet. Other faults are raised."""
     try:
         return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:  # nothing stored yet
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], like.schema)
 
 
-def latest_state(history: DataFrame) -> DataFrame:
-    """The last accepted snapshot of every inbox from the append-only history (batch_id, snapshot_id, entry)."""
-    last = history.groupBy("inbox_id").agg(F.max(F.struct("batch_id", "snapshot_id")).alias("last"))
-    joined = history.join(last, "inbox_id").where(F.struct("batch_id", "snapshot_id") == F.col("last"))
-    return joined.select(*KEYS)
+def latest_state(spark: SparkSession, state: str, before: int, like: DataFrame) -> DataFrame:
+    """The last accepted snapshot of every inbox before a batch.
+
+    Each batch stores the inboxes it accepted in run=batch; every COMPACT-th stores all
+    inboxes instead, so at most COMPACT runs are read, however long the stream has run.
+    """
+    first = before - 1 - (before - 1) % COMPACT
+    runs = _table(spark, state, like.withColumn("run", F.lit(0).cast("long"))).where(F.col("run").between(first, before - 1))
+    last = runs.groupBy("inbox_id").agg(F.max("run").alias("run"))
+    return runs.join(last, ["inbox_id", "run"]).select(*KEYS)
 
 
 def accept(batch: DataFrame, batch_id: int, sink: str, state: str) -> None:
@@ -31,18 +40,18 @@ def accept(batch: DataFrame, batch_id: int, sink: str, state: str) -> None:
 
     Changes are written first, the state last, both into folders of the batch, so that a batch
     that is run again replaces its own output. Unchanged inboxes keep their state; a snapshot
-    without entries (name null) is a failed one.
+    without entries (name null) is a failed one. Batches are numbered from 0 on without gaps.
     """
-    spark = batch.sparkSession
     newest = batch.groupBy("inbox_id").agg(F.max("snapshot_id").alias("snapshot_id"))
-    remote = batch.join(newest, ["inbox_id", "snapshot_id"]).where("name IS NOT NULL")
-    kept = remote.select(*KEYS, "snapshot_id").withColumn("batch_id", F.lit(batch_id).cast("long"))
-    history = _table(spark, state, kept).where(F.col("batch_id") < batch_id)
-    cached = latest_state(history).join(newest.select("inbox_id"), "inbox_id", "left_semi")
+    remote = batch.join(newest, ["inbox_id", "snapshot_id"]).where("name IS NOT NULL").select(*KEYS)
+    before = latest_state(batch.sparkSession, state, batch_id, remote)
+    cached = before.join(newest.select("inbox_id"), "inbox_id", "left_semi")
     changed = snapshot_changed(remote, cached).where("changed AND n_remote > 0").select("inbox_id")
     rows = snapshot_diff(remote.join(changed, "inbox_id", "left_semi"), cached.join(changed, "inbox_id", "left_semi"))
     rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{sink}/run={batch_id}")
-    accepted = kept.join(changed, "inbox_id", "left_semi")
+    accepted = remote.join(changed, "inbox_id", "left_semi")
+    if batch_id % COMPACT == 0:
+        accepted = accepted.unionByName(before.join(changed, "inbox_id", "left_anti"))
     accepted.write.mode("overwrite").parquet(f"{state}/run={batch_id}")
 
 
@@ -52,11 +61,16 @@ def change_stream(snapshots: DataFrame, sink: str, state: str, checkpoint: str)
 
 
 def process_new_slots(batch: DataFrame, batch_id: int, results: str, compute) -> None:
-    """One micro-batch of slots (T2): compute makes results of those whose content_key has none yet, one a key."""
-    first = batch.groupBy("content_key").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "content_key"]), "slot_id").alias("s")).select("content_key", "s.*")
-    stamped = compute(first).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    known = _table(batch.sparkSession, results, stamped).where(F.col("batch_id") < batch_id).select("content_key").distinct()
-    stamped.join(known, "content_key", "left_anti").write.mode("overwrite").parquet(f"{results}/run={batch_id}")
+    """One micro-batch of slots (T2): compute makes results of those whose content_key has none yet, one a key.
+
+    Keys with a result don't reach compute. What earlier batches stored is told by their
+    run folders, so a batch that is run again computes and replaces its own.
+    """
+    stored = _table(batch.sparkSession, results, batch.select("content_key", F.lit(0).cast("long").alias("run")))
+    known = stored.where(F.col("run") < batch_id).select("content_key").distinct()
+    new = batch.join(known, "content_key", "left_anti")
+    first = new.groupBy("content_key").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "content_key"]), "slot_id").alias("s")).select("content_key", "s.*")
+    compute(first).write.mode("overwrite").parquet(f"{results}/run={batch_id}")
 
 
 def incremental_slots(stream: DataFrame, results: str, checkpoint: str, compute) -> DataStreamWriter:
