@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import grammar
 from ..sources import documents, listing, state
 from ..streaming import changes as streams
-from .adapters import VIEWS, view
+from .adapters import TABLES, VIEWS, view
 from .registry import ORACLE_SQL, QUERIES, query, with_views
 
 
@@ -146,15 +146,22 @@ QUERIES["s8_write_schedule"] = s8
 ORACLE_SQL["s8_write_schedule"] = with_views("SELECT CAST(meeting_id AS INTEGER) AS meeting_id, ord, name, start_time, end_time FROM sessions")
 
 
+# a person's header over a category with sub-items and nested headers, a struck-out line, and a time range after it
 @query("f25_parse_cell_grammar", "items", oracle="""
-SELECT meeting_id, day, tb, room_name, name, duration_minutes, 'Kim' AS chair, '6GR' AS group_header FROM (
-  SELECT *, count(*) OVER (PARTITION BY meeting_id, day, tb, room_name) AS n FROM (SELECT meeting_id, day, tb, room_name, concat('item ', ord) AS name, duration_minutes FROM items WHERE duration_minutes > 0))""")
+WITH k AS (SELECT * FROM items WHERE duration_minutes > 0)
+SELECT meeting_id, day, tb, room_name, concat('item ', ord) AS name, duration_minutes, 'Kim' AS chair, '6GR' AS group_header, NULL AS specified_start_time FROM k WHERE ord % 3 > 0
+UNION ALL SELECT meeting_id, day, tb, room_name, concat('first of ', ord), duration_minutes, 'Kim', concat('Topic ', ord), NULL FROM k WHERE ord % 3 = 0
+UNION ALL SELECT meeting_id, day, tb, room_name, concat('second of ', ord), 10, 'Kim', concat('Topic ', ord), NULL FROM k WHERE ord % 3 = 0
+UNION ALL SELECT DISTINCT meeting_id, day, tb, room_name, 'late one', 90, NULL, '', '13:00' FROM k""")
 def f25(items):
-    line = F.concat(F.lit(".item "), "ord", F.lit(" ("), "duration_minutes", F.lit(")"))
-    kept = items.where("duration_minutes > 0").groupBy("meeting_id", "day", "tb", "room_name").agg(F.sum("duration_minutes").alias("n"), F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("l"))
-    text = F.concat(F.lit("Kim ("), "n", F.lit(")\n6GR\n"), F.array_join(F.col("l.l"), "\n"), F.lit("\n~~gone (30)~~"))
+    ord_, minutes = F.col("ord").cast("string"), F.col("duration_minutes")
+    nested = F.concat(F.lit("Topic "), ord_, F.lit(" ("), minutes + 10, F.lit(")\n.first of "), ord_, F.lit(" ("), minutes, F.lit(")\n.second of "), ord_, F.lit(" (10)"))
+    line = F.when(F.col("ord") % 3 == 0, nested).otherwise(F.concat(F.lit(".item "), ord_, F.lit(" ("), minutes, F.lit(")")))
+    total = F.sum(minutes + F.when(F.col("ord") % 3 == 0, 10).otherwise(0))
+    kept = items.where("duration_minutes > 0").groupBy("meeting_id", "day", "tb", "room_name").agg(total.alias("n"), F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))).alias("l"))
+    text = F.concat(F.lit("Kim ("), "n", F.lit(")\n6GR\n"), F.array_join(F.col("l.l"), "\n"), F.lit("\n~~gone (30)~~\n13:00 ~ 14:30\nlate one"))
     out = grammar.parse_cells(kept.withColumn("text", text), ["Kim"])
-    return out.select("meeting_id", "day", "tb", "room_name", "name", "duration_minutes", "chair", "group_header")
+    return out.select("meeting_id", "day", "tb", "room_name", "name", "duration_minutes", "chair", "group_header", "specified_start_time")
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -166,7 +173,7 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is listed now arrives as a stream over the state that the stored listing left."""
     base = shared_path(spark, "changes")
     sink, state_dir = f"{base}/sink", f"{base}/state"
-    streams.accept(view(spark, sf_dir, "cached").withColumn("snapshot_id", F.lit(1)), -1, f"{base}/first", state_dir)
+    streams.accept(view(spark, sf_dir, "cached").withColumn("snapshot_id", F.lit(1)), -1, f"{base}/first", state_dir)  # a run before the stream's first
     sql = VIEWS["remote"].replace("FROM events", "FROM {events}")
     remote = spark.sql(sql, events=_stream(spark, sf_dir, "events")).withColumn("snapshot_id", F.lit(2))
     streams.change_stream(remote, sink, state_dir, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -203,9 +210,10 @@ FROM (SELECT l_orderkey, concat_ws('|', l_partkey % 50, l_returnflag, l_linestat
 
 
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given files as documents: name and length."""
+    """The tables' files as documents: names, and whether they have any bytes."""
     files = documents.read_documents(spark, sf_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled"))
 
 
 QUERIES["s3_read_documents"] = s3
+ORACLE_SQL["s3_read_documents"] = "SELECT name || '.parquet' AS name, true AS filled FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") t(name)"

@@ -7,54 +7,69 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DOCUMENT_EXTENSIONS
+from ..constants import DOCUMENT_EXTENSIONS, ERROR_PAGE_BYTES
 from ..functions import text as T
 
+#: What opening a damaged or encrypted file raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError, OSError, RuntimeError, NotImplementedError)
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files below path (S3): path, modificationTime, length, content; error pages left out (P5)."""
+    """Files below path (S3): path, modificationTime, length, content; error pages left out (P5).
+
+    Only files of up to ERROR_PAGE_BYTES can be error pages, so of others no content is read
+    unless it is asked for.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
-    return files.where(~T.is_error_page(text, F.col("length")))
+    small, large = files.where(F.col("length") <= ERROR_PAGE_BYTES), files.where(F.col("length") > ERROR_PAGE_BYTES)
+    text = F.decode("content", "ISO-8859-1")
+    return large.unionByName(small.where(~T.is_error_page(text, F.col("length"))))
+
+
+def _opened(read, *of):
+    """What read makes of a file; None if that is damaged or encrypted."""
+    try:
+        return read(*of)
+    except BROKEN:
+        return None
 
 
 def resolve_archives(files: DataFrame) -> DataFrame:
-    """Each archive's document (S4): path, entry, name, content.
+    """Each archive's document (S4): path, name, content.
 
-    Folders and resource forks are skipped; the first entry of the best extension counts;
-    a broken archive or one without a document gives no row. Other files pass as they are.
+    Folders and resource forks are skipped; the first entry of the best extension counts and
+    is the only one that is read; an archive that is broken or encrypted there, or has no
+    document, gives no row. Other files pass as they are.
     """
 
+    def chosen(path: str, content: bytes) -> tuple[str, bytes] | None:
+        if not path.lower().endswith(".zip"):
+            return path, content
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            ranked = []
+            for i, name in enumerate(archive.namelist()):
+                rank = next((k for k, e in enumerate(DOCUMENT_EXTENSIONS) if name.lower().endswith(e)), None)
+                if rank is not None and not name.startswith("__MACOSX") and not name.endswith("/"):
+                    ranked.append((rank, i, name))
+            return (min(ranked)[2], archive.read(min(ranked)[2])) if ranked else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for i, name in enumerate(archive.namelist()):
-                            rank = next((k for k, e in enumerate(DOCUMENT_EXTENSIONS) if name.lower().endswith(e)), None)
-                            if rank is not None and not name.startswith("__MACOSX") and not name.endswith("/"):
-                                out.append((path, rank, i, name, archive.read(name)))
-                except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError):
-                    continue
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "rank", "entry", "name", "content"])
-
-    zips = files.where(F.lower("path").endswith(".zip")).select("path", "content").mapInArrow(run, "path string, rank int, entry int, name string, content binary")
-    first = zips.withColumn("__n", F.row_number().over(Window.partitionBy("path").orderBy("rank", "entry"))).where("__n = 1")
-    chosen = first.select("path", F.element_at(F.split("name", "/"), -1).alias("name"), "content")
-    plain = files.where(~F.lower("path").endswith(".zip")).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return chosen.unionByName(plain)
+            for path, content in zip(*batch.columns, strict=True):  # a file at a time, they may be large
+                if found := _opened(chosen, path.as_py(), content.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([found[0].rsplit("/", 1)[-1]]), pa.array([found[1]], pa.binary())], names=["path", "name", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")
 
 
 def _flag(run: ElementTree.Element, *names: str) -> bool:
@@ -80,22 +95,23 @@ def _value(parent: ElementTree.Element | None, name: str, attribute: str) -> str
     return None if mark is None else mark.get(W + attribute, "")
 
 
-def document_rows(content: bytes) -> Iterator[tuple]:
+def document_rows(content: bytes) -> list[tuple]:
     """(kind, table_idx, row_idx, tc_idx, grid_span, v_merge, fill, text, runs) of a document's body in order."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
-    table = 0
+    table, rows = 0, []
     for pos, block in enumerate([] if body is None else body):
         if block.tag == f"{W}p":
-            yield ("paragraph", pos, None, None, None, None, None, "".join(t.text or "" for t in block.iter(f"{W}t")).strip(), [])
+            rows.append(("paragraph", pos, None, None, None, None, None, "".join(t.text or "" for t in block.iter(f"{W}t")).strip(), []))
         elif block.tag == f"{W}tbl":
-            yield ("table", pos, None, None, None, None, None, "", [])
+            rows.append(("table", pos, None, None, None, None, None, "", []))
             for r, row in enumerate(block.findall(f"{W}tr")):
                 for c, cell in enumerate(row.findall(f"{W}tc")):
                     own = cell.find(f"{W}tcPr")
                     span = _value(own, "gridSpan", "val")
-                    yield ("cell", table, r, c, int(span or 1), _value(own, "vMerge", "val"), _value(own, "shd", "fill"), "", _runs(cell))
+                    rows.append(("cell", table, r, c, int(span or 1), _value(own, "vMerge", "val"), _value(own, "shd", "fill"), "", _runs(cell)))
             table += 1
+    return rows
 
 
 _ROWS = "path string, kind string, table_idx int, row_idx int, tc_idx int, grid_span int, v_merge string, fill string, text string, runs array<struct<para:int,text:string,strike:boolean>>"
@@ -104,7 +120,7 @@ _ROWS = "path string, kind string, table_idx int, row_idx int, tc_idx int, grid_
 def extract_tables(documents: DataFrame) -> DataFrame:
     """Rows of the documents' bodies (S5): cells with their runs, and paragraphs and tables in order (table_idx is their position).
 
-    A file that can't be opened gives no row.
+    A file that is damaged, encrypted or no document gives no row.
     """
     runs = pa.list_(pa.struct([("para", pa.int32()), ("text", pa.string()), ("strike", pa.bool_())]))
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), runs)
@@ -113,11 +129,8 @@ def extract_tables(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    out.extend((path, *row) for row in document_rows(content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError):
-                    continue
+            for path, content in zip(*batch.columns, strict=True):
+                out += [(path.as_py(), *row) for row in _opened(document_rows, content.as_py()) or []]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
