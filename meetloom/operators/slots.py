@@ -86,25 +86,27 @@ def room_hints(rooms: DataFrame) -> DataFrame:
 
 
 def room_aliases(rooms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, alias, name) of a day's rooms (W4), with the aliases of several rooms."""
+    """(keys, alias, name, place) of a day's rooms (W4), with the aliases of several rooms, whose place is null.
+
+    A name that stands in several places has an alias for each; ALL_ROOMS names it once.
+    """
     day = Window.partitionBy(*keys)
     ranked = rooms.withColumns({"t": F.dense_rank().over(day.orderBy("table_index")), "i": F.row_number().over(day.orderBy("table_index", "pos"))})
     n_online = F.count_if(F.col("t") == 1).over(day)
     alias = F.when(F.col("t") > 1, F.concat(F.lit("RAN1_off"), (F.col("i") - n_online).cast("string"))).when(F.col("i") == 1, "RAN1_main").otherwise(F.concat(F.lit("RAN1_brk"), (F.col("i") - 1).cast("string")))
-    single = ranked.select(*keys, alias.alias("alias"), "name", "t", "i")
+    single = ranked.select(*keys, alias.alias("alias"), "name", "t", F.col("i").alias("place"))
 
     def joined(df: DataFrame, name: str) -> DataFrame:
-        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("r")).where(F.size("r") > 1)
-        return listed.select(*keys, F.lit(name).alias("alias"), F.array_join(F.col("r.name"), " + ").alias("name"))
+        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("r")).where(F.size("r") > 1)
+        return listed.select(*keys, F.lit(name).alias("alias"), F.array_join(F.col("r.name"), " + ").alias("name"), F.lit(None).cast("int").alias("place"))
 
-    own = single.select(*keys, "alias", "name")
-    return own.unionByName(joined(single.where("t = 1"), "ALL_ONLINE")).unionByName(joined(single, "ALL_ROOMS"))
+    once = single.groupBy(*keys, "name").agg(F.min("place").alias("place"))
+    return single.drop("t").unionByName(joined(single.where("t = 1"), "ALL_ONLINE")).unionByName(joined(once, "ALL_ROOMS"))
 
 
 def alias_map(aliases: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, aliases): each day's map of room names to aliases; of a name's several aliases the last counts."""
-    single = aliases.where(~F.col("alias").isin("ALL_ONLINE", "ALL_ROOMS"))
-    last = single.groupBy(*keys, "name").agg(F.max_by("alias", F.struct(F.length("alias"), "alias")).alias("alias"))
+    """(keys, aliases): each day's map of room names to aliases; of a name's several aliases that of its last place counts."""
+    last = aliases.where("place IS NOT NULL").groupBy(*keys, "name").agg(F.max_by("alias", "place").alias("alias"))
     return last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("aliases"))
 
 
@@ -146,7 +148,7 @@ def slot_payload(slotted: DataFrame, main_rooms: DataFrame) -> DataFrame:
 
 
 def rooms_from_context(contexts: DataFrame, hints: DataFrame, needed: str = "n_rooms") -> DataFrame:
-    """Rooms that headings speak of (J13): (context_id, rooms), the first rule with a hit, n_rooms at most.
+    """Rooms that headings speak of (J13): (meeting_id, context_id, rooms), the first rule with a hit, n_rooms at most.
 
     contexts has (meeting_id, context_id, context, n_rooms). Rules: a room's label or a way
     to write it; numbered breakouts; "offline"; "online"; "main session".
@@ -168,10 +170,11 @@ def rooms_from_context(contexts: DataFrame, hints: DataFrame, needed: str = "n_r
         .when((F.col("role") == "main") & low.contains("main session"), F.struct(F.lit(5).alias("rule"), F.col("place").alias("k")))
     )
     hits = c.withColumn("r", rule).where("r IS NOT NULL")
-    first = hits.groupBy("context_id").agg(F.min("r.rule").alias("best"))
-    kept = hits.join(first, "context_id").where("r.rule = best")
-    listed = kept.groupBy("context_id", needed).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("r.k").alias("k"), "name"))), lambda x: x["name"]).alias("rooms"))
-    return listed.select("context_id", F.slice("rooms", 1, F.greatest(F.col(needed), F.lit(1))).alias("rooms"))
+    found = F.array_sort(F.collect_list(F.struct(F.col("r.rule").alias("rule"), F.col("r.k").alias("k"), "name")))
+    listed = hits.groupBy("meeting_id", "context_id", needed).agg(found.alias("found"))
+    best = F.filter("found", lambda x: x["rule"] == F.col("found")[0]["rule"])  # sorted, so the first has the best rule
+    listed = listed.withColumn("rooms", F.transform(best, lambda x: x["name"]))
+    return listed.select("meeting_id", "context_id", F.slice("rooms", 1, F.greatest(F.col(needed), F.lit(1))).alias("rooms"))
 
 
 def resolve_generic_rooms(tables: DataFrame, hints: DataFrame) -> DataFrame:
@@ -185,7 +188,7 @@ def resolve_generic_rooms(tables: DataFrame, hints: DataFrame) -> DataFrame:
     found = rooms_from_context(asked, hints).withColumnRenamed("rooms", "__found")
     n = F.size("rooms")
     filled = F.slice(F.concat("__found", F.when(F.size("__found") < n, F.slice("rooms", F.size("__found") + 1, n)).otherwise(F.array().cast("array<string>"))), 1, n)
-    return tables.join(found, "context_id", "left").withColumn("rooms", F.coalesce(filled, "rooms")).drop("__found")
+    return tables.join(found, ["meeting_id", "context_id"], "left").withColumn("rooms", F.coalesce(filled, "rooms")).drop("__found")
 
 
 def reuse_timezone(meetings: DataFrame, state: DataFrame, places: DataFrame) -> DataFrame:
@@ -200,8 +203,8 @@ def enrich_main_with_detail(main: DataFrame, detail: DataFrame) -> DataFrame:
     """Main items with what detail items of their slot add.
 
     main has (slot, ord, room_name, name, duration_minutes, agenda_item, chair), detail the same with source.
-    A detail item matches by equal duration and topic (one name contains the other). The most
-    specific name and all agenda items are taken; a main chair stays, else that of a single
+    A detail item matches by equal duration and topic (its name contains the main item's, both
+    without anything but letters and digits). The most specific name and all agenda items are taken; a main chair stays, else that of a single
     source; rooms always stay.
     """
     left = main.select(*SLOT, "ord", "duration_minutes", T.token_norm(F.col("name")).alias("__topic"))

@@ -76,17 +76,39 @@ def a2(rooms):
     return slots.room_hints(rooms)
 
 
-W4 = """ra AS (
-  SELECT meeting_id, day, pos, table_index, name, CASE WHEN table_index > first THEN concat('RAN1_off', rn - online) WHEN rn = 1 THEN 'RAN1_main' ELSE concat('RAN1_brk', rn - 1) END AS alias, table_index = first AS on_
-  FROM (SELECT *, row_number() OVER w AS rn, min(table_index) OVER d AS first, count(*) FILTER (table_index = f0) OVER d AS online FROM (SELECT *, min(table_index) OVER (PARTITION BY meeting_id, day) AS f0 FROM rooms) WINDOW w AS (PARTITION BY meeting_id, day ORDER BY table_index, pos), d AS (PARTITION BY meeting_id, day)))"""
+# every third meeting has its first room in the last table too, every fourth ten more breakouts
+REPEATED = """rr AS (
+  SELECT meeting_id, day, table_index, pos, name FROM rooms
+  UNION ALL SELECT DISTINCT meeting_id, day, 9, 90, 'F1+F2' FROM rooms WHERE meeting_id % 3 = 0
+  UNION ALL SELECT meeting_id, day, 0, CAST(10 + k AS INTEGER), concat('B', k) FROM (SELECT DISTINCT meeting_id, day FROM rooms WHERE meeting_id % 4 = 0), range(0, 11) t(k)
+  UNION ALL SELECT DISTINCT meeting_id, day, 8, 80, 'B9' FROM rooms WHERE meeting_id % 4 = 0)"""
+W4 = f"""{REPEATED},
+ra AS (
+  SELECT meeting_id, day, rn, pos, table_index, name, CASE WHEN table_index > first THEN concat('RAN1_off', rn - online) WHEN rn = 1 THEN 'RAN1_main' ELSE concat('RAN1_brk', rn - 1) END AS alias, table_index = first AS on_
+  FROM (SELECT *, row_number() OVER w AS rn, min(table_index) OVER d AS first, count(*) FILTER (table_index = f0) OVER d AS online FROM (SELECT *, min(table_index) OVER (PARTITION BY meeting_id, day) AS f0 FROM rr) WINDOW w AS (PARTITION BY meeting_id, day ORDER BY table_index, pos), d AS (PARTITION BY meeting_id, day))),
+na AS (SELECT meeting_id, day, name, arg_max(alias, rn) AS alias, min(rn) AS rn FROM ra GROUP BY 1, 2, 3)"""
+
+
+def _repeated(rooms: DataFrame) -> DataFrame:
+    columns = ["meeting_id", "day", "table_index", "pos", "name"]
+    days = rooms.select("meeting_id", "day").distinct()
+
+    def more(where: str, table: int, pos, name) -> DataFrame:
+        return days.where(where).select("meeting_id", "day", F.lit(table).alias("table_index"), pos, name)
+
+    k = F.explode(F.sequence(F.lit(0), F.lit(10)))
+    many = more("meeting_id % 4 = 0", 0, k.alias("pos"), F.lit("").alias("name")).withColumns({"name": F.concat(F.lit("B"), F.col("pos").cast("string")), "pos": F.col("pos") + 10})
+    out = rooms.select(*columns).unionByName(many)
+    out = out.unionByName(more("meeting_id % 3 = 0", 9, F.lit(90).alias("pos"), F.lit("F1+F2").alias("name")))
+    return out.unionByName(more("meeting_id % 4 = 0", 8, F.lit(80).alias("pos"), F.lit("B9").alias("name")))
 
 
 @query("w4_room_aliases", "rooms", oracle=f"""WITH {W4}
-SELECT meeting_id, day, alias, name FROM ra
-UNION ALL SELECT meeting_id, day, 'ALL_ONLINE', string_agg(name, ' + ' ORDER BY pos) FROM ra WHERE on_ GROUP BY 1, 2 HAVING count(*) > 1
-UNION ALL SELECT meeting_id, day, 'ALL_ROOMS', string_agg(name, ' + ' ORDER BY pos) FROM ra GROUP BY 1, 2 HAVING count(*) > 1""")
+SELECT meeting_id, day, alias, name, CAST(rn AS INTEGER) AS place FROM ra
+UNION ALL SELECT meeting_id, day, 'ALL_ONLINE', string_agg(name, ' + ' ORDER BY rn), NULL FROM ra WHERE on_ GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT meeting_id, day, 'ALL_ROOMS', string_agg(name, ' + ' ORDER BY rn), NULL FROM na GROUP BY 1, 2 HAVING count(*) > 1""")
 def w4(rooms):
-    return slots.room_aliases(rooms, ["meeting_id", "day"])
+    return slots.room_aliases(_repeated(rooms), ["meeting_id", "day"])
 
 
 @query("f15_room_alias_tokens", "items", oracle="""
@@ -102,10 +124,10 @@ def f15(items):
 @query("f16_alias_label", "slot_cells", "rooms", oracle=f"""WITH {MERGED}, {W4},
 p AS (SELECT e.ord, e.meeting_id, e.day, CASE WHEN contains(room_label, ': ') THEN split_part(room_label, ': ', 1) || ': ' ELSE '' END AS pre, CASE WHEN contains(room_label, ': ') THEN split_part(room_label, ': ', 2) ELSE room_label END AS rest FROM e),
 q AS (SELECT ord, meeting_id, day, pre, unnest(string_split(rest, ' + ')) AS part, generate_subscripts(string_split(rest, ' + '), 1) AS i FROM p)
-SELECT q.ord, q.pre || string_agg(coalesce(ra.alias, part), ' + ' ORDER BY i) AS label FROM q LEFT JOIN ra ON ra.meeting_id = q.meeting_id AND ra.day = q.day AND ra.name = q.part GROUP BY q.ord, q.pre""")
+SELECT q.ord, q.pre || string_agg(coalesce(ra.alias, part), ' + ' ORDER BY i) AS label FROM q LEFT JOIN na AS ra ON ra.meeting_id = q.meeting_id AND ra.day = q.day AND ra.name = q.part GROUP BY q.ord, q.pre""")
 def f16(cells, rooms):
     keys = ["meeting_id", "day"]
-    maps = slots.alias_map(slots.room_aliases(rooms, keys), keys)
+    maps = slots.alias_map(slots.room_aliases(_repeated(rooms), keys), keys)
     out = _merged(cells, rooms).join(maps, keys, "left")
     empty = F.create_map().cast("map<string,string>")
     return out.select("ord", T.alias_label(F.col("room_label"), F.coalesce("aliases", empty)).alias("label"))
@@ -113,19 +135,20 @@ def f16(cells, rooms):
 
 def _payload(cells: DataFrame, rooms: DataFrame) -> DataFrame:
     keys = ["meeting_id", "day"]
-    maps = slots.alias_map(slots.room_aliases(rooms, keys), keys)
-    names = rooms.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("rooms"))
+    every = _repeated(rooms)
+    maps = slots.alias_map(slots.room_aliases(every, keys), keys)
+    names = every.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("rooms"))
     return slots.slot_payload(slots.slots(_merged(cells, rooms)), names.join(maps, keys))
 
 
 F18 = f"""WITH {MERGED}, {W4},
 p AS (SELECT e.*, CASE WHEN contains(room_label, ': ') THEN split_part(room_label, ': ', 1) || ': ' ELSE '' END AS pre, CASE WHEN contains(room_label, ': ') THEN split_part(room_label, ': ', 2) ELSE room_label END AS rest FROM e),
 q AS (SELECT ord, meeting_id, day, unnest(string_split(rest, ' + ')) AS part, generate_subscripts(string_split(rest, ' + '), 1) AS i FROM p),
-al AS (SELECT q.ord, string_agg(coalesce(ra.alias, part), ' + ' ORDER BY i) AS rest FROM q LEFT JOIN ra ON ra.meeting_id = q.meeting_id AND ra.day = q.day AND ra.name = q.part GROUP BY q.ord),
+al AS (SELECT q.ord, string_agg(coalesce(ra.alias, part), ' + ' ORDER BY i) AS rest FROM q LEFT JOIN na AS ra ON ra.meeting_id = q.meeting_id AND ra.day = q.day AND ra.name = q.part GROUP BY q.ord),
 n AS (SELECT p.*, p.pre || al.rest AS label FROM p JOIN al USING (ord)),
 b AS (SELECT meeting_id, day, tb, string_agg(chr(10) || '[' || label || ']' || chr(10) || text, chr(10) ORDER BY source, ord) FILTER (source = 0) AS m,
     string_agg(chr(10) || '[' || source_label || ' — ' || label || ']' || chr(10) || text, chr(10) ORDER BY source, ord) FILTER (source > 0) AS d FROM n GROUP BY 1, 2, 3),
-lg AS (SELECT meeting_id, day, string_agg('  ' || alias || '  (= ' || name || ')', chr(10) ORDER BY pos) AS legend FROM ra GROUP BY 1, 2)
+lg AS (SELECT ra.meeting_id, ra.day, string_agg('  ' || na.alias || '  (= ' || ra.name || ')', chr(10) ORDER BY ra.pos) AS legend FROM ra JOIN na ON na.meeting_id = ra.meeting_id AND na.day = ra.day AND na.name = ra.name GROUP BY 1, 2)
 SELECT meeting_id, day, tb, 'Day: ' || day || ', Time Block: ' || ['08:30-10:30 (120', '11:00-13:00 (120', '14:30-16:30 (120', '17:00-19:30 (150'][tb + 1] || ' min)' || chr(10) || chr(10) || 'TARGET ROOMS:' || chr(10) || coalesce(legend, '')
   || chr(10) || chr(10) || '## Main Schedule' || chr(10) || m || coalesce(chr(10) || chr(10) || '## Detail' || chr(10) || d, '') AS payload
 FROM b LEFT JOIN lg USING (meeting_id, day)"""
@@ -151,10 +174,11 @@ def j16(cells):
     return changes.cache_misses(keys, keys.where("tb = 1 OR t = 'topic 2'")).select("content_key", "day", "tb")
 
 
+# contexts are numbered within their meeting
 CONTEXTS = """ctx AS (
-  SELECT ord AS context_id, meeting_id, CAST(1 + ord % 3 AS INTEGER) AS n_rooms, CASE ord % 7 WHEN 0 THEN 'Offline session schedule' WHEN 1 THEN 'online sessions' WHEN 2 THEN 'Break-out #2 and brk 1' WHEN 3 THEN 'Schedule of F1/2 and J1' WHEN 4 THEN 'The Main Session' WHEN 5 THEN 'a1 room' ELSE 'other' END AS context FROM items)"""
+  SELECT ord - 2400 * meeting_id AS context_id, meeting_id, CAST(1 + ord % 3 AS INTEGER) AS n_rooms, CASE ord % 7 WHEN 0 THEN 'Offline session schedule' WHEN 1 THEN 'online sessions' WHEN 2 THEN 'Break-out #2 and brk 1' WHEN 3 THEN 'Schedule of F1/2 and J1' WHEN 4 THEN 'The Main Session' WHEN 5 THEN 'a1 room' ELSE 'other' END AS context FROM items)"""
 J13 = f"""{A2}, {CONTEXTS},
-x AS (SELECT c.context_id, n_rooms, h.name, h.place, h.role, lower(context) AS low, regexp_replace(lower(context), '[^a-z0-9]+', '', 'g') AS plain, row_number() OVER (PARTITION BY context_id, role ORDER BY place) AS nth,
+x AS (SELECT c.meeting_id, c.context_id, n_rooms, h.name, h.place, h.role, lower(context) AS low, regexp_replace(lower(context), '[^a-z0-9]+', '', 'g') AS plain, row_number() OVER (PARTITION BY c.meeting_id, context_id, role ORDER BY place) AS nth,
     list_transform(regexp_extract_all(lower(context), '(?:brk|break\\s*[-_ ]?out)\\s*#?\\s*(\\d+)', 1), lambda s: s::BIGINT) AS nums FROM ctx c JOIN hints h USING (meeting_id)),
 r AS (SELECT *, CASE
     WHEN contains(plain, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')) OR (name = 'F1+F2' AND contains(plain, 'f12')) THEN 1
@@ -162,29 +186,29 @@ r AS (SELECT *, CASE
     WHEN role = 'offline' AND contains(low, 'offline') THEN 3
     WHEN role <> 'offline' AND regexp_matches(low, '\\bonline\\b') AND (n_rooms > 1 OR role = 'main') THEN 4
     WHEN role = 'main' AND contains(low, 'main session') THEN 5 END AS rule FROM x),
-k AS (SELECT *, CASE rule WHEN 2 THEN list_position(nums, nth) ELSE place END AS k FROM r WHERE rule = (SELECT min(rule) FROM r b WHERE b.context_id = r.context_id)),
-j13 AS (SELECT context_id, array_to_string(list(name ORDER BY k)[1:any_value(n_rooms)], ',') AS rooms FROM k GROUP BY 1)"""
+k AS (SELECT *, CASE rule WHEN 2 THEN list_position(nums, nth) ELSE place END AS k FROM r WHERE rule = (SELECT min(rule) FROM r b WHERE b.meeting_id = r.meeting_id AND b.context_id = r.context_id)),
+j13 AS (SELECT meeting_id, context_id, array_to_string(list(name ORDER BY k)[1:any_value(n_rooms)], ',') AS rooms FROM k GROUP BY 1, 2)"""
 
 
 def _contexts(items: DataFrame) -> DataFrame:
     m = F.col("ord") % 7
     text = F.when(m == 0, "Offline session schedule").when(m == 1, "online sessions").when(m == 2, "Break-out #2 and brk 1").when(m == 3, "Schedule of F1/2 and J1").when(m == 4, "The Main Session").when(m == 5, "a1 room").otherwise("other")
-    return items.select(F.col("ord").alias("context_id"), "meeting_id", (1 + F.col("ord") % 3).cast("int").alias("n_rooms"), text.alias("context"))
+    return items.select((F.col("ord") - 2400 * F.col("meeting_id")).alias("context_id"), "meeting_id", (1 + F.col("ord") % 3).cast("int").alias("n_rooms"), text.alias("context"))
 
 
 @query("j13_rooms_from_context", "items", "rooms", oracle=f"WITH {J13} SELECT * FROM j13")
 def j13(items, rooms):
-    return slots.rooms_from_context(_contexts(items), slots.room_hints(rooms)).withColumn("rooms", F.array_join("rooms", ","))
+    return slots.rooms_from_context(_contexts(items), slots.room_hints(rooms)).select("meeting_id", "context_id", F.array_join("rooms", ",").alias("rooms"))
 
 
 @query("j14_resolve_generic_rooms", "items", "rooms", oracle=f"""WITH {J13},
-t AS (SELECT context_id, CASE WHEN context_id % 5 = 0 THEN ['F1', 'A1'] ELSE list_transform(range(0, 1 + context_id % 3), lambda i: 'Room ' || chr(65 + i::INTEGER)) END AS own, CASE WHEN context_id % 11 = 0 THEN '' ELSE context END AS c FROM ctx)
-SELECT context_id, array_to_string(CASE WHEN context_id % 5 = 0 OR c = '' OR j13.rooms IS NULL THEN own ELSE (string_split(j13.rooms, ',') || own[len(string_split(j13.rooms, ',')) + 1 :])[1:len(own)] END, ',') AS rooms FROM t LEFT JOIN j13 USING (context_id)""")
+t AS (SELECT meeting_id, context_id, CASE WHEN context_id % 5 = 0 THEN ['F1', 'A1'] ELSE list_transform(range(0, 1 + context_id % 3), lambda i: 'Room ' || chr(65 + i::INTEGER)) END AS own, CASE WHEN context_id % 11 = 0 THEN '' ELSE context END AS c FROM ctx)
+SELECT meeting_id, context_id, array_to_string(CASE WHEN context_id % 5 = 0 OR c = '' OR j13.rooms IS NULL THEN own ELSE (string_split(j13.rooms, ',') || own[len(string_split(j13.rooms, ',')) + 1 :])[1:len(own)] END, ',') AS rooms FROM t LEFT JOIN j13 USING (meeting_id, context_id)""")
 def j14(items, rooms):
     lettered = F.transform(F.sequence(F.lit(0), (F.col("context_id") % 3).cast("int")), lambda i: F.concat(F.lit("Room "), F.chr(i + 65)))
     own = F.when(F.col("context_id") % 5 == 0, F.array(F.lit("F1"), F.lit("A1"))).otherwise(lettered)
     tables = _contexts(items).drop("n_rooms").withColumns({"rooms": own, "context": F.when(F.col("context_id") % 11 == 0, "").otherwise(F.col("context"))})
-    return slots.resolve_generic_rooms(tables, slots.room_hints(rooms)).select("context_id", F.array_join("rooms", ",").alias("rooms"))
+    return slots.resolve_generic_rooms(tables, slots.room_hints(rooms)).select("meeting_id", "context_id", F.array_join("rooms", ",").alias("rooms"))
 
 
 @query("j15_reuse_meeting_timezone", "listing", oracle="""
