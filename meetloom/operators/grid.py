@@ -1,8 +1,10 @@
 """Document tables to cells by day, time block and room.
 
 cells has a row per raw table cell: (doc_id, table_idx, row_idx, tc_idx, grid_span, v_merge,
-fill, text). All steps keep doc_id and table_idx as keys, so that one shuffle by document
-serves them.
+fill, text). `grid_positions` deals cells out by document; what rows, tables and days say is
+then told to their cells by windows and summed up by groups, all of which keep doc_id among
+their keys. So that one shuffle serves the chain up to rooms and colours, and only small
+tables are joined, by document.
 """
 
 from __future__ import annotations
@@ -22,22 +24,26 @@ def grid_positions(cells: DataFrame) -> DataFrame:
     before = Window.partitionBy(*ROW).orderBy("tc_idx").rowsBetween(Window.unboundedPreceding, -1)
     goes_on = F.col("v_merge").isNotNull() & (F.col("v_merge") != "restart")
     start = F.coalesce(F.sum("grid_span").over(before), F.lit(0)).cast("int")
-    return cells.withColumns({"col_start": start, "text": F.when(goes_on, "").otherwise(F.col("text"))}).withColumn("col_end", F.col("col_start") + F.col("grid_span"))
+    dealt = cells.repartition("doc_id")
+    return dealt.withColumns({"col_start": start, "text": F.when(goes_on, "").otherwise(F.col("text"))}).withColumn("col_end", F.col("col_start") + F.col("grid_span"))
 
 
-def row_class(cells: DataFrame) -> DataFrame:
-    """break, footer, metadata or data per row (P6); only rows of three cells at most are looked at."""
-    joined = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tc_idx", "text"))), lambda c: c["text"]), " "))
-    rows = cells.groupBy(*ROW).agg(F.count("*").alias("n_cells"), joined.alias("t"))
+def _row_kind(n_cells: Column, cells: Column) -> Column:
+    text = F.lower(F.array_join(F.transform(F.array_sort(cells), lambda c: c["text"]), " "))
 
     def has(*words: str) -> Column:
         out = F.lit(False)
         for w in words:
-            out = out | F.col("t").contains(w)
-        return (F.col("n_cells") <= 3) & out
+            out = out | text.contains(w)
+        return (n_cells <= 3) & out
+
+    return F.when(has("break", "coffee", "lunch"), "break").when(has("all sessions end", "no exceptions"), "footer").when(has("meeting rooms"), "metadata").otherwise("data")
+
 
-    kind = F.when(has("break", "coffee", "lunch"), "break").when(has("all sessions end", "no exceptions"), "footer").when(has("meeting rooms"), "metadata").otherwise("data")
-    return rows.select(*ROW, "n_cells", kind.alias("kind"))
+def row_class(cells: DataFrame) -> DataFrame:
+    """break, footer, metadata or data per row (P6); only rows of three cells at most are looked at."""
+    rows = cells.groupBy(*ROW).agg(F.count("*").alias("n_cells"), F.collect_list(F.struct("tc_idx", "text")).alias("__cells"))
+    return rows.select(*ROW, "n_cells", _row_kind(F.col("n_cells"), F.col("__cells")).alias("kind"))
 
 
 def schedule_tables(cells: DataFrame) -> DataFrame:
@@ -72,42 +78,63 @@ def time_block(label: Column) -> Column:
     return out
 
 
-def time_rows(cells: DataFrame) -> DataFrame:
-    """(row, tb) of data rows below the header whose first cell is a time in a block."""
-    labels = cells.where("tc_idx = first_tc AND row_idx > 0") if "first_tc" in cells.columns else _first_cells(cells).where("row_idx > 0")
-    data = row_class(cells).where("kind = 'data'").select(*ROW)
-    return labels.withColumn("tb", time_block(F.col("text"))).where("tb IS NOT NULL").select(*ROW, "tb").join(data, ROW, "left_semi")
+def _in_table(cells: DataFrame) -> DataFrame:
+    """cells with their row's first cell (__first) and block (tb, null unless a time row), and their table's days (__days)."""
+    row, table = Window.partitionBy(*ROW), Window.partitionBy(*TABLE)
+    cell = F.struct("tc_idx", "text")
+    kind = _row_kind(F.count("*").over(row), F.collect_list(F.when(F.col("__short"), cell)).over(row))
+    block = F.when((F.col("row_idx") > 0) & (kind == "data"), time_block(F.col("__head.text")))
+    day = F.when(F.col("row_idx") == 0, T.day_of(F.col("text")))
+    named = F.array_sort(F.collect_list(F.when(day.isNotNull(), F.struct("tc_idx", day.alias("day"), F.col("col_start").alias("day_start"), F.col("col_end").alias("day_end")))).over(table))
+    first = F.filter("__named", lambda d, i: ~F.exists(F.slice("__named", 1, i), lambda e: e["day"] == d["day"]))
+    marked = cells.withColumns({"__head": F.min_by(cell, "tc_idx").over(row), "__short": F.count("*").over(row) <= 3})
+    marked = marked.withColumns({"tb": block, "__named": named, "__first": F.col("__head.tc_idx")})
+    return marked.withColumn("__days", F.transform(first, lambda d: d.dropFields("tc_idx"))).drop("__head", "__short", "__named")
 
 
-def _first_cells(cells: DataFrame) -> DataFrame:
-    first = cells.groupBy(*ROW).agg(F.min_by(F.struct("tc_idx", "text"), "tc_idx").alias("c"))
-    return first.select(*ROW, "c.tc_idx", "c.text")
+def _days_of() -> Column:
+    """The days in whose columns a cell is."""
+    return F.filter("__days", lambda d: (F.col("col_start") >= d["day_start"]) & (F.col("col_end") <= d["day_end"]))
+
+
+def _is_inner() -> Column:
+    """A cell of a time row, other than its first."""
+    return F.col("tb").isNotNull() & (F.col("tc_idx") != F.col("__first"))
+
+
+def time_rows(cells: DataFrame) -> DataFrame:
+    """(row, tb) of data rows below the header whose first cell is a time in a block."""
+    return _in_table(cells).where("tb IS NOT NULL AND tc_idx = __first").select(*ROW, "tb")
 
 
 def cells_in_day(cells: DataFrame) -> DataFrame:
     """Cells of time rows within a day's columns, the row's first cell left out."""
-    first = _first_cells(cells).select(*ROW, F.col("tc_idx").alias("__first"))
-    rows = time_rows(cells).join(first, ROW)
-    inner = cells.join(rows, ROW).where(F.col("tc_idx") != F.col("__first")).drop("__first")
-    return inner.join(day_columns(cells), TABLE).where("col_start >= day_start AND col_end <= day_end")
+    inner = _in_table(cells).where(_is_inner()).withColumn("__day", F.explode(_days_of()))
+    return inner.select(*cells.columns, "tb", "__day.*")
 
 
-def actual_rooms(in_day: DataFrame, days: DataFrame) -> DataFrame:
+def actual_rooms(cells: DataFrame) -> DataFrame:
     """Rooms of a table's day: the most cells of any of its rows, one at least (A3)."""
-    counts = in_day.groupBy(*ROW, "day").agg(F.count("*").alias("n")).groupBy(*TABLE, "day").agg(F.max("n").alias("n"))
-    return days.join(counts, [*TABLE, "day"], "left").select(*TABLE, "day", F.greatest(F.lit(1), F.coalesce("n", F.lit(1))).cast("int").alias("n_rooms"))
+    found = F.when(_is_inner(), F.transform(_days_of(), lambda d: d["day"]))
+    each = _in_table(cells).select(*ROW, "__days", F.explode_outer(found).alias("day"))
+    rows = each.groupBy(*ROW, "day").agg(F.count("day").alias("n"), F.first("__days").alias("__days"))
+    tables = rows.groupBy(*TABLE).agg(F.first("__days").alias("__days"), F.collect_list(F.struct("day", "n")).alias("__counts"))
+    days = tables.select(*TABLE, "__counts", F.explode("__days.day").alias("day"))
+    most = F.array_max(F.transform(F.filter("__counts", lambda c: c["day"] == F.col("day")), lambda c: c["n"]))
+    return days.select(*TABLE, "day", F.greatest(F.lit(1), F.coalesce(most, F.lit(1))).cast("int").alias("n_rooms"))
 
 
-def assign_rooms(in_day: DataFrame, rooms: DataFrame) -> DataFrame:
+def assign_rooms(in_day: DataFrame) -> DataFrame:
     """First and last room of every cell (W2), cells without text dropped afterwards.
 
-    From left to right: a cell as wide as the day takes all rooms; as many cells as rooms
-    take one each; else a cell takes its share of the width, one room at least, and no more
-    than are left (but one).
+    A day has as many rooms as its row with the most cells. From left to right: a cell as wide
+    as the day takes all rooms; as many cells as rooms take one each; else a cell takes its
+    share of the width, one room at least, and no more than are left (but one).
     """
     keys = [*ROW, "day"]
     cell = F.struct("col_start", "col_end", "tc_idx", "text")
-    rows = in_day.groupBy(*keys, "tb", "day_start", "day_end").agg(F.array_sort(F.collect_list(cell)).alias("row")).join(rooms, [*TABLE, "day"])
+    rows = in_day.groupBy(*keys, "tb", "day_start", "day_end").agg(F.array_sort(F.collect_list(cell)).alias("row"))
+    rows = rows.withColumn("n_rooms", F.max(F.size("row")).over(Window.partitionBy(*TABLE, "day")))
     width, n = F.col("day_end") - F.col("day_start"), F.col("n_rooms")
 
     def step(acc, c):
@@ -140,32 +167,32 @@ def cell_room_columns(cells: DataFrame, rooms: DataFrame, keys: list[str]) -> Da
     return spans.select(*cells.columns, F.coalesce(F.col("lo") + 2, F.lit(2)).alias("col_from"), F.coalesce(F.col("hi") + 3, F.lit(3)).alias("col_to"))
 
 
-def table_column_colors(cells: DataFrame, rooms: DataFrame, days: DataFrame) -> DataFrame:
-    """Ordered colours of a table's rooms (W7): those of the first row and day with as many cells as rooms, all different.
+def table_column_colors(cells: DataFrame) -> DataFrame:
+    """Ordered colours of a table's rooms (W7), and the most rooms of its days: those of the first row and day with as many cells as rooms, all different.
 
     Missing fills are white; column 0 is left out; colours within tolerance count as equal.
     """
-    inner = cells.where("row_idx > 0 AND col_start > 0").join(days, TABLE).where("col_start >= day_start AND col_end <= day_end")
     fill = F.coalesce(T.color_norm(F.col("fill")), F.lit("FFFFFF"))
-    rows = inner.groupBy(*ROW, "day", "day_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_start", fill.alias("f")))), lambda c: c["f"]).alias("colors"))
-    same = F.exists(
-        F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
-        lambda x: F.exists(F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda y: (y["i"] > x["i"]) & T.colors_match(x["c"], y["c"])),
-    )
-    full = rows.join(rooms, [*TABLE, "day"]).where((F.size("colors") == F.col("n_rooms")) & ~same)
-    return full.groupBy(*TABLE).agg(F.min_by("colors", F.struct("row_idx", "day_start")).alias("colors"))
+    inside = _in_table(cells).where("row_idx > 0").withColumns({"__inner": _is_inner(), "d": F.explode(_days_of())})
+    colored = F.when(F.col("col_start") > 0, F.struct("col_start", fill.alias("f")))
+    rows = inside.groupBy(*ROW, "d.day", "d.day_start").agg(F.transform(F.array_sort(F.collect_list(colored)), lambda c: c["f"]).alias("colors"), F.count_if("__inner").alias("n"))
+    numbered = F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    same = F.exists(numbered, lambda x: F.exists(numbered, lambda y: (y["i"] > x["i"]) & T.colors_match(x["c"], y["c"])))
+    rows = rows.withColumns({"n_rooms": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE, "day"))), "most": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE)))})
+    full = rows.where((F.size("colors") == F.col("n_rooms")) & ~same)
+    return full.groupBy(*TABLE).agg(F.min_by("colors", F.struct("row_idx", "day_start")).alias("colors"), F.first("most").cast("int").alias("n_rooms"))
 
 
-def match_rooms_by_color(colors: DataFrame, labels: DataFrame, n_rooms: DataFrame) -> DataFrame:
-    """Room names of tables by the colours of their columns (J12), where every room found one.
+def match_rooms_by_color(colors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Room names of tables (colors, n_rooms) by the colours of their columns (J12), where every room found one.
 
     labels has (doc_id, ord, name, color); the first label close to a colour counts.
     """
-    each = colors.select(*TABLE, F.posexplode("colors").alias("i", "c"))
+    each = colors.select(*TABLE, "n_rooms", F.posexplode("colors").alias("i", "c"))
     hits = each.join(labels.where("color IS NOT NULL"), "doc_id").where(T.colors_match(F.col("c"), F.col("color")))
-    first = hits.groupBy(*TABLE, "i").agg(F.min_by("name", "ord").alias("name"))
-    names = first.groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda r: r["name"]).alias("names"))
-    return names.join(n_rooms, TABLE).where(F.size("names") == F.col("n_rooms")).select(*TABLE, "names")
+    first = hits.groupBy(*TABLE, "i").agg(F.min_by("name", "ord").alias("name"), F.first("n_rooms").alias("n_rooms"))
+    names = first.groupBy(*TABLE).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name"))), lambda r: r["name"]).alias("names"), F.first("n_rooms").alias("n_rooms"))
+    return names.where(F.size("names") == F.col("n_rooms")).select(*TABLE, "names")
 
 
 def generic_room_names(rooms: DataFrame, by_color: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -173,7 +200,8 @@ def generic_room_names(rooms: DataFrame, by_color: DataFrame, metadata: DataFram
 
     rooms has (doc_id, table_idx, table_no, day, n_rooms), metadata (doc_id, online, offline).
     """
-    all_ = rooms.join(by_color, TABLE, "left").join(metadata, "doc_id", "left")
+    matched = by_color.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("table_idx", "names"))).alias("__names"))  # a document's tables are few
+    all_ = rooms.join(matched, "doc_id", "left").join(metadata, "doc_id", "left").withColumn("names", F.try_element_at("__names", "table_idx"))
     given = F.when(F.col("table_no") == 0, F.col("online")).otherwise(F.col("offline"))
     prefix = F.when(F.col("table_no") == 0, "Room ").otherwise("Offline ")
     lettered = F.transform(F.sequence(F.lit(0), F.col("n_rooms") - 1), lambda i: F.concat(prefix, F.chr(i + 65)))

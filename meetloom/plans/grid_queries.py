@@ -71,8 +71,7 @@ def j2(cells):
 
 @query("a3_actual_rooms_per_day", "cells", oracle=f"{GRID} SELECT * FROM ar")
 def a3(cells):
-    g = grid.grid_positions(cells)
-    return grid.actual_rooms(grid.cells_in_day(g), grid.day_columns(g))
+    return grid.actual_rooms(grid.grid_positions(cells))
 
 
 # the fold of W2 as a recursion over the cells of a row
@@ -90,9 +89,7 @@ SELECT doc_id, table_idx, row_idx, tc_idx, day, tb, a AS room_from, b - 1 AS roo
 
 @query("w2_p8_assign_rooms", "cells", oracle=W2)
 def w2(cells):
-    g = grid.grid_positions(cells)
-    inner = grid.cells_in_day(g)
-    out = grid.assign_rooms(inner, grid.actual_rooms(inner, grid.day_columns(g)))
+    out = grid.assign_rooms(grid.cells_in_day(grid.grid_positions(cells)))
     return out.select("doc_id", "table_idx", "row_idx", "tc_idx", "day", "tb", "room_from", "room_to", "text")
 
 
@@ -135,16 +132,10 @@ ok AS (SELECT r.* FROM r JOIN ar USING (doc_id, table_idx, day) WHERE k = n_room
 w7 AS (SELECT doc_id, table_idx, arg_min(colors, row_idx * 1000 + ds) AS colors FROM ok GROUP BY 1, 2)"""
 
 
-def _colors(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    g = grid.grid_positions(cells)
-    days = grid.day_columns(g)
-    rooms = grid.actual_rooms(grid.cells_in_day(g), days)
-    return grid.table_column_colors(g, rooms, days), rooms
-
-
 @query("w7_table_column_colors", "cells", oracle=f"{W7} SELECT * FROM w7")
 def w7(cells):
-    return _colors(cells)[0].withColumn("colors", F.array_join("colors", ","))
+    colors = grid.table_column_colors(grid.grid_positions(cells))
+    return colors.select("doc_id", "table_idx", F.array_join("colors", ",").alias("colors"))
 
 
 J12 = f"""{W7},
@@ -163,15 +154,13 @@ def _labels(cells: DataFrame) -> DataFrame:
     return cells.select("doc_id").distinct().withColumn("ord", i).select("doc_id", "ord", name.alias("name"), color.alias("color"))
 
 
-def _matched(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    colors, rooms = _colors(cells)
-    need = rooms.groupBy("doc_id", "table_idx").agg(F.max("n_rooms").alias("n_rooms"))
-    return grid.match_rooms_by_color(colors, _labels(cells), need), rooms
+def _matched(cells: DataFrame) -> DataFrame:
+    return grid.match_rooms_by_color(grid.table_column_colors(grid.grid_positions(cells)), _labels(cells))
 
 
 @query("j12_match_rooms_by_color", "cells", oracle=f"{J12} SELECT doc_id, table_idx, names FROM j12")
 def j12(cells):
-    return _matched(cells)[0].withColumn("names", F.array_join("names", ","))
+    return _matched(cells).withColumn("names", F.array_join("names", ","))
 
 
 @query("w8_generic_room_names", "cells", oracle=f"""{J12}
@@ -180,11 +169,11 @@ SELECT ar.doc_id, ar.table_idx, day, n_rooms, CASE WHEN k >= n_rooms THEN array_
   ELSE array_to_string(list_transform(range(0, n_rooms), lambda i: CASE WHEN ar.table_idx = 0 THEN 'Room ' ELSE 'Offline ' END || chr(65 + i::INTEGER)), ',') END AS room_names
 FROM ar LEFT JOIN j12 USING (doc_id, table_idx)""")
 def w8(cells):
-    by_color, rooms = _matched(cells)
+    rooms = grid.actual_rooms(grid.grid_positions(cells))
     online = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("F1"), F.lit("A1")))
     offline = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("J1")))
     metadata = cells.select("doc_id").distinct().select("doc_id", online.alias("online"), offline.alias("offline"))
-    out = grid.generic_room_names(rooms.withColumn("table_no", F.col("table_idx")), by_color, metadata)
+    out = grid.generic_room_names(rooms.withColumn("table_no", F.col("table_idx")), _matched(cells), metadata)
     return out.select("doc_id", "table_idx", "day", "n_rooms", F.array_join("room_names", ",").alias("room_names"))
 
 
