@@ -7,7 +7,7 @@ aggregated with partial sums before the shuffle; no window holds a folder's hist
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -15,6 +15,17 @@ from ..functions import names as N
 FILE = ("list_pos", "name", "url", "uploaded_at")
 
 
+def _file_order(dated: Column) -> Column:
+    """Of a meeting's files the largest counts: the highest version, then the newest, then the last by name, then the first listed."""
+    return F.struct(N.file_version(F.col("name")).alias("v"), F.col("uploaded_at").alias("t"), F.when(dated, F.lower("name")).otherwise("").alias("n"), (-F.col("list_pos")).alias("p"))
+
+
+def _meeting_order(wish: Column) -> Column:
+    """Of a folder's meetings (__dated, __meeting, __newest, __first) the largest counts: the one wished for, the highest-ranked regular one, the newest."""
+    rank = N.meeting_rank(F.col("__meeting"))
+    return F.struct("__dated", F.coalesce(F.col("__meeting") == wish, F.lit(False)).alias("w"), rank.isNotNull().alias("k"), rank.alias("r"), F.when(rank.isNull(), F.col("__newest")).alias("t"), (-F.col("__first")).alias("p"))
+
+
 def latest(files: DataFrame, keys: list[str], preferred: str | None = None) -> DataFrame:
     """The current file per keys (K1): columns of files.
 
@@ -24,18 +35,14 @@ def latest(files: DataFrame, keys: list[str], preferred: str | None = None) -> D
     highest version, else the first listed.
     """
     dated = F.col("uploaded_at").isNotNull()
-    meeting = F.when(dated, N.meeting_id(F.col("name")))
     wish = F.col(preferred) if preferred else F.lit(None).cast("string")
     extra = [c for c in files.columns if c not in keys]
-    order = F.struct(N.file_version(F.col("name")), "uploaded_at", F.when(dated, F.lower("name")).otherwise(""), -F.col("list_pos"))
     best = (
-        files.withColumn("__meeting", meeting)
+        files.withColumn("__meeting", F.when(dated, N.meeting_id(F.col("name"))))
         .groupBy(*keys, dated.alias("__dated"), "__meeting")
-        .agg(F.max_by(F.struct(*extra), order).alias("__file"), F.max("uploaded_at").alias("__newest"), F.min("list_pos").alias("__first"), F.max(wish).alias("__wish"))
+        .agg(F.max_by(F.struct(*extra), _file_order(dated)).alias("__file"), F.max("uploaded_at").alias("__newest"), F.min("list_pos").alias("__first"), F.max(wish).alias("__wish"))
     )
-    rank = N.meeting_rank(F.col("__meeting"))
-    group = F.struct("__dated", F.coalesce(F.col("__meeting") == F.col("__wish"), F.lit(False)), rank.isNotNull(), rank, F.when(rank.isNull(), F.col("__newest")), -F.col("__first"))
-    return best.groupBy(*keys).agg(F.max_by("__file", group).alias("__file")).select(*keys, "__file.*")
+    return best.groupBy(*keys).agg(F.max_by("__file", _meeting_order(F.col("__wish"))).alias("__file")).select(*keys, "__file.*")
 
 
 def latest_schedule(listing: DataFrame, keys: list[str] | None = None, preferred: str | None = None) -> DataFrame:
@@ -71,25 +78,35 @@ def discover_sources(listing: DataFrame, root: str = "Inbox") -> DataFrame:
     folder by name gives the main file and pins the meeting for the other folders; files of the root
     count for persons not yet known, unless of an older meeting. Any further chair folder is a
     main source too, so looking at Chair_notes alone would add nothing.
+
+    One pass sums the listing up by folder and meeting (of the root, by person and meeting);
+    all choices are made on these few rows of an inbox.
     """
-    in_folders = listing.where((F.col("folder") != root) & N.is_listed_folder(F.col("folder")))
-    first_chair = in_folders.where(is_chair_folder(F.col("folder"))).groupBy("inbox_id").agg(F.min("folder").alias("chair"))
-    chair_files = in_folders.join(first_chair, (in_folders["inbox_id"] == first_chair["inbox_id"]) & (F.col("folder") == F.col("chair"))).select(in_folders["*"])
-    main = latest_schedule(chair_files).withColumns({"person": F.lit(None).cast("string"), "is_main": F.lit(True)})
-    pins = main.select("inbox_id", F.col("folder").alias("main_folder"), N.meeting_id(F.col("name")).alias("pin"))
-    others = in_folders.join(pins, "inbox_id", "left").where("main_folder IS NULL OR folder != main_folder")
-    picked = latest_schedule(others, preferred="pin").drop("pin", "main_folder")
-    picked = picked.withColumns({"person": N.person_of_folder(F.col("folder")), "is_main": is_chair_folder(F.col("folder"))})
-    found = main.unionByName(picked)
-    strays = listing.where((F.col("folder") == root) & N.is_schedule_file(F.col("name"))).withColumn("person", N.person_of_file(F.col("name"))).where("person IS NOT NULL")
-    strays = strays.join(pins, "inbox_id", "left")
-    rank, pin_rank = N.meeting_rank(N.meeting_id(F.col("name"))), N.meeting_rank(F.col("pin"))
-    strays = strays.where(~F.coalesce(rank < pin_rank, F.lit(False)))
-    strays = strays.join(found.select("inbox_id", "person").where("person IS NOT NULL"), ["inbox_id", "person"], "left_anti")
-    strays = strays.groupBy("inbox_id", "person").agg(F.min_by(F.struct("folder", *FILE), "list_pos").alias("f")).select("inbox_id", "person", "f.*")
-    found = found.unionByName(strays.withColumn("is_main", F.lit(False)).select(found.columns))
-    order = F.struct((~F.col("is_main")).alias("a"), (F.col("folder") == root).alias("b"), "folder", "list_pos")
-    return found.withColumn("ord", order)
+    at_root, name = F.col("folder") == root, F.col("name")
+    schedule, dated = N.is_schedule_file(name), F.col("uploaded_at").isNotNull() & ~at_root
+    person = F.when(at_root, N.person_of_file(name))
+    used = listing.where(F.when(at_root, schedule & person.isNotNull()).otherwise(N.is_listed_folder(F.col("folder"))))
+    used = used.withColumns({"__person": person, "__schedule": schedule, "__dated": dated & schedule, "__meeting": F.when(schedule & (at_root | dated), N.meeting_id(name))})
+    first = F.struct(F.lit(None).alias("v"), F.lit(None).alias("t"), F.lit("").alias("n"), (-F.col("list_pos")).alias("p"))
+    groups = used.groupBy("inbox_id", "folder", "__person", "__schedule", "__dated", "__meeting").agg(
+        F.max_by(F.struct(*FILE), F.when(at_root, first).otherwise(_file_order(F.col("uploaded_at").isNotNull()))).alias("__file"), F.max("uploaded_at").alias("__newest"), F.min("list_pos").alias("__first")
+    )
+    inbox = Window.partitionBy("inbox_id")
+    chair = F.min(F.when(~at_root & is_chair_folder(F.col("folder")), F.col("folder"))).over(inbox)
+    groups = groups.repartition("inbox_id").withColumn("__chair", chair).where("__schedule")
+    of_chair = F.coalesce(F.col("folder") == F.col("__chair"), F.lit(False))
+    main = F.max_by("__file", F.when(of_chair, _meeting_order(F.lit(None).cast("string")))).over(inbox)
+    groups = groups.withColumn("__pin", N.meeting_id(main["name"]))
+    older = F.coalesce(N.meeting_rank(F.col("__meeting")) < N.meeting_rank(F.col("__pin")), F.lit(False))
+    nothing = F.struct(F.lit(False).alias("__dated"), F.lit(False).alias("w"), F.lit(False).alias("k"), F.lit(None).alias("r"), F.lit(None).alias("t"), (-F.col("__first")).alias("p"))
+    order = F.when(at_root, nothing).otherwise(_meeting_order(F.when(~of_chair, F.col("__pin"))))
+    found = groups.where(~(at_root & older)).groupBy("inbox_id", "folder", "__person", "__chair").agg(F.max_by("__file", order).alias("__file"))
+    known = F.coalesce("__person", F.when(~of_chair, N.person_of_folder(F.col("folder"))))
+    found = found.select("inbox_id", "folder", "__file.*", known.alias("person"), (~at_root & is_chair_folder(F.col("folder"))).alias("is_main"))
+    others = F.collect_set(F.when(~at_root, F.col("person"))).over(inbox)
+    found = found.withColumn("__others", others).where(~at_root | ~F.array_contains("__others", F.col("person"))).drop("__others")
+    rank = F.struct((~F.col("is_main")).alias("a"), at_root.alias("b"), "folder", "list_pos")
+    return found.withColumn("ord", rank)
 
 
 def union_sources(inboxes: DataFrame, extra: DataFrame) -> DataFrame:
