@@ -187,7 +187,15 @@ def a4(items):
     return layout.facet_rows(items).withColumn("ais", F.array_join("ais", "|"))
 
 
-@query("a4_facet_tree", "items")
+TREE = "WITH f AS (" + A4 + f"""),
+s AS (SELECT meeting_id, grp, string_agg('{{"name":' || to_json(name)::VARCHAR || ',"key":' || to_json(name || '|' || grp)::VARCHAR || ',"ais":' || to_json(CASE WHEN ais = '' THEN []::VARCHAR[] ELSE string_split(ais, '|') END)::VARCHAR
+    || CASE WHEN has_no_ai THEN ',"hasNoAI":true' ELSE '' END || '}}', ',' ORDER BY {NAT.format("name")}, name) AS sessions FROM f GROUP BY 1, 2),
+g AS (SELECT meeting_id, string_agg('{{"name":' || to_json(CASE grp WHEN '' THEN 'Other' ELSE grp END)::VARCHAR || ',"key":' || to_json(CASE grp WHEN '' THEN '__other__' ELSE grp END)::VARCHAR || ',"sessions":[' || sessions || ']}}', ',' ORDER BY grp = '', lower(grp), grp) AS groups FROM s GROUP BY 1),
+d AS (SELECT meeting_id, string_agg(to_json(ai)::VARCHAR, ',' ORDER BY {NAT.format("ai")}, ai) AS items FROM (SELECT DISTINCT meeting_id, unnest(string_split(ais, '|')) AS ai FROM f WHERE ais <> '') GROUP BY 1)
+SELECT meeting_id, '{{"groups":[' || groups || '],"allAIs":[' || coalesce(items, '') || ']}}' AS facets FROM g LEFT JOIN d USING (meeting_id)"""
+
+
+@query("a4_facet_tree", "items", oracle=TREE)
 def a4_tree(items):
     return layout.facet_tree(items)
 

@@ -129,9 +129,9 @@ def test_time_block(spark, label, want):
 ])
 def test_assign_rooms(spark, cells, width, n, want):
     rows = [(1, 0, 1, i, "Monday", 0, 0, width, a, b, "x") for i, (a, b) in enumerate(cells)]
+    rows += [(1, 0, 2, i, "Monday", 0, 0, width, i, i + 1, "x") for i in range(n)]  # the day's rooms
     in_day = spark.createDataFrame(rows, "doc_id long, table_idx int, row_idx int, tc_idx int, day string, tb int, day_start int, day_end int, col_start int, col_end int, text string")
-    rooms = spark.createDataFrame([(1, 0, "Monday", n)], "doc_id long, table_idx int, day string, n_rooms int")
-    assert [(r.room_from, r.room_to) for r in grid.assign_rooms(in_day, rooms).orderBy("tc_idx").collect()] == want
+    assert [(r.room_from, r.room_to) for r in grid.assign_rooms(in_day).where("row_idx = 1").orderBy("tc_idx").collect()] == want
 
 
 ITEMS = "slot long, room_name string, ord int, duration_minutes int, specified_start_time string, block_start string, name string, agenda_item string, group_header string"
@@ -167,6 +167,29 @@ def test_room_aliases(spark):
     assert got == {"RAN1_main": "F1", "RAN1_brk1": "A1", "RAN1_off1": "J1", "ALL_ONLINE": "F1 + A1", "ALL_ROOMS": "F1 + A1 + J1"}
 
 
+def test_aliases_of_repeated_rooms(spark):
+    """A room in two tables, and an eleventh room: of a name's aliases the last counts, ALL_ROOMS names it once."""
+    rows = [(1, "Monday", 0, i, f"R{i}") for i in range(12)] + [(1, "Monday", 1, 20, "R10"), (1, "Monday", 1, 21, "J1")]
+    rooms = spark.createDataFrame(rows, "meeting_id long, day string, table_index int, pos int, name string")
+    aliases = slots.room_aliases(rooms, ["meeting_id", "day"])
+    got = {r.alias: r["name"] for r in aliases.collect()}
+    assert (got["RAN1_brk10"], got["RAN1_off1"], got["RAN1_off2"]) == ("R10", "R10", "J1")
+    assert got["ALL_ROOMS"] == " + ".join([*(f"R{i}" for i in range(12)), "J1"])
+    assert got["ALL_ONLINE"] == " + ".join(f"R{i}" for i in range(12))
+    names = slots.alias_map(aliases, ["meeting_id", "day"]).first().aliases
+    assert (names["R10"], names["R11"], names["R0"], names["J1"]) == ("RAN1_off1", "RAN1_brk11", "RAN1_main", "RAN1_off2")
+
+
+def test_contexts_of_two_meetings(spark):
+    """Equal context ids in two meetings don't mix their rooms."""
+    rooms = spark.createDataFrame([(m, "Monday", 0, i, f"{n}{i}") for m, n in ((1, "F"), (2, "G")) for i in range(3)], "meeting_id long, day string, table_index int, room_idx int, name string")
+    contexts = spark.createDataFrame([(m, 7, "online sessions", 2) for m in (1, 2)], "meeting_id long, context_id long, context string, n_rooms int")
+    got = {r.meeting_id: r.rooms for r in slots.rooms_from_context(contexts, slots.room_hints(rooms)).collect()}
+    assert got == {1: ["F0", "F1"], 2: ["G0", "G1"]}
+    tables = contexts.drop("n_rooms").withColumn("rooms", F.array(F.lit("Room A"), F.lit("Room B"), F.lit("Room C")))
+    assert {r.meeting_id: r.rooms for r in slots.resolve_generic_rooms(tables, slots.room_hints(rooms)).collect()} == {1: ["F0", "F1", "F2"], 2: ["G0", "G1", "G2"]}
+
+
 def test_natural_sort(spark):
     rows = spark.createDataFrame([(v,) for v in ("10.1", "9.10", "9.2")], "v string")
     assert [r.v for r in rows.orderBy(T.natural_key(F.col("v"))).collect()] == ["9.2", "9.10", "10.1"]
@@ -235,6 +258,42 @@ def test_documents_from_files(spark, tmp_path):
     assert {r.context for r in contexts} == {"Table 0"}
 
 
+def test_damaged_files_give_no_row(spark, tmp_path):
+    cells = [{"table_idx": 0, "row_idx": r, "tc_idx": 0, "grid_span": 1, "v_merge": None, "fill": None, "text": f"some text {r} " * 40} for r in range(30)]
+    content = build_document(cells)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.docx", content)
+    good = packed.getvalue()
+    broken = bytearray(good)
+    broken[60:90] = b"\xff" * 30  # inside the deflated member
+    locked = bytearray(good)
+    for mark in (b"PK\x03\x04", b"PK\x01\x02"):
+        locked[locked.index(mark) + (6 if mark == b"PK\x03\x04" else 8)] |= 1  # the flag of encryption
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").replace(b'<w:gridSpan w:val="1"/>', b'<w:gridSpan w:val="x"/>', 1))
+    torn = bytearray(content)
+    torn[len(torn) // 3 : len(torn) // 3 + 9] = b"\0" * 9
+    for name, data in (("good.zip", good), ("broken.zip", broken), ("locked.zip", locked), ("span.docx", bad.getvalue()), ("torn.docx", torn), ("fine.docx", content)):
+        (tmp_path / name).write_bytes(bytes(data))
+    files = documents.resolve_archives(documents.read_documents(spark, str(tmp_path)))
+    assert {r["path"].rsplit("/", 1)[-1] for r in files.collect()} == {"good.zip", "span.docx", "torn.docx", "fine.docx"}
+    rows = documents.extract_tables(files).groupBy("path").count().collect()
+    assert {r["path"].rsplit("/", 1)[-1]: r["count"] for r in rows} == {"good.zip": 32, "fine.docx": 32}
+
+
+def test_lengths_need_no_content(spark, tmp_path):
+    """Of large files only the listing is read."""
+    (tmp_path / "large.docx").write_bytes(b"x" * 100_000)
+    (tmp_path / "small.docx").write_bytes(b"x")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5000)
+    try:
+        assert documents.read_documents(spark, str(tmp_path)).select("path", "length").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_change_stream(spark, tmp_path):
     schema = "inbox_id long, snapshot_id long, folder string, name string, uploaded_at timestamp"
     source = tmp_path / "in"
@@ -265,6 +324,46 @@ def test_batch_run_again_is_harmless(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, "added", "a"), (1, "added", "b"), (1, "removed", "a")]
 
 
+def test_state_read_does_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT", 4)
+    schema = "inbox_id long, snapshot_id long, folder string, name string, uploaded_at timestamp"
+    quiet = [(9, 0, "f", "old", None)]  # listed once, and then never again
+    for i in range(11):
+        batch = spark.createDataFrame((quiet if i == 0 else []) + [(1, i, "f", f"v{i}", None)], schema).coalesce(1)
+        streams.accept(batch, i, f"{tmp_path}/sink", f"{tmp_path}/state")
+        state = streams.latest_state(spark, f"{tmp_path}/state", i + 1, batch.select(*streams.KEYS))
+        assert {(r.inbox_id, r.name) for r in state.collect()} == {(1, f"v{i}"), (9, "old")}
+        runs = {f.rsplit("run=", 1)[1].split("/")[0] for f in state.inputFiles()}
+        assert len([r for r in runs if i - i % 4 <= int(r) <= i]) == i % 4 + 1
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(run" in plan
+
+
+def test_other_faults_of_state_are_raised(spark, tmp_path):
+    like = spark.createDataFrame([], "inbox_id long")
+    assert streams._table(spark, f"{tmp_path}/none", like).count() == 0
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        streams._table(spark, f"{tmp_path}/state", like).count()
+
+
+def test_known_slots_are_not_computed(spark, tmp_path):
+    """Three batches, the last of which runs again: only new keys reach the computation."""
+    computed = []
+
+    def compute(df):
+        computed.append(sorted(r.content_key for r in df.collect()))
+        return df.withColumn("result", F.upper("content_key"))
+
+    batches = [[("a", 1), ("b", 2), ("a", 0)], [("b", 3), ("c", 4)], [("a", 5), ("d", 6), ("d", 7)]]
+    for i, rows in [*enumerate(batches), (2, batches[2])]:
+        streams.process_new_slots(spark.createDataFrame(rows, "content_key string, slot_id long"), i, f"{tmp_path}/results", compute)
+    assert computed == [["a", "b"], ["c"], ["d"], ["d"]]
+    got = spark.read.parquet(f"{tmp_path}/results").select("content_key", "slot_id", "result").collect()
+    assert sorted(map(tuple, got)) == [("a", 0, "A"), ("b", 2, "B"), ("c", 4, "C"), ("d", 6, "D")]
+
+
 def test_apply_facets(spark):
     rows = [(1, "A", "9.1, 9.2", "G"), (1, "A", None, "G"), (1, "B", "9.2", ""), (1, "C", None, "")]
     sessions = spark.createDataFrame(rows, "meeting_id long, name string, agenda_item string, group_header string")
