@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..constants import DAYS, TIME_BLOCKS
 from ..functions import text as T
 
-SLOT = ["meeting_id", "day", "tb"]
+DAY = ["meeting_id", "day"]
+SLOT = [*DAY, "tb"]
 
 
 def _indices() -> Column:
@@ -22,19 +23,18 @@ def _indices() -> Column:
 def room_labels(cells: DataFrame, rooms: DataFrame) -> DataFrame:
     """cells with room_label (J3): their rooms' names in order; by index where no room is known.
 
-    rooms has (meeting_id, source, day, table_index, room_idx, pos, name). A cell's distinct
-    places are resolved once.
+    rooms has (meeting_id, source, day, table_index, room_idx, pos, name). Those of a day are
+    few and come to its cells as one array, so cells are dealt by meeting and day, as later
+    steps take them.
     """
-    keys = ["meeting_id", "source", "day"]
-    place = [*keys, "table_index", "room_from", "room_to"]
-    places = cells.select(*place).distinct()
-    listed = rooms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "table_index", "room_idx", "name"))).alias("__rooms"))
-    own = F.filter("__rooms", lambda r: (r["table_index"] == F.col("table_index")) & r["room_idx"].between(F.col("room_from"), F.col("room_to")))
+    listed = rooms.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.struct("pos", "table_index", "room_idx", "name", "source"))).alias("__rooms"))
+    here = F.filter("__rooms", lambda r: r["source"] == F.col("source"))
+    own = F.filter(here, lambda r: (r["table_index"] == F.col("table_index")) & r["room_idx"].between(F.col("room_from"), F.col("room_to")))
     names = F.array_join(F.transform(own, lambda r: r["name"]), " + ")
     none = F.concat(F.lit("Room ["), _indices(), F.lit("]"))
     unknown = F.concat(F.lit("Table "), F.col("table_index").cast("string"), F.lit(" "), none)
-    label = F.when(F.col("__rooms").isNull(), none).when(F.size(own) == 0, unknown).otherwise(names)
-    return cells.join(places.join(listed, keys, "left").select(*place, label.alias("room_label")), place)
+    label = F.when(F.col("__rooms").isNull() | (F.size(here) == 0), none).when(F.size(own) == 0, unknown).otherwise(names)
+    return cells.join(listed, DAY, "left").select(*cells.columns, label.alias("room_label"))
 
 
 def merge_slots(labelled: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -43,18 +43,15 @@ def merge_slots(labelled: DataFrame, rooms: DataFrame) -> DataFrame:
     Detail cells whose text the main schedule has in the slot are dropped; a detail label that
     is one of the day's main rooms gets the person in front.
     """
-    text = T.strip(F.col("text"))
-    cells = labelled.withColumn("__text", text)
-    main = cells.where("source = 0")
-    slots = main.select(*SLOT).distinct()
-    known = main.select(*SLOT, "__text").distinct()
-    detail = cells.where("source > 0").join(slots, SLOT, "left_semi").join(known, [*SLOT, "__text"], "left_anti")
-    names = rooms.where("source = 0").select("meeting_id", "day", F.col("name").alias("room_label"), F.lit(True).alias("__main")).distinct()
-    detail = detail.join(names, ["meeting_id", "day", "room_label"], "left")
-    detail = detail.withColumn("room_label", F.when(F.col("__main"), F.concat("person", F.lit(": "), "room_label")).otherwise(F.col("room_label"))).drop("__main")
-    both = main.unionByName(detail.select(main.columns))
-    label = F.when(F.col("source") == 0, "Main Schedule").otherwise(F.concat("person", F.lit("'s schedule")))
-    return both.drop("__text").withColumn("source_label", label)
+    text, is_main = T.strip(F.col("text")), F.col("source") == 0
+    slot, same = Window.partitionBy(*SLOT), Window.partitionBy(*SLOT, "__text")
+    marked = labelled.withColumn("__text", text).withColumns({"__slot": F.bool_or(is_main).over(slot), "__known": F.bool_or(is_main).over(same) & F.col("__text").isNotNull()})
+    names = rooms.where("source = 0").groupBy(*DAY).agg(F.collect_set("name").alias("__main"))
+    kept = marked.where(is_main | (F.col("__slot") & ~F.col("__known"))).join(names, DAY, "left")
+    prefixed = ~is_main & F.coalesce(F.array_contains("__main", F.col("room_label")), F.lit(False))
+    kept = kept.withColumn("room_label", F.when(prefixed, F.concat("person", F.lit(": "), "room_label")).otherwise(F.col("room_label")))
+    label = F.when(is_main, "Main Schedule").otherwise(F.concat("person", F.lit("'s schedule")))
+    return kept.select(*labelled.columns, label.alias("source_label"))
 
 
 def slots(entries: DataFrame) -> DataFrame:
