@@ -8,7 +8,8 @@ copies are shuffled globally into the order of a hashed key.
 Defined cases: a null source is a source of its own; null text counts as empty for the
 draw and stays null; fully repeated rows draw the same count; a source missing from given
 weights has weight 0 and leaves; an empty table gives an empty result; further columns are
-carried.
+carried, and where one of them has the name of a column that mixing adds, the added one is
+called `mix_` and that name.
 """
 
 from __future__ import annotations
@@ -64,24 +65,24 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     The result is shuffled globally: partition i holds the i-th part of the range of
     order_key, sorted by it.
     """
-    spark = docs.sparkSession
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names.values())  # columns may have any name
     # a table whose size Spark knows is broadcast only if it is small
-    rates = stage_table(source_rates(docs, weights, temper, growth, source), "rates")
-    parts = [F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    rates = stage_table(source_rates(own, weights, temper, growth, names[source]), "rates")
+    doc_id, content = F.col(names[key]), F.col(names[text])
+    parts = [F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(content, F.lit("")).cast("binary"))]
     copies = F.when(F.col("rate") > 0, F.size(F.filter("__terms", lambda c: c < F.col("__point")))).otherwise(0)
     drawn = (
-        docs.withColumn("__point", _point(*parts))
-        .join(rates, docs[source].eqNullSafe(rates["__source"]))
+        own.withColumn("__point", _point(*parts))
+        .join(rates, F.col(names[source]).eqNullSafe(F.col("__source")))
         .withColumn("__copies", copies)
         .where("__copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     )
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(docs.sparkSession)
     digest = F.md5(F.concat_ws(":", F.lit("order"), *parts, F.col("copy_no").cast("string")).cast("binary"))
     keyed = drawn.withColumn("order_key", F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"))
     part = F.floor(F.col("order_key") / float(2**POINT_BITS) * n).cast("int")
-    return (
-        keyed.select(*[docs[c] for c in docs.columns], "copy_no", "rate", "order_key")
-        .repartitionById(n, part)
-        .sortWithinPartitions("order_key", key, "copy_no")
-    )
+    added = ("copy_no", "rate", "order_key")
+    mixed = keyed.select(*names.values(), *added).repartitionById(n, part).sortWithinPartitions("order_key", names[key], "copy_no")
+    return mixed.select(*[F.col(n).alias(c) for c, n in names.items()], *[F.col(c).alias(f"mix_{c}" if c in names else c) for c in added])

@@ -16,7 +16,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(documents(spark, sf_dir))
+    return sharding.shard_digest(sharding.shard(documents(spark, sf_dir)))
 
 
 def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ totals AS (SELECT sum(pow(n::DOUBLE, 0.5)) AS shares, sum(n) AS n_all FROM count
 rates AS (SELECT source, pow(n::DOUBLE, 0.5) * (n_all / shares) / n AS rate FROM counts, totals),
 terms AS (
   SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-  FROM rates, range(0, 200) AS t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
+  FROM (SELECT *, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rates)),
 sums AS (SELECT source, list(c ORDER BY k) AS cs FROM (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
 points AS (

@@ -18,19 +18,58 @@ def test_feistel_permutes(n):
     assert sorted(sharding.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
+def plain_position(row: int, n: int, seed: int) -> int:
+    """The Feistel network in Python's own integers."""
+    half = max(1, (max(2, n) - 1).bit_length() + 1 >> 1)
+    keys = [int(k) for k in np.random.default_rng(seed).integers(0, 2**63, sharding.ROUNDS, dtype=np.uint64)]
+    while True:
+        left, right = row >> half, row & ((1 << half) - 1)
+        for k in keys:
+            f = (right ^ k) * 0x9E3779B97F4A7C15 % 2**64
+            f = (f ^ (f >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+            left, right = right, left ^ ((f ^ (f >> 32)) & ((1 << half) - 1))
+        row = left << half | right
+        if row < n:
+            return row
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 100, 777])
+def test_feistel_against_plain_integers(n):
+    assert sharding.feistel(np.arange(n), n, 8).tolist() == [plain_position(i, n, 8) for i in range(n)]
+
+
 def test_shards(docs, no_docs, corpus):
-    rows = sharding.shard(docs).collect()
+    from pyspark.sql import functions as F
+
+    dealt = sharding.shard(docs)
+    rows = sharding.shard_digest(dealt).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus)
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
     slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
+        assert (r.shard, r.slot) == (r.position % 16, r.position // 16)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     sizes = [len(slots[s]) for s in range(16)]
     assert max(sizes) - min(sizes) <= 1
-    again = sharding.shard(docs.repartition(1)).collect()
+    again = sharding.shard_digest(sharding.shard(docs.repartition(1))).collect()
     assert sorted(rows, key=by_value) == sorted(again, key=by_value)
     assert sharding.shard(no_docs).count() == 0
+    # positions by plain counting: by bucket, then hash
+    hashed = docs.select("*", F.xxhash64(F.struct(*docs.columns)).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r.h % 64, r.h))
+    want = Counter((*r[:-1], plain_position(i, len(order), 20240229)) for i, r in enumerate(order))
+    assert Counter(map(tuple, dealt.drop("shard", "slot").collect())) == want
+    # a partition holds slots of one shard in their order
+    for part in dealt.select("shard", "slot", F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_list(F.struct("shard", "slot")).alias("x")).collect():
+        assert len({x.shard for x in part.x}) == 1
+
+
+def test_shards_carry_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", -i, "x") for i in range(40)], "doc_id long, text string, slot long, position string")
+    dealt = sharding.shard(docs, 3)
+    assert dealt.columns == [*docs.columns, "dealt_position", "shard", "dealt_slot"]
+    assert {(r.doc_id, r.slot) for r in dealt.collect()} == {(i, -i) for i in range(40)}
 
 
 def test_mixing_meets_weights(spark):
@@ -52,6 +91,18 @@ def test_mixing_odd_rows(docs, no_docs, corpus):
     assert mixing.mix_sources(docs, {"nowhere": 1.0}).count() == 0
 
 
+def test_mixing_clashing_columns(spark):
+    """Columns that mixing adds, or uses inside, are carried where docs has them."""
+    rows = [(i, f"text {i}", "ab"[i % 2], 7, 8, 9, 10) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int, copy_no int, order_key int, n_rows int")
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == [*docs.columns, "mix_copy_no", "mix_rate", "mix_order_key"]
+    found = mixed.collect()
+    assert {(r.rate, r.copy_no, r.order_key, r.n_rows) for r in found} == {(7, 8, 9, 10)}
+    plain = mixing.mix_sources(docs.select("doc_id", "text", "source")).collect()
+    assert Counter((r.doc_id, r.mix_copy_no) for r in found) == Counter((r.doc_id, r.copy_no) for r in plain)
+
+
 def test_mixing_runs_no_python(docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
