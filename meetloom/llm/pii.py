@@ -2,26 +2,32 @@
 
 Base spans follow fixed patterns with checks (octets, Luhn, digit counts) and always stay.
 High-recall generators propose further, overlapping spans that the base patterns miss
-(written-out addresses, numbers without a plus sign or with other separators). Gradient
-boosted trees judge them by format and context; a threshold calibrated for precision on
-unseen candidates selects, and of overlapping selections the likeliest stays.
+(written-out mail and network addresses, numbers without a plus sign or with other
+separators). Gradient boosted trees judge them by format and context; a threshold calibrated
+for precision on unseen candidates selects, and of overlapping selections the likeliest stays.
 
 The trees learn from a bounded sample of the documents' own base spans: those, and
-rewritten forms of them that the base patterns miss, are positives; what the generators
-propose elsewhere in the sample is negative.
+rewritten forms of them that the base patterns miss, are positives. Negatives are forms that
+are known to be wrong, put where a base span stands: broken check digits, parts over 255,
+dates, amounts and other numbers, places and sites after "at". What the generators propose
+elsewhere in the sample is not labelled, so it neither trains nor calibrates: a corpus with
+many written-out addresses doesn't teach that these are none.
 
 Defined cases: null or empty text has no spans; places are code points; repeated rows give
 equal rows; without any base span in the sample nothing is added; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored (`find_personal_data`) or carried (`redact`). All
+patterns and comparisons take time in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +36,26 @@ from .common import bounded_batches
 from .learning import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 3000  # the bound of the sample that the trees are fitted on
+SAMPLE_DOCS, SAMPLE_SPANS = 3000, 16  # the bounds of the sample that the trees are fitted on: documents, and base spans of each
 TREES, DEPTH, BINS, RATE, LEAF_ROWS = 40, 3, 24, 0.2, 10
 PRECISION = 0.98
-DATES = ("2023-11-05 14", "2021-03-12 09.30", "12.03.2021 09", "05/11/2023 16.45", "1.2.3 2024-01-02 10")
+#: What stands for personal data of a kind and is none.
+WRONG = {
+    "email": ("look at www.example.org", "open at 10.30", "seen at the.end", "only at shop.example.com", "at home.Then", "one at 3.5"),
+    "ip": ("1[.]2 dot 3.4", "10 . 20 . 300 . 40", "400.1.1.1", "2.10.2023 . 5", "1 . 000 . 000 . 00", "3.14.15.926"),
+    "phone": ("2023-11-05 14", "2021-03-12 09.30", "12.03.2021 09", "05/11/2023 16.45", "1.2.3 2024-01-02 10", "1.000.000.000", "3.1415926535", "1999-2004 2010-2015", "978-3-16-148410-0", "20231105143000", "10/20/30/40/50"),
+}
 LEAST = 0.9  # no threshold is lower
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9.]*[0-9]\.[0-9.]*")
+_DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TELLING = re.compile("[0-9@]")
+_DIGITS = re.compile("[0-9]+")
 _SPELLED = re.compile(r"(?: at | ?[(\[]at[)\]] ?|@)[A-Za-z0-9-]+(?:(?: dot |\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9-]+)+")
+_QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: dot | ?\. ?|[(\[](?:\.|dot)[)\]])[0-9]{1,3}){3}(?![0-9])")
 _NUMBERS = re.compile(r"[0-9](?:[\x20()./_-]{0,3}[0-9]){7,}")
 
 Span = tuple[str, int, int]
@@ -56,7 +69,7 @@ def luhn(digits: str) -> bool:
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(_DIGITS.findall(s))
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -73,6 +86,8 @@ def _emails(text: str) -> Iterator[Span]:
 
 def _addresses(text: str) -> Iterator[Span]:
     for run in _DOTTED.finditer(text):
+        if run.group().count(".") < 3:
+            continue
         parts, place = [], run.start()
         for part in run.group().split("."):
             parts.append((place, part))
@@ -111,6 +126,7 @@ def proposals(text: str) -> list[Span]:
             start -= 1
         if start < m.start():
             found.add(("email", start, m.end()))
+    found.update(("ip", *m.span()) for m in _QUAD.finditer(text))
     for m in _NUMBERS.finditer(text):
         n = len(_digits(m.group()))
         start = m.start() - (m.start() > 0 and text[m.start() - 1] in "(+")
@@ -129,16 +145,17 @@ def features(text: str, span: Span) -> list[float]:
     kind, a, b = span
     s, before, after = text[a:b], text[max(0, a - 24) : a].lower(), text[b : b + 12].lower()
     d = _digits(s)
-    groups = re.findall("[0-9]+", s)
+    groups = _DIGITS.findall(s)
+    right = 2.0 if kind not in ("card", "ip") else float(luhn(d) if kind == "card" else all(int(g) <= 255 for g in groups))
     last = re.split(r"[^A-Za-z]+", s)[-1]
     return [
         KINDS.index(kind), len(s), len(d), len(d) / max(1, len(s)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[-1]) if groups else 0,
-        (float(luhn(d)) if kind == "card" else 2.0), float(s[:1] == "+"), s.count("(") + s.count("["), s.count("-"), s.count(" "), s.count("."), float("@" in s), len(last),
+        right, float(s[:1] == "+"), s.count("(") + s.count("["), s.count("-"), s.count(" "), s.count("."), float("@" in s), len(last),
         float(bool(before) and before[-1].isalnum()), float(bool(after) and (after[0].isalnum() or after[0] in "=:_")), float(any(w in before for w in _WORDS[kind])), (float(len(set(d)) <= 2) if kind != "email" else 2.0),
     ]
 
 
-def rewritten(text: str, span: Span, choice: int) -> tuple[str, Span] | None:
+def rewritten(text: str, span: Span, choice: int) -> tuple[str, Span]:
     """text with a base span in a form that the base patterns miss."""
     kind, a, b = span
     s = text[a:b]
@@ -151,10 +168,24 @@ def rewritten(text: str, span: Span, choice: int) -> tuple[str, Span] | None:
         d = _digits(s)
         new = ("/", "_", " - ", ".")[choice % 4].join(d[i : i + 4] for i in range(0, len(d), 4))
     else:
-        return None
+        new = s.replace(".", ("[.]", " dot ", "(.)", " . ")[choice % 4])
     return text[:a] + new + text[b:], (kind, a, a + len(new))
 
 
+def wrong_forms(text: str, span: Span) -> Iterator[tuple[str, Span]]:
+    """text with something that is none in place of a base span."""
+    kind, a, b = span
+    if kind == "card":  # the same forms with a wrong check digit
+        broken = text[: b - 1] + str((int(text[b - 1]) + 1) % 10) + text[b:]
+        yield broken, span
+        yield from (rewritten(broken, span, c) for c in range(4))
+    if kind == "ip":  # the same forms with a part over 255
+        rest = text[a + text[a:b].index(".") : b]
+        yield from (rewritten(f"{text[:a]}391{rest}{text[b:]}", (kind, a, a + 3 + len(rest)), c) for c in range(4))
+    for other in WRONG.get(kind, ()):
+        yield text[:a] + other + text[b:], (kind, a, a + len(other))
+
+
 @dataclass
 class Trees:
     """Boosted trees of one depth over binned features."""
@@ -249,41 +280,75 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Trees | Non
 
 
 def examples(text: str) -> Iterator[tuple[int, list[float]]]:
+    """What SAMPLE_SPANS base spans of text teach, evenly over it."""
     base = base_spans(text)
-    for span in base:
-        forms = [(text, span), *filter(None, (rewritten(text, span, c) for c in range(4)))]
-        for form in forms:
+    for span in base[:: max(1, -(-len(base) // SAMPLE_SPANS))]:
+        near = max(0, span[1] - 64)
+        own = text[near : span[2] + 64]  # features look no further
+        span = (span[0], span[1] - near, span[2] - near)
+        for form in ((own, span), *(rewritten(own, span, c) for c in range(4))):
             yield 1, features(*form)
-        if span[0] == "card":  # the same forms with a wrong check digit are none
-            wrong = text[: span[2] - 1] + str((int(text[span[2] - 1]) + 1) % 10) + text[span[2] :]
-            for form in ((wrong, span), *filter(None, (rewritten(wrong, span, c) for c in range(4)))):
-                yield 0, features(*form)
-        if span[0] == "phone":  # dates and times in its place are none
-            for other in DATES:
-                yield 0, features(text[: span[1]] + other + text[span[2] :], ("phone", span[1], span[1] + len(other)))
-    for span in proposals(text):
-        if not _meets(span, base):
-            yield 0, features(text, span)
+        for form in wrong_forms(own, span):
+            yield 0, features(*form)
+
+
+class Taken:
+    """Spans by place, to ask which others they meet."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(s[1:] for s in spans)
+        self.starts, self.ends, last = [s for s, _ in spans], [], 0
+        for _, e in spans:
+            self.ends.append(last := max(last, e))
 
+    def meets(self, span: Span) -> bool:
+        before = bisect.bisect_left(self.starts, span[2])  # those that begin before span's end
+        return before > 0 and self.ends[before - 1] > span[1]
 
-def _meets(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < e and s < span[2] for _, s, e in others)
+    def add(self, span: Span) -> None:
+        """span, which meets none."""
+        at = bisect.bisect(self.starts, span[1])
+        self.starts.insert(at, span[1])
+        self.ends.insert(at, span[2])
 
 
 def all_spans(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, each by start, then kind."""
     base = base_spans(text)
-    open_ = [s for s in proposals(text) if not _meets(s, base)] if trees else []
+    taken = Taken(base)
+    open_ = [s for s in proposals(text) if not taken.meets(s)] if trees else []
     if not open_:
         return base, base
     chances = trees.chances(np.array([features(text, s) for s in open_]))
-    chosen: list[Span] = []
+    chosen, taken = [], Taken([])
     for i in np.argsort(-chances, kind="stable").tolist():
-        if chances[i] >= trees.threshold and not _meets(open_[i], chosen):
+        if chances[i] >= trees.threshold and not taken.meets(open_[i]):
             chosen.append(open_[i])
+            taken.add(open_[i])
     return base, sorted([*base, *chosen], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def redacted(text: str, spans: list[Span]) -> str:
+    """text with every run of overlapping spans replaced by the kind of its first."""
+    out, at = [], 0
+    for kind, a, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{kind}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the personal data in their texts replaced by its kind; columns as they were, a null text stays null."""
+    trees = fit(docs, key, text)
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else redacted(t, all_spans(t, trees)[1]))
+
+    return docs.withColumn(text, clean(F.col(text)))
+
+
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), a row per document."""
     trees = fit(docs, key, text)

@@ -112,3 +112,64 @@ def test_personal_data(spark, docs, no_docs, corpus):
     assert found[901].spans == found[902].spans == found[903].spans == ""
     assert pii.pii_digest(pii.find_personal_data(docs)).count() == len(corpus)
     assert pii.pii_digest(pii.find_personal_data(no_docs)).count() == 0
+
+
+def test_obfuscated_cases_are_found(spark):
+    """A tenth of the documents have written-out data; the unlabelled cases don't teach that these are none."""
+    rng = random.Random(11)
+    rows, hidden, clean = [], {}, set()
+    for i in range(1500):
+        name, host, quad = f"{rng.choice(['ann', 'bo.lee', 'kim_x'])}{i}", f"host{i % 37}", [rng.randrange(1, 250) for _ in range(4)]
+        number = f"4{rng.randrange(10**14):014d}"
+        card = next(number + d for d in "0123456789" if pii.luhn(number + d))
+        if i % 10 == 0:
+            text, what = (
+                (f"{name} (at) {host}.example.org", "email"), (f"{name} at {host} dot example dot org", "email"), (f"{name}[at]{host}[dot]net", "email"),
+                ("[.]".join(map(str, quad)), "ip"), (" dot ".join(map(str, quad)), "ip"), ("/".join(card[j : j + 4] for j in (0, 4, 8, 12)), "card"),
+            )[i // 10 % 6]
+            before = {"email": "mail ", "ip": "server ", "card": "card no "}[what]
+            hidden[i] = (what, len(before), len(before) + len(text))
+            rows.append((i, f"{before}{text} for more"))
+        elif i % 10 < 3:
+            clean.add(i)
+            rows.append((i, f"look at www.{host}.org on 2023-0{1 + i % 9}-11 09.30 or 10 . 20 . {300 + i % 90} . 7, part {rng.randrange(10**6)} of 1.000.000"))
+        else:
+            rows.append((i, f"mail {name}@{host}.example.org or +{i % 9 + 1} {200 + i % 700} 555-{1000 + i % 9000} from {'.'.join(map(str, quad))} with card {card}"))
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    hits = [(i, s) for i, s in hidden.items() if any((x.kind, x.start, x.end) == s for x in found[i].spans)]
+    assert len(hits) >= 0.9 * len(hidden)
+    assert sum(len(found[i].spans) for i in clean) <= 0.01 * len(clean)
+
+
+def test_spans_taken_against_all_pairs():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [("email", a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 6)]
+        taken = pii.Taken(spans)
+        for a in range(60):
+            for b in (a + 1, a + 5):
+                assert taken.meets(("ip", a, b)) == any(a < e and s < b for _, s, e in spans)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for text in ("7" * 3_000_000, "1.2" * 400_000, "a@" * 500_000, "+1 (" * 300_000, "x at y.z " * 50_000, "1 2" * 400_000):
+        pii.base_spans(text)
+        pii.proposals(text)
+    many = " ".join(f"u{i}@h.org 10[.]0[.]0[.]{i % 200}" for i in range(20_000))
+    assert len(pii.all_spans(many, None)[0]) == 20_000
+    taken = pii.Taken(pii.base_spans(many))
+    assert sum(not taken.meets(s) for s in pii.proposals(many)) == 20_000
+    assert time.process_time() - began < 20
+
+
+def test_redaction(spark):
+    rows = [(i, f"mail a{i}@b.example.org, call +1 (375) 555-{1000 + i}") for i in range(60)] + [(90, None), (91, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans")
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert got[7] == "mail [email], call [phone]" and got[90] is None and got[91] == "nothing"
+    assert pii.redacted("ab cd ef", [("email", 0, 5), ("ip", 3, 8)]) == "[email]"
