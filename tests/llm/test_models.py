@@ -173,3 +173,97 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in clean.collect()}
     assert got[7] == "mail [email], call [phone]" and got[90] is None and got[91] == "nothing"
     assert pii.redacted("ab cd ef", [("email", 0, 5), ("ip", 3, 8)]) == "[email]"
+
+
+def plain_vectors(words, shapes):
+    """Index vectors of hashes as plain lists."""
+    out = {}
+    for h in {*words, *shapes}:
+        at, sign = quality.index_entries(np.array([h], np.uint64))
+        vector = [0.0] * quality.DIMENSIONS
+        for i, s in zip(at[0], sign[0], strict=True):
+            vector[i] += s
+        out[h] = vector
+    return out
+
+
+def test_word_vectors_against_loops(spark):
+    """Common words, context vectors and pooled documents, recomputed one word at a time."""
+    rng = random.Random(9)
+    texts = [None, "", " ", *(" ".join(rng.choice(["one", "Two", "three!", "44", "one"]) if rng.random() < 0.8 else f"rare{rng.randrange(99)}" for _ in range(rng.randrange(1, 40))) for _ in range(30))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    each = []
+    for t in texts:
+        w, s, _ = quality.words_of([t])
+        each.append((w.tolist(), s.tolist()))
+    assert [len(w) for w, _ in each] == [len((t or "").split()) for t in texts]
+    total = sum(len(w) for w, _ in each)
+    counts = {}
+    for w, s in each:
+        for h in (*w, *s):
+            counts[h] = counts.get(h, 0) + 1
+    common = sorted(h for h, n in counts.items() if n >= 0.02 * total)
+    found = quality.common_words(docs, "text", 0.02)
+    assert found.tolist() == common and 5 < len(common) < len(counts)
+    index = plain_vectors([h for w, _ in each for h in w], [h for _, s in each for h in s])
+    sums = {h: np.zeros(quality.DIMENSIONS) for h in common}
+    for w, s in each:
+        for i in range(len(w)):
+            for kind, other in ((w, s), (s, w)):
+                if kind[i] in sums:
+                    sums[kind[i]] += index[other[i]]
+                    for j in range(max(0, i - quality.REACH), min(len(w), i + quality.REACH + 1)):
+                        if j != i:
+                            sums[kind[i]] += index[kind[j]]
+    vectors = quality.context_vectors(docs, quality.Known(found))
+    for k, h in enumerate(common):
+        assert np.allclose(vectors[k + 1], sums[h] / max(np.linalg.norm(sums[h]), 1e-9), atol=1e-5)
+    unit = {h: vectors[k + 1] for k, h in enumerate(common)}
+    pooled = quality.pooled(texts, quality.Known(found), vectors)
+    for row, (w, s) in zip(pooled, each, strict=True):
+        n = max(1, len(w))
+        want = [part for x in (w, s) for part in (np.sum([index[h] for h in x], axis=0) / n if x else np.zeros(64), sum((unit.get(h, np.zeros(64)) for h in x), np.zeros(64)) / n)]
+        assert np.allclose(row, [*np.concatenate(want), np.log1p(len(w))], atol=1e-4)
+
+
+def test_pooling_long_texts_in_steps(monkeypatch):
+    texts = ["a b c d " * 50, None, "e f " * 9]
+    known = quality.Known(np.unique(np.concatenate(quality.words_of(texts)[:2])))
+    vectors = np.random.default_rng(0).standard_normal((len(known.hashes) + 1, quality.DIMENSIONS)).astype(np.float32)
+    whole = quality.pooled(texts, known, vectors)
+    monkeypatch.setattr(quality, "STEP", 7)
+    assert np.allclose(whole, quality.pooled(texts, known, vectors), atol=1e-5)
+
+
+def plain_logit(net, inputs):
+    """A window's logit in plain loops."""
+    def gate(x):
+        return 1 / (1 + np.exp(-x))
+
+    H = toxicity.HIDDEN
+    states = {}
+    for side, order in (("f", range(len(inputs))), ("b", range(len(inputs) - 1, -1, -1))):
+        h = [0.0] * H
+        for t in order:
+            x = [sum(inputs[t][i] * net.p[f"in_{side}"][i, j] for i in range(len(inputs[t]))) + net.p[f"b_{side}"][j] for j in range(3 * H)]
+            rec = [sum(h[i] * net.p[f"rec_{side}"][i, j] for i in range(H)) for j in range(3 * H)]
+            z = [gate(x[j] + rec[j]) for j in range(H)]
+            r = [gate(x[H + j] + rec[H + j]) for j in range(H)]
+            n = [np.tanh(x[2 * H + j] + r[j] * rec[2 * H + j]) for j in range(H)]
+            h = [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(H)]
+            states[side, t] = h
+    both = [states["f", t] + states["b", t] for t in range(len(inputs))]
+    e = [np.exp(sum(np.tanh(sum(s[i] * net.p["key"][i, j] for i in range(2 * H))) * net.p["query"][j] for j in range(H))) for s in both]
+    pooled = [sum(e[t] * both[t][i] for t in range(len(both))) / sum(e) for i in range(2 * H)]
+    return sum(p * o for p, o in zip(pooled, net.p["out"], strict=True)) + net.p["bias"][0]
+
+
+def test_forward_against_loops():
+    rng = np.random.default_rng(3)
+    net = toxicity.Network(5, 5)
+    rows = rng.standard_normal((9, 2 * toxicity.EMBED)).astype(np.float32)
+    places, mask = rng.integers(0, 9, (6, 2)), np.ones((6, 2), np.float32)
+    mask[4:, 1] = 0
+    got = net.forward(rows, places, mask)
+    assert abs(got[0] - plain_logit(net, rows[places[:, 0]].tolist())) < 1e-4
+    assert abs(got[1] - plain_logit(net, rows[places[:4, 1]].tolist())) < 1e-4
