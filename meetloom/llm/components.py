@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links.
+
+Tasks of up to TASK_LINKS links contract them to spanning stars; what spans several tasks
+goes on by alternating large and small stars. Links that one task holds are done at once.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+TASK_LINKS = 10_000
+
+
 def _neighbours(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
@@ -18,7 +25,7 @@ def _neighbours(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     near = _neighbours(links)
     least = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+    return near.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -42,22 +49,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = find(a), find(b)
             if x != y:
                 root[max(x, y)] = min(x, y)
-    ids = list(root)
+    ids = [i for i in root if find(i) != i]
     yield pa.RecordBatch.from_arrays([pa.array([find(i) for i in ids], pa.int64()), pa.array(ids, pa.int64())], names=["a", "b"])
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """Links (a < b) that join the same ids as links do, in fewer steps."""
-    near = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b")
-    return cut(_small_star(_large_star(near.mapInArrow(_contract, "a long, b long"))))
+def _is_done(links: DataFrame) -> bool:
+    """Whether links are stars: every id either has links as the smaller one, or a single link."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(links.select(F.col("b").alias("id"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return not ends.groupBy("id").agg(F.max("x").alias("x"), F.sum("y").alias("y")).where("y > 1 OR (x = 1 AND y = 1)").limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for every id in links (a, b) other than a component's smallest, that smallest id."""
-    links, mark = stars(links), None
+    links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
     while True:
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
+        tasks = max(1, -(-links.count() // TASK_LINKS))
+        near = links.coalesce(tasks).mapInArrow(_contract, "a long, b long")
+        links = cut(near if tasks == 1 else _small_star(_large_star(near)))
+        if tasks == 1 or _is_done(links):
             return links.select(F.col("b").alias("id"), F.col("a").alias("component"))
-        mark = now
-        links = cut(_small_star(_large_star(links)))

@@ -84,19 +84,15 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, tokens array<short>")
 
 
-def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (node, doc_id) of nodes that fit a task, and of those that don't."""
+def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, doc_id) of every node with several documents that fits a task, and with size of larger ones."""
+    keyed = classes.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    rows = keyed.select("tree", F.xxhash64("tree", "key").alias("node"), "doc_id")
     sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    marked = cut(rows.join(sizes, "node"))
+    marked = cut(rows.join(sizes, "node").select("tree", "node", "doc_id", "size"))
     return marked.where(F.col("size") <= LOCAL).drop("size"), marked.where(F.col("size") > LOCAL)
 
 
-def nodes_of(classes: DataFrame, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """(node, doc_id) of every node with several documents that fits a task, and (node, doc_id, size) of larger ones."""
-    keyed = classes.select("doc_id", F.posexplode(F.slice("keys", 1, trees)).alias("tree", "key"))
-    return _split(keyed.select(F.xxhash64("tree", "key").alias("node"), "doc_id"))
-
-
 def _whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches sorted by their first column, cut anew so that no node is in two."""
     held: pa.Table | None = None
@@ -421,10 +417,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
     members = classes.select("doc_id", "n_shingles", "tokens")
     tokens = classes.select("doc_id", "tokens")
-    small, large = nodes_of(classes, FIRST)
-    if large.limit(1).count():
-        small = small.unionByName(hub_blocks(large, tokens))
-    first = cut(likely_forest(small.join(members, "doc_id")))
+    small, large = nodes_of(classes)
+    any_large = large.limit(1).count() > 0
+    nodes = small.where(F.col("tree") < FIRST).drop("tree")
+    if any_large:
+        nodes = nodes.unionByName(hub_blocks(large.where(F.col("tree") < FIRST), tokens))
+    first = cut(likely_forest(nodes.join(members, "doc_id")))
     wanted = _ends(first)
     sets = cut(full_sets(docs, wanted, key, text, words).dropDuplicates(["doc_id"]))
     found = components(cut(confirmed(first, sets)))
@@ -433,11 +431,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
-    small, large = nodes_of(classes)
-    rows = labelled(small)
+    rows = labelled(small.drop("tree"))
     open_ = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
     rows = rows.join(open_, "node", "left_semi")
-    if large.limit(1).count():
+    if any_large:
         rows = rows.unionByName(crossings(labelled(large).select("node", "doc_id", "label"), tokens))
     left = cut(still_open(rows.join(members, "doc_id")))
     new = cut(left.select("doc_id").distinct().join(wanted, "doc_id", "left_anti"))  # no candidates of the first wave

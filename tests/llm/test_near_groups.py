@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from meetloom.llm import near_dedup
+from meetloom.llm import components, near_dedup
 
 from .test_dedup import brute_components, brute_sets
 
@@ -111,3 +111,13 @@ def test_no_wave_writes_more_rows_than_its_nodes_have(spark):
     links = near_dedup.true_forest(apart.join(sets, "doc_id"))
     assert 399 <= links.count() <= rows.count()
     signed.unpersist()
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    """Links that no task holds: a chain, a star, a tree and pairs, against plain union."""
+    monkeypatch.setattr(components, "TASK_LINKS", 20)
+    links = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(80)] + [(2000 + i, 2000 + 2 * i + 1 + j) for i in range(30) for j in (0, 1)] + [(3001 + 2 * i, 3000 + 2 * i) for i in range(40)]
+    random.Random(3).shuffle(links)
+    got = {(r.id, r.component) for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    want = {(i, 0) for i in range(1, 61)} | {(1001 + i, 1000) for i in range(80)} | {(2000 + i, 2000) for i in range(1, 61)} | {(3001 + 2 * i, 3000 + 2 * i) for i in range(40)}
+    assert got == want
