@@ -7,11 +7,15 @@ training sample. Everything is numpy: training on a bounded labelled sample at t
 scoring in the tasks.
 
 Training looks for the toxic part itself: a document teaches through the windows that
-score highest so far, first by log odds of words and n-grams, then by the network.
-
-Defined cases: a null or empty text, or one without any word, scores 0; without any positive or negative label every score is 0; repeated rows score
-alike; an empty table gives an empty result; other columns are ignored (`score`) or carried
-(`drop_toxic`).
+score highest so far, first by log odds of words and n-grams, then by the network. How clearly
+words and n-grams must tell of the label to get an embedding is chosen by cross-validation
+inside the sample; a fifth of it, from which the network doesn't learn, calibrates. Rows whose
+labels are held out decide nothing.
+
+Defined cases: a null or empty text, or one without any word, scores 0; without any positive
+or negative label (of a text of up to SAMPLE_BYTES) every score is 0; a null identifier counts
+as not held out; repeated rows score alike; an empty table gives an empty result; other
+columns are ignored (`score`) or carried (`drop_toxic`).
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED = 8, 8
 GRAMS = (4, 6)  # bytes of the n-grams, boundaries counted
 VOCABULARY = 20_000  # words, and n-grams, with an embedding
-CLEAR = 2.5  # deviations from no relation to the label that earn one
+CLEAR = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5)  # deviations from no relation to the label that may earn one
+FOLDS = 5
+SAMPLE_BYTES = 1 << 16  # of a text that is learnt from, so that the sample fits the driver
 SLOT_BITS = 20
 THRESHOLD = 0.3
 SLICE = 1 << 20
@@ -296,39 +302,93 @@ def _log_odds(n: np.ndarray, pos: np.ndarray, y: np.ndarray) -> tuple[np.ndarray
     return odds, np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (n - pos + 0.5))
 
 
+class Evidence:
+    """What words and n-grams of a table tell of the labels of some of its documents."""
+
+    def __init__(self, table: Words, y: np.ndarray, learnt: np.ndarray):
+        self.table, (self.gkinds, gid) = table, np.unique(table.gram, return_inverse=True)
+        have = Rows(gid.astype(np.int32), table.owner, len(table.word))
+        n, pos, gn, gpos = (np.zeros(k) for k in (len(table.word), len(table.word), len(self.gkinds), len(self.gkinds)))
+        for d in np.flatnonzero(learnt):  # in how many documents, and positive ones, words and n-grams are
+            own = np.unique(table.place[table.bounds[d] : table.bounds[d + 1]])
+            for total, positive, kinds in ((n, pos, own), (gn, gpos, np.unique(have.of(own)[0]))):
+                total[kinds] += 1
+                positive[kinds] += y[d]
+        self.odds, self.clear = _log_odds(n, pos, y[learnt])
+        self.godds, self.gclear = _log_odds(gn, gpos, y[learnt])
+
+    def vocabularies(self, least: float) -> tuple[Vocabulary, np.ndarray, Vocabulary, np.ndarray]:
+        """Words and n-grams that are so clear, and their log odds; others would only be learnt by heart."""
+        told, gtold = np.flatnonzero(self.clear >= least), np.flatnonzero(self.gclear >= least)
+        words, grams = Vocabulary(self.table.word[told], self.clear[told]), Vocabulary(self.gkinds[gtold], self.gclear[gtold])
+        return words, np.clip(self.odds[told][words.chosen], -4, 8) / 4, grams, np.clip(self.godds[gtold][grams.chosen], -4, 8) / 4
+
+    def worth(self, words: Vocabulary, odds: np.ndarray, grams: Vocabulary, godds: np.ndarray) -> np.ndarray:
+        """Summed log odds of each row of the table: of the word with all its n-grams."""
+        odds, godds = np.concatenate([[0], odds]), np.concatenate([[0], godds])
+        if not len(self.table.word):
+            return np.zeros(1)
+        return odds[words.find(self.table.word)] + np.bincount(self.table.owner, godds[grams.find(self.table.gram)], len(self.table.word))
+
+
+def _seeds(table: Words, begin: np.ndarray, length: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Each window's highest worth of a word."""
+    out = np.empty(len(begin))
+    for at in range(0, len(begin), 2048):
+        places, mask = _places(table.place, begin[at : at + 2048], length[at : at + 2048])
+        out[at : at + 2048] = np.where(mask > 0, worth[places], -9).max(axis=0)
+    return out
+
+
+def log_loss(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Of logits calibrated on these rows."""
+    scale, shift = calibrate(logits, y, weight, shift=True)
+    p = np.clip(sigmoid(scale * logits + shift), 1e-9, 1 - 1e-9)
+    return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum())
+
+
+def clearest(table: Words, y: np.ndarray, weight: np.ndarray, seed: int = 5) -> float:
+    """Which of CLEAR tells best, by log odds alone, of documents that the odds don't come from (FOLDS parts in turn)."""
+    text, begin, length = _windows(table.bounds)
+    firsts = np.flatnonzero(np.diff(text, prepend=-1))
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):  # as many of a label in each
+        rows = np.random.default_rng(seed).permutation(np.flatnonzero(y == label))
+        fold[rows] = np.arange(len(rows)) % FOLDS
+    highest = np.zeros((len(CLEAR), len(y)))
+    for f in range(FOLDS):
+        away = fold == f
+        if not 0 < y[~away].sum() < (~away).sum():
+            continue
+        evidence, windows = Evidence(table, y, ~away), np.flatnonzero(away[text])
+        for i, least in enumerate(CLEAR):
+            worth = evidence.worth(*evidence.vocabularies(least))
+            seeds = np.full(len(text), -9.0)
+            seeds[windows] = _seeds(table, begin[windows], length[windows], worth)
+            highest[i, away] = np.maximum.reduceat(seeds, firsts)[away]
+    losses = [log_loss(h, y, weight) for h in highest]
+    return CLEAR[int(np.argmin(losses))]
+
+
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6, seed: int = 5) -> Model | None:
     y = np.asarray(y, np.float64)
     if not len(y) or y.min() == y.max():
         return None
     table = tabulate(texts)
-    gkinds, gid = np.unique(table.gram, return_inverse=True)
-    have = Rows(gid.astype(np.int32), table.owner, len(table.word))
-    n, pos, gn, gpos = (np.zeros(k) for k in (len(table.word), len(table.word), len(gkinds), len(gkinds)))
-    for d, label in enumerate(y):  # in how many documents, and positive ones, words and n-grams are
-        own = np.unique(table.place[table.bounds[d] : table.bounds[d + 1]])
-        grams_of = np.unique(have.of(own)[0])
-        for total, positive, kinds in ((n, pos, own), (gn, gpos, grams_of)):
-            total[kinds] += 1
-            positive[kinds] += label
-    odds, clear = _log_odds(n, pos, y)
-    godds, gclear = _log_odds(gn, gpos, y)
-    told, gtold = np.flatnonzero(clear >= CLEAR), np.flatnonzero(gclear >= CLEAR)  # others would only be learnt by heart
-    words, grams = Vocabulary(table.word[told], clear[told]), Vocabulary(gkinds[gtold], gclear[gtold])
+    text, begin, length = _windows(table.bounds)
+    firsts = np.flatnonzero(np.diff(text, prepend=-1))
+    evidence = Evidence(table, y, np.ones(len(y), bool))
+    words, odds, grams, godds = chosen = evidence.vocabularies(clearest(table, y, weight, seed))
+    seeds = _seeds(table, begin, length, evidence.worth(*chosen))
+    rng = np.random.default_rng(seed)
+    unseen = rng.random(len(texts)) < 0.2  # left to calibration
+    unseen &= all(0 < y[m].sum() < m.sum() for m in (unseen, ~unseen))
+    judged = unseen if unseen.any() else ~unseen
     net = Network(len(words), len(grams), seed)
-    net.p["word"][1:, 0] = np.clip(odds[told][words.chosen], -4, 8) / 4
-    net.p["gram"][1:, 0] = np.clip(godds[gtold][grams.chosen], -4, 8) / 4
+    net.p["word"][1:, 0], net.p["gram"][1:, 0] = odds, godds
     wi, gi = words.find(table.word), grams.find(table.gram)
     indexed = Rows(gi, table.owner, len(table.word))
-    text, begin, length = _windows(table.bounds)
-    # the seed of a window: its highest log odds of a word with all its n-grams
-    worth = net.p["word"][wi, 0] + np.bincount(table.owner, net.p["gram"][gi, 0], len(table.word)) if len(wi) else np.zeros(1)
-    seeds = np.empty(len(text))
-    for at in range(0, len(text), 2048):
-        places, mask = _places(table.place, begin[at : at + 2048], length[at : at + 2048])
-        seeds[at : at + 2048] = np.where(mask > 0, worth[places], -9).max(axis=0)
-    rng, adam, model = np.random.default_rng(seed), Adam(net.p, 0.01), Model(words, grams, net, 1.0, 0.0)
-    unseen = rng.random(len(texts)) < 0.2  # left to calibration
-    unseen &= (y[unseen].min(initial=1) == 0) & (y[unseen].max(initial=0) == 1)
+    adam, model = Adam(net.p, 0.01), Model(words, grams, net, 1.0, 0.0)
     learnt, clean = ~unseen[text], np.flatnonzero((y[text] == 0) & ~unseen[text])
     for epoch in range(epochs):
         if epoch:
@@ -359,14 +419,13 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 6,
     rows = net.embed(wi, gi, table.owner)
     for at in range(0, len(text), 2048):
         seeds[at : at + 2048] = net.forward(rows, *_places(table.place, begin[at : at + 2048], length[at : at + 2048]))
-    own = unseen if unseen.any() else ~unseen
-    highest = np.maximum.reduceat(seeds, np.flatnonzero(np.diff(text, prepend=-1)))
-    model.scale, model.shift = calibrate(highest[own], y[own], weight[own], shift=True)
+    highest = np.maximum.reduceat(seeds, firsts)
+    model.scale, model.shift = calibrate(highest[judged], y[judged], weight[judged], shift=True)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model | None:
-    sample = training_sample(docs, labels, label, key, text).orderBy("doc_id").toArrow()
+    sample = training_sample(docs, labels, label, key, text).where(F.octet_length("text") <= SAMPLE_BYTES).orderBy("doc_id").toArrow()
     return train(sample["text"].to_pylist(), sample["label"].to_numpy(), sample["weight"].to_numpy())
 
 
@@ -389,7 +448,7 @@ def scored(docs: DataFrame, model: Model | None, text: str, carry: list[str], na
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted, a row per document."""
     out = scored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), fit(docs, labels, label, key, text), "text", ["doc_id"])
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
