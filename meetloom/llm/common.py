@@ -52,7 +52,10 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Python workers get whole documents in batches of BATCH_ROWS rows at most."""
+    """Python workers get whole documents in batches of BATCH_ROWS rows at most (and of Spark's own bound of bytes).
+
+    This sets the session's Arrow batch size for good: plans that are returned run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
@@ -71,3 +74,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_table(table: DataFrame) -> None:
+    """Deletes the files of a stage's table, which nothing reads any more."""
+    spark = table.sparkSession
+    paths = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

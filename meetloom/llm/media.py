@@ -125,9 +125,12 @@ def _shrink(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def cosine_hash(samples: np.ndarray) -> bytes:
-    """64 bits: which low-frequency coefficients lie above their median (the mean level left out)."""
+    """64 bits: which low-frequency coefficients lie above their median (the mean level left out).
+
+    Coefficients are rounded, so that those that are zero (of a flat picture) tell nothing.
+    """
     small = _shrink(_shrink(samples, SIDE).T, SIDE).T
-    low = (_C @ small @ _C.T).ravel()
+    low = np.round(_C @ small @ _C.T, 6).ravel()
     low[0] = 0
     return np.packbits(low > np.median(low[1:])).tobytes()
 

@@ -42,6 +42,34 @@ def test_one_group_over_many_partitions(spark):
     assert [r.doc_id for r in rows if r.kept] == [499]
 
 
+def test_runs_leave_as_they_come(monkeypatch):
+    """A run of any length is never held: every batch goes out before the next but one comes in."""
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: Task()))
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for i in range(40):
+            taken = i + 1
+            yield pa.RecordBatch.from_arrays([pa.array(range(i * 100, i * 100 + 100), pa.int64()), pa.array([b"same" if i < 39 else b"tail"] * 100, pa.binary())], names=["doc_id", "__norm"])
+
+    rows = 0
+    for out in exact_dedup._runs(["doc_id"], 0)(batches()):
+        rows += out.num_rows
+        assert rows >= (taken - 1) * 100 - 1
+        sizes = [n for n in out.column(out.schema.get_field_index("__n")).to_pylist() if n is not None]
+        assert sizes in ([], [3900], [100])
+    assert rows == 4000
+
+
 def test_drop_copies_keeps_columns(docs, no_docs, corpus):
     left = exact_dedup.drop_copies(docs)
     assert left.columns == docs.columns

@@ -159,6 +159,38 @@ def test_media_round_trip(docs, no_docs, corpus):
     assert media.media_digest(media.read_media(media.to_media(no_docs))).count() == 0
 
 
+def plain_hash(samples):
+    """The cosine hash by areas and sums, one coefficient at a time."""
+    height, width = samples.shape
+    small = np.zeros((media.SIDE, media.SIDE))
+    for i in range(media.SIDE):
+        for j in range(media.SIDE):
+            total = 0.0
+            for y in range(int(i * height / media.SIDE), min(height, int(np.ceil((i + 1) * height / media.SIDE)))):
+                tall = min(y + 1, (i + 1) * height / media.SIDE) - max(y, i * height / media.SIDE)
+                for x in range(int(j * width / media.SIDE), min(width, int(np.ceil((j + 1) * width / media.SIDE)))):
+                    total += tall * (min(x + 1, (j + 1) * width / media.SIDE) - max(x, j * width / media.SIDE)) * samples[y, x]
+            small[i, j] = total / (height / media.SIDE * width / media.SIDE)
+    low = []
+    for k in range(media.LOW):
+        for m in range(media.LOW):
+            low.append(sum(small[i, j] * np.cos(np.pi * k * (2 * i + 1) / (2 * media.SIDE)) * np.cos(np.pi * m * (2 * j + 1) / (2 * media.SIDE)) for i in range(media.SIDE) for j in range(media.SIDE)))
+    low = [0.0, *(round(x, 6) for x in low[1:])]
+    middle = sorted(low[1:])[len(low) // 2 - 1]
+    return [x > middle for x in low], min(abs(x - middle) for x in low if abs(x - middle) > 1e-6)
+
+
+@pytest.mark.parametrize("height", [1, 3, 32, 77])
+def test_cosine_hash_against_plain_transform(height):
+    samples = np.random.default_rng(height).integers(0, 256, (height, media.WIDTH)).astype(np.uint8)
+    bits, gap = plain_hash(samples.astype(float))
+    got = np.unpackbits(np.frombuffer(media.cosine_hash(samples), np.uint8)).astype(bool).tolist()
+    assert gap > 1e-5 and got == bits
+    shifted = np.clip(samples.astype(int) + 1, 0, 255).astype(np.uint8)  # nearly the same picture
+    near = np.unpackbits(np.frombuffer(media.cosine_hash(shifted), np.uint8)).astype(bool)
+    assert (near != np.array(bits)).sum() <= 6
+
+
 def test_all_row_filters():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 256, (10, 7)).astype(np.uint8)

@@ -71,6 +71,27 @@ def test_run_against_plain_version(spark, docs, corpus, tmp_path):
     assert got == plain_run(corpus)
 
 
+def test_run_on_nothing_and_more_columns(spark, docs, no_docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("none", no_docs), ("more", docs.selectExpr("*", "doc_id AS rate", "text AS copy_no"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/more").count() > 0
+
+
+def test_stage_tables_go(spark, docs, tmp_path):
+    import os
+
+    from meetloom.llm.common import remove_table, shared_folder, stage_table
+
+    table = stage_table(docs, "gone")
+    folder = shared_folder(spark).removeprefix("file:")
+    assert any(f.startswith("gone-") for f in os.listdir(folder))
+    remove_table(table)
+    assert not any(f.startswith("gone-") for f in os.listdir(folder))
+
+
 def test_toxic_documents_go(spark, tmp_path):
     from .test_models import labelled
 
