@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Defined cases: null and empty texts are never toxic and equal to each other, so one row of
+them passes exact deduplication; a null identifier is a document without near copies; fully
+repeated rows leave one; without toxic labels nothing is toxic; columns beside those of
+documents are carried up to packing, whatever their names; empty documents give an empty
+result.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meetloom.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from meetloom.llm.common import documents, labels, stage_table
+from meetloom.llm.common import documents, labels, remove_table, stage_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +57,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents; each stage's result is written as Parquet and read again.
+
+    A stage's table is removed once the next one is written; the caller owns the last.
+    """
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            remove_table(before)
+        before = docs
     return docs
