@@ -15,7 +15,11 @@ windows have equal anchors at equal offsets, so the corpus falls into buckets by
 4. a bit per window goes back to the blocks, which mark and remove.
 
 Hot passages stay cheap: a block sends equal contexts once and the merge folds equal
-suffixes as it goes. Nothing is proportional to the square of a group.
+suffixes as it goes. Nothing is proportional to the square of a group. Where the contexts of a
+bucket are too many for a task (HOT anchors), the blocks are dealt into parts; each part sorts
+its own contexts and passes on one window of every class, which is dealt by its own hash and
+sorted again, so neither a passage nor an anchor that is in every document meets in one task
+more often than there are parts.
 
 Defined cases: null text counts as empty; texts under 50 bytes lose nothing; rows with
 equal identifiers don't remove from each other; a null identifier counts as larger than
@@ -39,6 +43,7 @@ SPAN = 50
 ANCHOR = 18
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20  # text bytes a bucket stands for
+HOT = 500_000  # anchors shared by documents, with those of every block counted, that one task sorts
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -248,45 +253,43 @@ class Suffixes:
                 raise ArithmeticError("two different strings have one 64-bit hash; choose another hash base")
 
 
-def repeated_windows(data: np.ndarray, begin: np.ndarray, offset: np.ndarray, windows: np.ndarray, ids: np.ndarray, span: int = SPAN, k: int = ANCHOR) -> np.ndarray:
-    """For all windows of contexts, in order: does a context with a smaller identifier have the same string?
-
-    begin: where each context begins in data; windows: how many windows it has; offset: the
-    anchor's distance from its begin.
-    """
+def windows_of(parts: list[list[np.ndarray]], span: int = SPAN, k: int = ANCHOR) -> tuple[Suffixes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts sent by several blocks, all windows in order: their suffixes, places, offsets of the anchor, identifiers, and the least identifier of each one's class."""
+    offset, windows, low, data = (np.concatenate(c) for c in zip(*parts, strict=True))
+    windows = windows.astype(np.int64)
+    begin = np.cumsum(windows + span - 1) - (windows + span - 1)
     s = Suffixes(data, span)
-    anchor = s.hashes(begin + offset, k)
     x = _ragged(begin, windows)
-    inside = x - np.repeat(begin, windows)
-    h = s.hashes(x, span)
-    order = np.argsort(h, kind="stable")
-    near = np.concatenate([[False], h[order][1:] == h[order][:-1]]) if len(x) else np.zeros(0, bool)
-    several = np.zeros(len(x), bool)
-    several[order] = near | np.concatenate([near[1:], [False]]) if len(x) else near
-    at = np.flatnonzero(several)  # a string met once has nothing to be equal to
-    back = np.repeat(offset, windows)[at] - inside[at]
-    group = mix(np.repeat(anchor, windows)[at] + mix(back.astype(np.uint64)))
-    by_group = np.argsort(group, kind="stable")
-    at = at[by_group]
-    own = np.repeat(ids, windows)[at]
-    found = np.zeros(len(x), bool)
-    found[at] = s.classes(x[at], group[by_group], own) < own
-    return found
-
-
-def _rows_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
-    """The rows (bucket, block_id, payload), sorted by bucket, a bucket at a time."""
-    now, ids, payloads = None, [], []
+    back = np.repeat(offset.astype(np.int64), windows) - (x - np.repeat(begin, windows))
+    group = mix(s.hashes(x + back, k) + mix(back.astype(np.uint64)))
+    order = np.argsort(group, kind="stable")
+    own, least = np.repeat(low, windows), np.empty(len(x), np.int64)
+    least[order] = s.classes(x[order], group[order], own[order])
+    return s, x, back, own, least
+
+
+def classes_of(s: Suffixes, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Different windows: one place of each, each window's number among them, and the numbers that go to each of n further buckets."""
+    kinds, rep, place = np.unique(mix(s.hashes(x, s.span)), return_index=True, return_inverse=True)
+    s.verify(x, x[rep][place])
+    to = (kinds >> np.uint64(20)) % np.uint64(n)
+    return rep, place, [np.flatnonzero(to == i) for i in range(n)]
+
+
+def _rows_by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows that are sorted by their first column, a bucket at a time."""
+    now, held = None, []
     for batch in batches:
-        for b, i, p in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            if b != now:
-                if ids:
-                    yield now, ids, payloads
-                now, ids, payloads = b, [], []
-            ids.append(i)
-            payloads.append(p)
-    if ids:
-        yield now, ids, payloads
+        bucket = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(bucket) else []
+        for a, b in zip(edges, [*edges[1:], len(bucket)], strict=False):
+            if bucket[a] != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                now, held = int(bucket[a]), []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
 
 
 ROWS = "bucket long, block_id long, payload binary"
@@ -297,9 +300,9 @@ def _answer(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True) if found else ((), (), ()), kinds, strict=True)], names=["bucket", "block_id", "payload"])
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, order: str = "block_id") -> DataFrame:
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", "block_id")
+    return rows.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", order)
 
 
 def _to_blocks(stored: DataFrame, answers: DataFrame) -> DataFrame:
@@ -339,16 +342,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                 yield _answer([(b, block_id, words[part].tobytes()) for b, part in _by_bucket(bucket)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, ids, payloads in _rows_by_bucket(batches):
-            words = np.zeros((sum(map(len, payloads)) // 5, 8), np.uint8)
-            words[:, :5] = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 5)
+        for bucket, rows in _rows_by_bucket(batches):
+            ids, payload = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
+            ends = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64)
+            words = np.zeros(((ends[-1] - ends[0]) // 5, 8), np.uint8)
+            words[:, :5] = np.frombuffer(payload.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 5)
             words = words.view("<u8").ravel()
             kinds, place, times = np.unique(words >> np.uint64(1), return_inverse=True, return_counts=True)
             several = times > 1
             several[place[(words & np.uint64(1)).astype(bool)]] = True
-            ends = np.cumsum([len(p) // 5 for p in payloads])
-            found = np.split(several[place], ends[:-1])
-            yield _answer([(bucket, i, np.packbits(f).tobytes()) for i, f in zip(ids, found, strict=True) if f.any()])
+            found, ends = several[place], (ends - ends[0]) // 5
+            for at in range(0, len(ids), 10_000):
+                mine = [(i, found[a:b]) for i, a, b in zip(ids[at : at + 10_000].tolist(), ends[at:-1].tolist(), ends[at + 1 :].tolist(), strict=False)]
+                out = [(bucket, i, np.packbits(f).tobytes(), int(f.sum())) for i, f in mine if f.any()]
+                yield pa.RecordBatch.from_arrays([*_answer([r[:3] for r in out]).columns, pa.array([r[3] for r in out], pa.int64())], names=["bucket", "block_id", "payload", "n"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,15 +374,45 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                     out.append((b, block_id, _pack(offset, windows[part].astype(np.uint8), low[part], data)))
                 yield _answer(out)
 
+    def contexts(rows: pa.Table) -> list[list[np.ndarray]]:
+        return [_unpack(p, "u1", "u1", "<i8", "u1") for p in rows.column(2).to_pylist()]
+
+    def told_back(bucket: int, ids: list[int], parts: list[list[np.ndarray]], found: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum([int(p[1].sum(dtype=np.int64)) for p in parts])
+        return _answer([(bucket, i, np.packbits(f).tobytes()) for i, f in zip(ids, np.split(found, ends[:-1]), strict=True)])
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, ids, payloads in _rows_by_bucket(batches):
-            parts = [_unpack(p, "u1", "u1", "<i8", "u1") for p in payloads]
-            offset, windows, low, data = (np.concatenate(c) for c in zip(*parts, strict=True))
-            windows = windows.astype(np.int64)
-            begin = np.concatenate([[0], np.cumsum(windows + span - 1)[:-1]])
-            found = repeated_windows(data, begin, offset.astype(np.int64), windows, low, span)
-            ends = np.cumsum([int(p[1].sum(dtype=np.int64)) for p in parts])
-            yield _answer([(bucket, i, np.packbits(f).tobytes()) for i, f in zip(ids, np.split(found, ends[:-1]), strict=True)])
+        for bucket, rows in _rows_by_bucket(batches):
+            parts = contexts(rows)
+            _, _, _, own, least = windows_of(parts, span)
+            yield told_back(bucket, rows.column(1).to_pylist(), parts, least < own)
+
+    # a hot bucket's part is a bucket of its own; its windows go on to others, by their hash
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _rows_by_bucket(batches):
+            s, x, back, _, least = windows_of(contexts(rows), span)
+            first = rows.column(3)[0].as_py()
+            rep, _, dealt = classes_of(s, x, rows.column(4)[0].as_py())
+            for i, mine in enumerate(dealt):
+                if len(mine):
+                    at = rep[mine]
+                    data = s.data[_ragged(x[at], np.full(len(at), span))]
+                    yield _answer([(first + i, part, _pack(back[at].astype(np.uint8), np.ones(len(at), np.uint8), least[at], data))])
+
+    def take_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _rows_by_bucket(batches):
+            kind = rows.column("answer").to_numpy(zero_copy_only=False)
+            answers, rows = rows.filter(pa.array(kind)), rows.filter(pa.array(~kind))
+            given = dict(zip(answers.column(1).to_pylist(), answers.column(2).to_pylist(), strict=True))
+            parts = contexts(rows)
+            s, x, _, own, least = windows_of(parts, span)
+            first = rows.column(3)[0].as_py()
+            rep, place, dealt = classes_of(s, x, rows.column(4)[0].as_py())
+            smaller = np.zeros(len(rep), bool)
+            for i, mine in enumerate(dealt):
+                if len(mine):
+                    smaller[mine] = np.unpackbits(np.frombuffer(given[first + i], np.uint8), count=len(mine)).astype(bool)
+            yield told_back(rows.column("home")[0].as_py(), rows.column(1).to_pylist(), parts, (least < own) | smaller[place])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,9 +420,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                 first_bits, second_bits = (([r["bucket"] for r in x], [r["payload"] for r in x]) if x else (None, None) for x in answers)
                 yield _removed(Block(blob, span), bits, first_bits, second_bits, span)
 
-    told = cut(_dealt(stored.mapInArrow(tell, ROWS)).mapInArrow(ask, ROWS))
-    judged = _dealt(_to_blocks(stored, told).mapInArrow(send, ROWS)).mapInArrow(judge, ROWS)
-    lists = told.withColumn("step", F.lit(1)).unionByName(judged.withColumn("step", F.lit(2)))
+    told = cut(_dealt(stored.mapInArrow(tell, ROWS)).mapInArrow(ask, f"{ROWS}, n long"))
+    sent = _to_blocks(stored, told).mapInArrow(send, ROWS)
+    sizes = told.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    if sizes.limit(1).count():
+        parts = F.ceil(F.col("n") * 2 / HOT)
+        first = F.xxhash64("bucket", F.lit(0)).bitwiseAND(F.lit((1 << 40) - 1)) * (1 << 20) + (1 << 60)  # apart from the buckets themselves
+        hot = cut(sizes.select("bucket", first.alias("first"), parts.alias("parts")))
+        part = F.xxhash64("bucket", F.pmod(F.xxhash64("block_id"), F.col("parts")))
+        asked = cut(sent.join(hot, "bucket").select(part.alias("bucket"), "block_id", "payload", "first", "parts", F.col("bucket").alias("home"), F.lit(False).alias("answer")))
+        passed = _dealt(asked).mapInArrow(pass_on, ROWS)
+        answers = _dealt(passed).mapInArrow(judge, ROWS)
+        back = answers.select(F.col("block_id").alias("bucket"), F.col("bucket").alias("block_id"), "payload", *[F.lit(None).cast("long").alias(c) for c in ("first", "parts", "home")], F.lit(True).alias("answer"))
+        returned = _dealt(asked.unionByName(back)).mapInArrow(take_back, ROWS)
+        judged = _dealt(sent.join(hot, "bucket", "left_anti")).mapInArrow(judge, ROWS).unionByName(returned)
+    else:
+        judged = _dealt(sent).mapInArrow(judge, ROWS)
+    lists = told.drop("n").withColumn("step", F.lit(1)).unionByName(judged.withColumn("step", F.lit(2)))
     listed = lists.groupBy("block_id").agg(*[F.collect_list(F.when(F.col("step") == s, F.struct("bucket", "payload"))).alias(f"s{s}") for s in (1, 2)])
     both = stored.join(listed, "block_id", "left").select("block_id", "blob", "s1", "s2")
     return both.mapInArrow(remove, "doc_id long, n_bytes long, kept binary, n_removed long, n_spans long")

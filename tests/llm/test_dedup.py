@@ -158,6 +158,24 @@ def test_suffix_sort_removal(docs, no_docs, corpus):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 40, 400])
+def test_hot_buckets_in_parts(spark, monkeypatch, hot):
+    """One passage in every document, one anchor in ever other surroundings, and small blocks: parts of hot buckets against brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    rng = np.random.default_rng(4)
+    passage, anchor = "a passage that stands in every single document of this corpus, word for word", "common eighteen by"
+
+    def noise(n):
+        return "".join(chr(c) for c in rng.integers(97, 123, n))
+
+    corpus = [(100 - i, f"{noise(30)}{passage}{noise(25)}{anchor}{noise(40)}{anchor[:12]}{noise(9)}" if i % 9 else passage * 2) for i in range(60)]
+    corpus += [(500, corpus[3][1]), (501, corpus[3][1][10:]), (None, passage)]
+    want = brute_removal(corpus)
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == want
+
+
 def test_suffix_classes_against_sets():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
