@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-BUCKET_ROWS = 50_000  # of which each bucket has about so many, so buckets follow from the number of rows alone
+BUCKET_ROWS, LEAST_BUCKETS = 10_000, 1024  # of which each bucket has about so many, so buckets follow from the number of rows alone
 ROUNDS = 6
 
 
@@ -56,7 +56,7 @@ def permuted(row: Column, n: int, seed: int) -> Column:
 
 def row_numbers(rows: DataFrame, n: int) -> DataFrame:
     """The n rows with __row from 0 on without gaps, in an order that only depends on the rows."""
-    buckets = max(64, 1 << (n // BUCKET_ROWS).bit_length())
+    buckets = max(LEAST_BUCKETS, 1 << (n // BUCKET_ROWS).bit_length())
     hashed = rows.withColumn("__hash", F.xxhash64(F.struct(*rows.columns)))
     bucketed = hashed.withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__size"))

@@ -57,7 +57,7 @@ def test_shards(docs, no_docs, corpus):
     assert sharding.shard(no_docs).count() == 0
     # positions by plain counting: by bucket, then hash
     hashed = docs.select("*", F.xxhash64(F.struct(*docs.columns)).alias("h")).collect()
-    order = sorted(hashed, key=lambda r: (r.h % 64, r.h))
+    order = sorted(hashed, key=lambda r: (r.h % sharding.LEAST_BUCKETS, r.h))
     want = Counter((*r[:-1], plain_position(i, len(order), 20240229)) for i, r in enumerate(order))
     assert Counter(map(tuple, dealt.drop("shard", "slot").collect())) == want
     # a partition holds slots of one shard in their order
