@@ -121,11 +121,9 @@ def dedup_sources(sources: DataFrame, key: str = "meeting_id") -> DataFrame:
     into sources of their folder.
     """
     newest = F.struct(F.col("uploaded_at").isNotNull(), "uploaded_at", -F.col("ord"))
-    mains = sources.where("is_main").groupBy(key).agg(F.max_by("ord", newest).alias("__main"))
-    marked = sources.join(mains, key, "left").withColumn("is_main", F.coalesce(F.col("is_main") & (F.col("ord") == F.col("__main")), F.lit(False)) )
-    lost = sources.where("is_main").select(key, F.col("ord").alias("__lost")).withColumn("__was", F.lit(True))
-    marked = marked.join(lost, (marked[key] == lost[key]) & (marked["ord"] == lost["__lost"]), "left").select(marked["*"], "__was")
-    person = F.when(F.col("__was").isNull(), F.nullif("person", F.lit("")))
+    main = F.max_by("ord", F.when(F.col("is_main"), newest)).over(Window.partitionBy(key))
+    marked = sources.withColumn("__was", F.col("is_main")).withColumn("is_main", F.coalesce(F.col("is_main") & (F.col("ord") == main), F.lit(False)))
+    person = F.when(~F.coalesce("__was", F.lit(False)), F.nullif("person", F.lit("")))
     kind = F.when(F.col("is_main"), 0).when(person.isNotNull(), 1).otherwise(2)
     name = F.when(kind == 0, "").when(kind == 1, person).otherwise(F.col("folder"))
     rest = [c for c in sources.columns if c != key]

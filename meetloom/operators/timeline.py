@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,13 +14,13 @@ def timeline(items: DataFrame, slot: list[str], room: str = "room_name", order:
     items has slot columns, room, order, duration_minutes, specified_start_time, block_start,
     name, agenda_item and group_header. Within a slot and room durations run on from the
     block's start; a valid explicit start sets the clock anew. Items without a positive
-    duration go, their explicit start too.
+    duration go, their explicit start too. Items of equal order stand by name, then length.
     """
     kept = items.where(F.coalesce(F.col("duration_minutes"), F.lit(0)) > 0)
-    own = Window.partitionBy(*slot, room).orderBy(order)
+    own = Window.partitionBy(*slot, room).orderBy(order, "name", "duration_minutes")
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     explicit = T.minutes(F.col("specified_start_time"))
-    segment = Window.partitionBy(*slot, room, "__segment").orderBy(order)
+    segment = Window.partitionBy(*slot, room, "__segment").orderBy(order, "name", "duration_minutes")
     before = F.coalesce(F.sum("duration_minutes").over(segment.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.first("__explicit").over(segment.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     timed = (
@@ -47,25 +47,26 @@ def apply_group_mapping(sessions: DataFrame, mappings: DataFrame, key: str = "me
     return sessions.join(last, [key, "group_header"], "left").withColumn("group_header", F.coalesce("__simple", "group_header")).drop("__simple")
 
 
+def _group() -> Column:
+    return F.coalesce("group_header", F.lit(""))
+
+
 def fill_groups_by_name(sessions: DataFrame, key: str = "meeting_id", order: str = "ord") -> DataFrame:
-    """Missing groups from the first session of the same name that has one."""
-    first = sessions.where("group_header != ''").groupBy(key, "name").agg(F.min_by("group_header", order).alias("__group"))
-    filled = sessions.join(first, [key, "name"], "left")
-    missing = F.coalesce(F.col("group_header"), F.lit("")) == ""
-    return filled.withColumn("group_header", F.when(missing, F.coalesce("__group", F.lit(""))).otherwise(F.col("group_header"))).drop("__group")
+    """Missing groups from the first session of the same name that has one (J8). Sessions are dealt by meeting, as J9 takes them."""
+    same = Window.partitionBy(key, "name")
+    first = F.min_by("group_header", F.when(_group() != "", F.col(order))).over(same)
+    return sessions.repartition(key).withColumn("group_header", F.when(_group() == "", F.coalesce(first, F.lit(""))).otherwise(F.col("group_header")))
 
 
 def fill_groups_by_substring(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:
     """Groups still missing from the longest known one that the name contains (J9); of equal lengths the first by name.
 
-    Only different names without a group meet the different groups of their meeting.
+    A meeting's different groups are few and come to its sessions as one array.
     """
-    groups = sessions.where("group_header != ''").select(key, F.col("group_header").alias("__group")).distinct()
-    names = sessions.where("group_header = ''").select(key, "name").distinct()
-    hits = names.join(groups, key).where(F.lower("name").contains(F.lower("__group")))
-    best = hits.groupBy(key, "name").agg(F.min_by("__group", F.struct(-F.length("__group"), F.col("__group"))).alias("__group"))
-    filled = sessions.join(best, [key, "name"], "left")
-    return filled.withColumn("group_header", F.when(F.col("group_header") == "", F.coalesce("__group", F.lit(""))).otherwise(F.col("group_header"))).drop("__group")
+    known = sessions.withColumn("__groups", F.collect_set(F.when(_group() != "", F.col("group_header"))).over(Window.partitionBy(key)))
+    inside = F.filter("__groups", lambda g: F.lower("name").contains(F.lower(g)))
+    best = F.array_min(F.transform(inside, lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g"))))["g"]
+    return known.withColumn("group_header", F.when(_group() == "", F.coalesce(best, F.lit(""))).otherwise(F.col("group_header"))).drop("__groups")
 
 
 def fill_groups(sessions: DataFrame, key: str = "meeting_id", order: str = "ord") -> DataFrame:
@@ -95,23 +96,23 @@ def room_columns(sessions: DataFrame, rooms: DataFrame, aliases: DataFrame, keys
     rooms has (keys, pos from 0, name), aliases (keys, alias, name). An alias is resolved
     first; labels joined by " + " span their parts' exact matches; else the first exact
     match, else the first that contains or is contained, counts; else columns 2 to 3.
-    Different labels are resolved once a day.
+    A day's rooms and aliases are few and come to its sessions as an array and a map.
     """
-    labels = sessions.select(*keys, "room_name").distinct()
-    own = aliases.select(*keys, F.col("alias").alias("room_name"), F.col("name").alias("__real"))
-    named = labels.join(own, [*keys, "room_name"], "left").withColumn("__real", F.coalesce("__real", "room_name"))
-    parts = named.withColumn("__many", F.col("__real").contains(" + "))
-    several = parts.where("__many").withColumn("__part", F.explode(F.transform(F.split("__real", r" \+ "), T.strip)))
-    of_part = aliases.select(*keys, F.col("alias").alias("__part"), F.col("name").alias("__target"))
-    # parts of a resolved alias are names already
-    several = several.join(of_part, [*keys, "__part"], "left").withColumn("__part", F.when(F.col("__real") == F.col("room_name"), F.coalesce("__target", "__part")).otherwise(F.col("__part")))
-    first = rooms.groupBy(*keys, "name").agg(F.min("pos").alias("pos"))
-    spans = several.join(first.withColumnRenamed("name", "__part"), [*keys, "__part"]).groupBy(*keys, "room_name").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    low, name = F.lower("__real"), F.lower("name")
-    near = parts.where("NOT __many").join(rooms, keys)
-    rank = F.when(F.col("__real") == F.col("name"), 0).when(name.contains(low) | low.contains(name), 1)
-    single = near.withColumn("__rank", rank).where("__rank IS NOT NULL").groupBy(*keys, "room_name").agg(F.min(F.struct("__rank", "pos")).alias("m"))
-    found = spans.unionByName(single.select(*keys, "room_name", F.col("m.pos").alias("lo"), F.col("m.pos").alias("hi")))
-    placed = labels.join(found, [*keys, "room_name"], "left")
-    columns = placed.select(*keys, "room_name", F.coalesce(F.col("lo") + 2, F.lit(2)).alias("room_col_start"), F.coalesce(F.col("hi") + 3, F.lit(3)).alias("room_col_end"))
-    return sessions.join(columns, [*keys, "room_name"])
+    listed = rooms.groupBy(*keys).agg(F.collect_list(F.struct("pos", "name")).alias("__rooms"))
+    named = aliases.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("alias", "name"))).alias("__aliases"))
+    told = sessions.join(listed, keys, "left").join(named, keys, "left")
+    label = F.col("room_name")
+
+    def resolved(c: Column) -> Column:
+        return F.coalesce(F.try_element_at("__aliases", c), c)
+
+    real = resolved(label)
+    parts = F.transform(F.split(real, r" \+ "), T.strip)
+    parts = F.when(real == label, F.transform(parts, resolved)).otherwise(parts)  # those of a resolved alias are names already
+    places = F.transform(parts, lambda p: F.array_min(F.transform(F.filter("__rooms", lambda r: r["name"] == p), lambda r: r["pos"])))
+    low = F.lower(real)
+    near = F.filter("__rooms", lambda r: (r["name"] == real) | F.lower(r["name"]).contains(low) | low.contains(F.lower(r["name"])))
+    best = F.array_min(F.transform(near, lambda r: F.struct((r["name"] != real).alias("other"), r["pos"].alias("pos"))))["pos"]
+    many = real.contains(" + ")
+    first, last = F.when(many, F.array_min(places)).otherwise(best), F.when(many, F.array_max(places)).otherwise(best)
+    return told.select(*sessions.columns, F.coalesce(first + 2, F.lit(2)).alias("room_col_start"), F.coalesce(last + 3, F.lit(3)).alias("room_col_end"))
