@@ -42,7 +42,7 @@ from .hashing import mix, powers, prefix_hashes, substring_hashes
 SPAN = 50
 ANCHOR = 18
 BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 4 << 20  # text bytes a bucket stands for
+BUCKET_BYTES = 6 << 20  # text bytes a bucket stands for at most
 HOT = 500_000  # anchors shared by documents, with those of every block counted, that one task sorts
 NO_ID = np.iinfo(np.int64).max
 
@@ -185,6 +185,7 @@ class Suffixes:
     def __init__(self, data: np.ndarray, span: int):
         self.data, self.span, self.prefix = data, span, prefix_hashes(data)
         self.inverse = powers(len(data) + 1, True)
+        self.whole = (self.prefix[span:] - self.prefix[:-span]) * self.inverse[: max(0, len(data) - span + 1)]
 
     def hashes(self, x: np.ndarray, n) -> np.ndarray:
         return (self.prefix[x + n] - self.prefix[x]) * self.inverse[x]
@@ -192,7 +193,7 @@ class Suffixes:
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes x and y, up to span, by binary search."""
         low, high = np.zeros(len(x), np.int64), np.full(len(x), self.span)
-        low[self.hashes(x, self.span) == self.hashes(y, self.span)] = self.span
+        low[self.whole[x] == self.whole[y]] = self.span
         while len(open_ := np.flatnonzero(low < high)):
             middle = (low[open_] + high[open_] + 1) // 2
             same = self.hashes(x[open_], middle) == self.hashes(y[open_], middle)
@@ -217,21 +218,25 @@ class Suffixes:
         order = np.arange(len(x))
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(x) else order
         run = order - np.repeat(starts, np.diff(np.append(starts, len(x))))  # place in the group
-        while len(order) and run.max() > 0:
+        while len(order):
             g = group[order]
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            busy = np.repeat(np.maximum.reduceat(run, starts) > 0, np.diff(np.append(starts, len(order))))  # of several runs yet
+            order, run, g = order[busy], run[busy], g[busy]
+            if not len(order):
+                break
             head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (run[1:] != run[:-1])]))
             which = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
             tail = np.append(head[1:], len(order))
             right = np.flatnonzero(run & 1)  # its partner, the left run, stands just before
             low, high = head[which[right] - 1], tail[which[right] - 1]
+            alike = np.zeros(len(right), bool)  # equal to the suffix at high
             while len(open_ := np.flatnonzero(low < high)):
                 middle = (low[open_] + high[open_]) // 2
-                before, _ = self.less(x[order[middle]], x[order[right[open_]]])
+                before, equal = self.less(x[order[middle]], x[order[right[open_]]])
                 low[open_[before]] = middle[before] + 1
-                high[open_[~before]] = middle[~before]
-            inside = low < tail[which[right] - 1]
-            _, equal = self.less(x[order[low[inside]]], x[order[right[inside]]])
-            gone = np.flatnonzero(inside)[equal]
+                high[open_[~before]], alike[open_[~before]] = middle[~before], equal[~before]
+            gone = np.flatnonzero(alike)
             a, b = order[low[gone]], order[right[gone]]
             self.verify(x[a], x[b])
             np.minimum.at(least, a, least[b])
@@ -270,7 +275,7 @@ def windows_of(parts: list[list[np.ndarray]], span: int = SPAN, k: int = ANCHOR)
 
 def classes_of(s: Suffixes, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Different windows: one place of each, each window's number among them, and the numbers that go to each of n further buckets."""
-    kinds, rep, place = np.unique(mix(s.hashes(x, s.span)), return_index=True, return_inverse=True)
+    kinds, rep, place = np.unique(mix(s.whole[x]), return_index=True, return_inverse=True)
     s.verify(x, x[rep][place])
     to = (kinds >> np.uint64(20)) % np.uint64(n)
     return rep, place, [np.flatnonzero(to == i) for i in range(n)]
@@ -332,7 +337,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     spark = docs.sparkSession
     stored = cut(blocks(docs, key, text))
     n_blocks = stored.count()
-    bits = max(shuffle_partitions(spark), n_blocks * BLOCK_BYTES // BUCKET_BYTES, 1).bit_length()
+    bits = max(1, (max(shuffle_partitions(spark), -(-n_blocks * BLOCK_BYTES // BUCKET_BYTES)) - 1).bit_length())
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
