@@ -6,7 +6,8 @@ cuts at the multiples of the window: piece by piece, with a boundary record wher
 document goes on in the next sequence. Only the last sequence of all is padded.
 
 Defined cases: null text counts as empty, and an empty document is its end token alone; a
-document longer than the window spans sequences; repeated rows are packed as often as they
+document longer than the window spans sequences; texts of any length and any runs of
+white space have the ids of `tokenizers`; repeated rows are packed as often as they
 stand; a null identifier sorts first; an empty table gives an empty result.
 """
 
@@ -32,6 +33,7 @@ class Encoder:
 
     The ids are those that `tokenizers` gives for the file (add_special_tokens=False); its
     vocabulary and special tokens are run by tiktoken, which takes a quarter of the CPU.
+    Texts that tiktoken can't split (very long runs of white space) go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -47,9 +49,21 @@ class Encoder:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.path, self.defining = path, None
 
     def encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        try:
+            ids = self.encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern matcher backtracks over white space, and ends at about half a million
+            ids = np.array(self._tokenizer().encode(text, add_special_tokens=False).ids)
+        return ids.astype("<u4").tobytes()
+
+    def _tokenizer(self):
+        from tokenizers import Tokenizer
+
+        if self.defining is None:
+            self.defining = Tokenizer.from_file(self.path)
+        return self.defining
 
 
 _loaded: dict[str, Encoder] = {}  # one a Python worker

@@ -72,6 +72,11 @@ def _digits(s: str) -> str:
     return "".join(_DIGITS.findall(s))
 
 
+def _is_byte(digits: str) -> bool:
+    short = digits.lstrip("0")  # Python converts no more than some thousand digits
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[Span]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -96,7 +101,7 @@ def _addresses(text: str) -> Iterator[Span]:
         while i + 3 < len(parts):
             four = parts[i : i + 4]
             if all(p for _, p in four):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for _, p in four):
+                if all(_is_byte(p) for _, p in four):
                     yield "ip", four[0][0], four[3][0] + len(four[3][1])
                 i += 4
             else:
@@ -146,7 +151,7 @@ def features(text: str, span: Span) -> list[float]:
     s, before, after = text[a:b], text[max(0, a - 24) : a].lower(), text[b : b + 12].lower()
     d = _digits(s)
     groups = _DIGITS.findall(s)
-    right = 2.0 if kind not in ("card", "ip") else float(luhn(d) if kind == "card" else all(int(g) <= 255 for g in groups))
+    right = 2.0 if kind not in ("card", "ip") else float(luhn(d) if kind == "card" else all(map(_is_byte, groups)))
     last = re.split(r"[^A-Za-z]+", s)[-1]
     return [
         KINDS.index(kind), len(s), len(d), len(d) / max(1, len(s)), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[-1]) if groups else 0,

@@ -149,6 +149,21 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_very_long_runs(spark):
+    """Texts that end tiktoken's pattern matcher have the ids of the tokenizers library, through Spark and among others."""
+    from tokenizers import Tokenizer
+
+    texts = [c * 1_000_000 for c in (" ", "\t", "\n", "\r", "\x0b")] + [" \n" * 1_500_000, "word " + "\u00a0 \t" * 400_000 + "end<|endoftext|>", "a" * 1_000_000, "x" + " " * 600_000 + "y"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "plain text", None])], "doc_id long, text string").repartition(4)
+    got = {}
+    for r in packing.pack(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    for i, t in enumerate([*texts, "plain text", None]):
+        ids = np.frombuffer(b"".join(x for _, x in sorted(got[i])), "<u4").tolist()
+        assert ids == [*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_media_round_trip(docs, no_docs, corpus):
     rows = media.read_media(media.to_media(docs)).collect()
     want = Counter()

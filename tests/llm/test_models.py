@@ -114,6 +114,15 @@ def test_personal_data(spark, docs, no_docs, corpus):
     assert pii.pii_digest(pii.find_personal_data(no_docs)).count() == 0
 
 
+def test_long_zero_runs(spark):
+    """Parts of an address with more digits than Python converts, as base spans, in the sample's features and as no address."""
+    zeros = "0" * 4400
+    texts = [".".join([*["1"] * k, zeros, *["2"] * (3 - k)]) for k in range(4)] + [f"{zeros}9.1.2.3", f"{zeros}256.1.2.3", f"{'9' * 5000}.1.2.3", ".".join([zeros] * 4), f"1.2.3.{zeros}7 a@b.org"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_ip for r in pii.pii_digest(pii.find_personal_data(docs)).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, 1, 1, 1, 1, 0, 0, 1, 1]
+
+
 def test_obfuscated_cases_are_found(spark):
     """A tenth of the documents have written-out data; the unlabelled cases don't teach that these are none."""
     rng = random.Random(11)
