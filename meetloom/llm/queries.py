@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity
+from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity, warc
 from .common import documents, labels
 
 
@@ -51,8 +51,13 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.read_media(media.to_media(documents(spark, sf_dir))))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.pages_digest(warc.archived(pages), pages.schema["page_id"].dataType.simpleString())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media)
+    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media, op11_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,6 +84,13 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY norm)
+""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
 """,
     "op6_chosen_path": r"""
 WITH RECURSIVE w AS (
