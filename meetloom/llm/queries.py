@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, suffix_dedup, toxicity, warc
+from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, spelling, suffix_dedup, toxicity, warc
 from .common import documents, labels
 
 
@@ -56,8 +56,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_digest(warc.archived(pages), pages.schema["page_id"].dataType.simpleString())
 
 
+def op12_sorted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir), slip_every=199))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media, op11_warc)
+    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media, op11_warc, op12_sorted_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {
