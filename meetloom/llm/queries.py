@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, spelling, suffix_dedup, toxicity, warc
+from . import collocations, exact_dedup, media, mixing, near_dedup, packing, pii, quality, sharding, spelling, suffix_dedup, toxicity, warc
 from .common import documents, labels
 
 
@@ -60,8 +60,12 @@ def op12_sorted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(documents(spark, sf_dir), slip_every=199))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media, op11_warc, op12_sorted_variants)
+    f.__name__: f for f in (op1_mix_sources, op2_feistel_shards, op3_suffix_sort, op4_content_sort, op5_random_indexing, op6_chosen_path, op7_boosted_candidates, op8_concatenate_and_cut, op9_recurrent_toxicity, op10_png_media, op11_warc, op12_sorted_variants, op13_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,6 +99,26 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM f
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i+k-1], ' '))) AS phrase FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+parts AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.cut, p.f AS l, q.f AS r, n, (1000::HUGEINT * x.a * n) // (p.f::HUGEINT * q.f) AS score
+  FROM cuts x JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(x.ws[1:x.cut], ' ')
+  JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(x.ws[x.cut+1:], ' ') JOIN totals t ON t.lang = x.lang),
+weakest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT * FROM weakest x WHERE NOT EXISTS (
+  SELECT 1 FROM c y WHERE y.lang = x.lang AND y.k > x.k AND 100 * y.a >= 100 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """,
     "op6_chosen_path": r"""
 WITH RECURSIVE w AS (
