@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import BLACKLISTED_FOLDERS
+from .text import number_key
 
 
 def _found(name: Column, pattern: str, group: int = 1) -> Column:
@@ -19,16 +20,16 @@ def meeting_id(name: Column) -> Column:
 
 
 def meeting_rank(meeting: Column) -> Column:
-    """(series, number, 0 or 1) of a regular meeting (F2), else null; structs compare in that order."""
+    """(series, number, 0 or 1) of a regular meeting (F2), else null; structs compare in that order, whatever the length of the numbers."""
     pattern = r"(?i)^ran(\d+)#(\d+)(bis)?$"
-    parts = [_found(meeting, pattern, g).cast("int") for g in (1, 2)]
+    parts = [number_key(_found(meeting, pattern, g)) for g in (1, 2)]
     late = (F.regexp_extract(meeting, pattern, 3) != "").cast("int")
     return F.when(parts[0].isNotNull(), F.struct(parts[0].alias("series"), parts[1].alias("number"), late.alias("late")))
 
 
 def file_version(name: Column) -> Column:
-    """Trailing version number (F3), -1 without one."""
-    return F.coalesce(_found(name, r"(?i)v(\d+)\.(?:docx|pptx|pdf|zip)$").try_cast("int"), F.lit(-1))
+    """Trailing version number (F3) as a key that orders as the number, of any length; empty without one."""
+    return F.coalesce(number_key(_found(name, r"(?i)v(\d+)\.(?:docx|pptx|pdf|zip)$")), F.lit(""))
 
 
 def meeting_name(file: Column) -> Column:

@@ -15,6 +15,12 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, WHITE, "")
 
 
+def number_key(digits: Column) -> Column:
+    """A text that orders as the number that digits write, of any length: its length, then itself without leading zeros."""
+    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), F.lit(":"), bare)
+
+
 def minutes(t: Column) -> Column:
     """Minutes of an "HH:MM" text (F7), null where it isn't one."""
     parts = F.split(t, ":")
@@ -168,7 +174,7 @@ def is_error_page(content: Column, length: Column, listing: Column | bool = Fals
 
 
 def natural_key(s: Column) -> Column:
-    """A sort key with digit runs compared as numbers, the rest in lower case (O3)."""
+    """A sort key with digit runs of any length compared as numbers, the rest in lower case (O3)."""
     parts = F.regexp_extract_all(F.lower(s), F.lit(r"(\d+|\D+)"), F.lit(1))
-    keys = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p))
+    keys = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number_key(p)).otherwise(p))
     return F.when(s.rlike(r"^\d"), F.concat(F.array(F.lit("")), keys)).otherwise(keys)

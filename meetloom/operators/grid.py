@@ -168,23 +168,23 @@ def cell_room_columns(cells: DataFrame, rooms: DataFrame, keys: list[str]) -> Da
 
 
 def table_column_colors(cells: DataFrame) -> DataFrame:
-    """Ordered colours of a table's rooms (W7), and the most rooms of its days: those of the first row and day with as many cells as rooms, all different.
+    """Ordered colours of a table's rooms (W7), and the rooms of its first day: those of the first row and day with as many cells as rooms, all different.
 
     Missing fills are white; column 0 is left out; colours within tolerance count as equal.
     """
     fill = F.coalesce(T.color_norm(F.col("fill")), F.lit("FFFFFF"))
-    inside = _in_table(cells).where("row_idx > 0").withColumns({"__inner": _is_inner(), "d": F.explode(_days_of())})
+    inside = _in_table(cells).where("row_idx > 0").withColumns({"__inner": _is_inner(), "__day1": F.col("__days")[0]["day"], "d": F.explode(_days_of())})
     colored = F.when(F.col("col_start") > 0, F.struct("col_start", fill.alias("f")))
-    rows = inside.groupBy(*ROW, "d.day", "d.day_start").agg(F.transform(F.array_sort(F.collect_list(colored)), lambda c: c["f"]).alias("colors"), F.count_if("__inner").alias("n"))
+    rows = inside.groupBy(*ROW, "d.day", "d.day_start", "__day1").agg(F.transform(F.array_sort(F.collect_list(colored)), lambda c: c["f"]).alias("colors"), F.count_if("__inner").alias("n"))
     numbered = F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
     same = F.exists(numbered, lambda x: F.exists(numbered, lambda y: (y["i"] > x["i"]) & T.colors_match(x["c"], y["c"])))
-    rows = rows.withColumns({"n_rooms": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE, "day"))), "most": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE)))})
+    rows = rows.withColumns({"n_rooms": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE, "day"))), "first": F.greatest(F.lit(1), F.max(F.when(F.col("day") == F.col("__day1"), F.col("n"))).over(Window.partitionBy(*TABLE)))})
     full = rows.where((F.size("colors") == F.col("n_rooms")) & ~same)
-    return full.groupBy(*TABLE).agg(F.min_by("colors", F.struct("row_idx", "day_start")).alias("colors"), F.first("most").cast("int").alias("n_rooms"))
+    return full.groupBy(*TABLE).agg(F.min_by("colors", F.struct("row_idx", "day_start")).alias("colors"), F.first("first").cast("int").alias("n_rooms"))
 
 
 def match_rooms_by_color(colors: DataFrame, labels: DataFrame) -> DataFrame:
-    """Room names of tables (colors, n_rooms) by the colours of their columns (J12), where every room found one.
+    """Room names of tables (colors, n_rooms) by the colours of their columns (J12), where as many found one as the first day has rooms.
 
     labels has (doc_id, ord, name, color); the first label close to a colour counts.
     """

@@ -93,14 +93,17 @@ def block_capacity_check(items: DataFrame, slot: list[str], room: str = "room_na
 def room_columns(sessions: DataFrame, rooms: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     """Grid columns of sessions' rooms.
 
-    rooms has (keys, pos from 0, name), aliases (keys, alias, name). An alias is resolved
-    first; labels joined by " + " span their parts' exact matches; else the first exact
+    rooms has (keys, pos from 0, name), aliases (keys, alias, name and perhaps place). An alias
+    is resolved first, to the name of its last place, or without places the last by name; labels joined by " + " span their parts' exact matches; else the first exact
     match, else the first that contains or is contained, counts; else columns 2 to 3.
     A day's rooms and aliases are few and come to its sessions as an array and a map.
     """
-    listed = rooms.groupBy(*keys).agg(F.collect_list(F.struct("pos", "name")).alias("__rooms"))
-    named = aliases.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("alias", "name"))).alias("__aliases"))
-    told = sessions.join(listed, keys, "left").join(named, keys, "left")
+    order = [F.col(c) if c in aliases.columns else F.lit(None).cast("int").alias(c) for c in ("place", "name", "alias")]
+    both = rooms.select(*keys, F.struct("pos", "name").alias("room")).unionByName(aliases.where("alias IS NOT NULL").select(*keys, F.struct(*order).alias("a")), allowMissingColumns=True)
+    days = both.groupBy(*keys).agg(F.collect_list("room").alias("__rooms"), F.array_sort(F.collect_list("a")).alias("a"))
+    last = F.filter("a", lambda x, i: ~F.exists(F.slice("a", i + 2, F.size("a")), lambda y: y["alias"] == x["alias"]))
+    named = F.map_from_entries(F.transform(last, lambda x: F.struct(x["alias"], x["name"]))).alias("__aliases")
+    told = sessions.join(days.select(*keys, "__rooms", named), keys, "left")
     label = F.col("room_name")
 
     def resolved(c: Column) -> Column:

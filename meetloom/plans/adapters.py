@@ -25,8 +25,8 @@ SELECT CAST(floor(o_custkey / 8) AS BIGINT) AS inbox_id,
     WHEN o_orderkey % 17 = 0 THEN concat('RAN1#', CAST(120 + o_custkey % 6 AS STRING), ' chair notes - v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'), '.docx')
     WHEN o_orderkey % 19 = 0 THEN 'custom schedule.docx'
     WHEN o_orderkey % 9 = 8 AND o_custkey % 3 = 0 THEN concat('RAN1#', CAST(120 + o_custkey % 6 AS STRING), ' schedule for ', CASE o_orderkey % 4 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ana' WHEN 2 THEN 'Li' ELSE 'Sam' END, ' sessions_v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'), '.docx')
-    ELSE concat(CASE WHEN o_orderkey % 23 = 0 THEN 'Draft ' ELSE '' END, 'RAN', CAST(1 + floor((o_custkey % 50) / 49) AS INT), '#', CAST(120 + o_custkey % 6 AS STRING),
-      CASE o_orderkey % 5 WHEN 0 THEN 'bis' WHEN 1 THEN '-bis' WHEN 2 THEN ' adhoc' WHEN 3 THEN '-e' ELSE '' END, ' Schedules - v', lpad(CAST(o_orderkey % 12 AS STRING), 2, '0'),
+    ELSE concat(CASE WHEN o_orderkey % 23 = 0 THEN 'Draft ' ELSE '' END, 'RAN', CAST(1 + floor((o_custkey % 50) / 49) AS INT), '#', CASE WHEN o_orderkey % 370 = 0 THEN '99999999999' ELSE CAST(120 + o_custkey % 6 AS STRING) END,
+      CASE o_orderkey % 5 WHEN 0 THEN 'bis' WHEN 1 THEN '-bis' WHEN 2 THEN ' adhoc' WHEN 3 THEN '-e' ELSE '' END, ' Schedules - v', CASE WHEN o_orderkey % 29 = 0 THEN concat('20240115', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')) ELSE lpad(CAST(o_orderkey % 12 AS STRING), 2, '0') END,
       CASE o_orderkey % 3 WHEN 0 THEN '.docx' WHEN 1 THEN '.ZIP' ELSE '.pptx' END) END AS name,
   concat('https://files.example/', CAST(o_orderkey AS STRING)) AS url,
   CASE WHEN o_orderkey % 11 = 0 OR o_custkey % 20 = 3 THEN NULL ELSE o_orderdate END AS uploaded_at

@@ -9,7 +9,9 @@ from ..operators import catalog, changes
 from .registry import query
 
 MEETING = "nullif(lower(concat(nullif(regexp_extract({0}, '(?i)(RAN[0-9]+#[0-9]+)', 1), ''), regexp_extract({0}, '(?i)RAN[0-9]+#[0-9]+[- ]?(bis|e|adhoc)', 1))), '')"
-VERSION = "coalesce(try_cast(nullif(regexp_extract({0}, '(?i)v([0-9]+)\\.(docx|pptx|pdf|zip)$', 1), '') AS INTEGER), -1)"
+# digits as a text that orders as their number: the length, then the digits without leading zeros
+NUMBER = "lpad(length(regexp_replace({0}, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || ':' || regexp_replace({0}, '^0+([0-9])', '\\1')"
+VERSION = "coalesce(" + NUMBER.format("nullif(regexp_extract({0}, '(?i)v([0-9]+)\\.(docx|pptx|pdf|zip)$', 1), '')") + ", '')"
 SCHEDULE = "contains(lower(name), 'schedule')"
 CHAIR = "regexp_matches(name, '(?i)chair(man)?[ _]note')"
 LISTED = "folder NOT IN ('Agenda', 'drafts', 'Tdoc_list', 'Welcome_speech')"
@@ -17,8 +19,8 @@ LISTED = "folder NOT IN ('Agenda', 'drafts', 'Tdoc_list', 'Welcome_speech')"
 
 def _rank(m: str) -> str:
     regular = f"regexp_matches({m}, '^ran[0-9]+#[0-9]+(bis)?$')"
-    series, number = f"try_cast(regexp_extract({m}, '^ran([0-9]+)', 1) AS INTEGER)", f"try_cast(regexp_extract({m}, '#([0-9]+)', 1) AS INTEGER)"
-    return f"CASE WHEN {regular} THEN {series} * 10000000 + {number} * 10 + CASE WHEN {m} LIKE '%bis' THEN 1 ELSE 0 END END"
+    series, number = NUMBER.format(f"regexp_extract({m}, '^ran([0-9]+)', 1)"), NUMBER.format(f"regexp_extract({m}, '#([0-9]+)', 1)")
+    return f"CASE WHEN {regular} THEN {series} || '#' || {number} || CASE WHEN {m} LIKE '%bis' THEN '#1' ELSE '#0' END END"
 
 
 def latest_sql(source: str, keys: str, where: str, wish: str = "NULL") -> str:
@@ -64,7 +66,7 @@ def k4(listing):
 SELECT list_pos, {MEETING.format("name")} AS meeting_id, {_rank(MEETING.format("name"))} AS rank, {VERSION.format("name")} AS version FROM listing""")
 def f1(listing):
     rank = N.meeting_rank(N.meeting_id(F.col("name")))
-    number = rank["series"] * 10000000 + rank["number"] * 10 + rank["late"]
+    number = F.concat(rank["series"], F.lit("#"), rank["number"], F.lit("#"), rank["late"].cast("string"))
     return listing.select("list_pos", N.meeting_id(F.col("name")).alias("meeting_id"), number.alias("rank"), N.file_version(F.col("name")).alias("version"))
 
 

@@ -143,7 +143,7 @@ lab AS (SELECT doc_id, i::INTEGER AS ord, concat('Room', doc_id % 9, '-', i) AS
 e AS (SELECT doc_id, table_idx, unnest(string_split(colors, ',')) AS f, generate_subscripts(string_split(colors, ','), 1) AS i FROM w7),
 h AS (SELECT e.doc_id, table_idx, i, arg_min(name, ord) AS name FROM e JOIN lab ON lab.doc_id = e.doc_id AND color IS NOT NULL AND {CLOSE.format("f", "color")} GROUP BY 1, 2, 3),
 nm AS (SELECT doc_id, table_idx, string_agg(name, ',' ORDER BY i) AS names, count(*) AS k FROM h GROUP BY 1, 2),
-need AS (SELECT doc_id, table_idx, max(n_rooms) AS n_rooms FROM ar GROUP BY 1, 2),
+need AS (SELECT doc_id, table_idx, arg_min(n_rooms, day_start) AS n_rooms FROM ar JOIN dc USING (doc_id, table_idx, day) GROUP BY 1, 2),
 j12 AS (SELECT doc_id, table_idx, names, k FROM nm JOIN need USING (doc_id, table_idx) WHERE k = n_rooms)"""
 
 

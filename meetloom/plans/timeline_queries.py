@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout, timeline
+from .catalog_queries import NUMBER
 from .registry import query
 
 SLOT = ["meeting_id", "day", "tb"]
@@ -105,6 +106,7 @@ def a8(items):
 
 @query("j10_room_columns", "items", "rooms", oracle="""
 WITH al AS (SELECT meeting_id, day, 'RAN1_main' AS alias, name FROM rooms WHERE pos = 0
+  UNION ALL SELECT meeting_id, day, 'a1', max(name) FROM rooms WHERE pos BETWEEN 1 AND 2 GROUP BY 1, 2
   UNION ALL SELECT meeting_id, day, 'ALL_ONLINE', string_agg(name, ' + ' ORDER BY pos) FROM rooms WHERE table_index = 0 GROUP BY 1, 2 HAVING count(*) > 1),
 l AS (SELECT DISTINCT i.meeting_id, i.day, i.room_name, coalesce(al.name, i.room_name) AS r FROM items i LEFT JOIN al ON al.meeting_id = i.meeting_id AND al.day = i.day AND al.alias = i.room_name),
 p AS (SELECT *, unnest(string_split(r, ' + ')) AS part FROM l WHERE contains(r, ' + ')),
@@ -116,10 +118,19 @@ f AS (SELECT * FROM span UNION ALL SELECT meeting_id, day, room_name, lo, lo FRO
 SELECT ord, coalesce(lo + 2, 2) AS room_col_start, coalesce(hi + 3, 3) AS room_col_end FROM items LEFT JOIN f USING (meeting_id, day, room_name)""")
 def j10(items, rooms):
     keys = ["meeting_id", "day"]
-    main = rooms.where("pos = 0").select(*keys, F.lit("RAN1_main").alias("alias"), "name")
-    online = rooms.where("table_index = 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("r")).where(F.size("r") > 1)
-    online = online.select(*keys, F.lit("ALL_ONLINE").alias("alias"), F.array_join(F.col("r.name"), " + ").alias("name"))
-    return timeline.room_columns(items, rooms, main.unionByName(online), keys).select("ord", "room_col_start", "room_col_end")
+    days = rooms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "table_index", "name"))).alias("r"))
+
+    def alias(name, value):
+        return F.struct(name.alias("alias"), value.alias("name"))
+
+    main = F.transform(F.filter("r", lambda x: x["pos"] == 0), lambda x: alias(F.lit("RAN1_main"), x["name"]))
+    online = F.filter("r", lambda x: x["table_index"] == 0)
+    every = F.when(F.size(online) > 1, F.array(alias(F.lit("ALL_ONLINE"), F.array_join(F.transform(online, lambda x: x["name"]), " + "))))
+    # an alias of several names, the last of which counts, and rooms without an alias
+    twice = F.transform(F.filter("r", lambda x: x["pos"].between(1, 2)), lambda x: alias(F.lit("a1"), x["name"]))
+    none = F.transform("r", lambda x: alias(F.lit(None).cast("string"), x["name"]))
+    aliases = days.select(*keys, F.inline(F.concat(main, F.coalesce(every, F.array()), twice, none)))
+    return timeline.room_columns(items, rooms, aliases, keys).select("ord", "room_col_start", "room_col_end")
 
 
 @query("w5_group_colors", "items", oracle="""
@@ -172,8 +183,8 @@ def f23(events):
     return events.select("event_id", slot["day"].alias("day"), slot["row"].alias("grid_row"), T.local_generated_at(F.col("ts"), zone).alias("generated_at"))
 
 
-# natural order in the oracle: digit runs padded, the rest in lower case
-NAT = "(CASE WHEN regexp_matches({0}, '^[0-9]') THEN [''] ELSE [] END || list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(p, 20, '0') ELSE p END))"
+# natural order in the oracle: digit runs with their lengths in front, the rest in lower case
+NAT = "(CASE WHEN regexp_matches({0}, '^[0-9]') THEN [''] ELSE [] END || list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN " + NUMBER.format("p") + " ELSE p END))"
 A4 = f"""
 WITH r AS (SELECT meeting_id, coalesce(group_header, '') AS grp, name, {AIS} AS l, coalesce(agenda_item, '') = '' AS bare FROM items),
 a AS (SELECT DISTINCT meeting_id, grp, name, unnest(l) AS ai FROM r),
@@ -207,11 +218,13 @@ def a5(items):
 
 
 @query("o3_natural_sort", "items", oracle=f"""
-SELECT meeting_id, name, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY {NAT.format("name")}, name) AS INTEGER) AS place FROM (SELECT DISTINCT meeting_id, name FROM items)""")
+SELECT meeting_id, name, CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY {NAT.format("name")}, name) AS INTEGER) AS place
+FROM (SELECT DISTINCT meeting_id, CASE ord % 3 WHEN 0 THEN concat(name, ' 01234567890123456789012345678901234567', CAST(ord % 1000 AS VARCHAR)) ELSE name END AS name FROM items)""")
 def o3(items):
     from pyspark.sql import Window
 
-    names = items.select("meeting_id", "name").distinct()
+    long = F.concat("name", F.lit(" 01234567890123456789012345678901234567"), (F.col("ord") % 1000).cast("string"))
+    names = items.select("meeting_id", F.when(F.col("ord") % 3 == 0, long).otherwise(F.col("name")).alias("name")).distinct()
     return names.withColumn("place", F.row_number().over(Window.partitionBy("meeting_id").orderBy(T.natural_key(F.col("name")), "name")))
 
 

@@ -72,21 +72,14 @@ def resolve_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, name string, content binary")
 
 
-def _flag(run: ElementTree.Element, *names: str) -> bool:
-    properties = run.find(f"{W}rPr")
-    for name in names:
-        mark = None if properties is None else properties.find(W + name)
-        if mark is not None and mark.get(f"{W}val") not in ("0", "false", "off", "none"):
-            return True
-    return False
-
-
 def _runs(cell: ElementTree.Element) -> list[dict]:
+    """Texts of a cell's paragraphs, those of tables inside it too; any strike mark of a run counts, whatever its value."""
     runs = []
-    for i, paragraph in enumerate(cell.findall(f"{W}p")):
+    for i, paragraph in enumerate(cell.iter(f"{W}p")):
         for run in paragraph.iter(f"{W}r"):
-            text = "".join("\n" if x.tag == f"{W}br" else "\t" if x.tag == f"{W}tab" else x.text or "" for x in run if x.tag in (f"{W}t", f"{W}br", f"{W}tab"))
-            runs.append({"para": i, "text": text, "strike": _flag(run, "strike", "dstrike")})
+            marks = run.find(f"{W}rPr")
+            struck = marks is not None and any(marks.find(W + name) is not None for name in ("strike", "dstrike"))
+            runs += [{"para": i, "text": t.text, "strike": struck} for t in run.findall(f"{W}t") if t.text]
     return runs
 
 
