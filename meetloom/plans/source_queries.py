@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import grammar
+from ..operators import grammar, grid
 from ..sources import documents, listing, state
 from ..streaming import changes as streams
 from .adapters import TABLES, VIEWS, view
+from .grid_queries import J12
 from .registry import ORACLE_SQL, QUERIES, query, with_views
 
 
@@ -63,18 +64,29 @@ def p5(pages):
     return rows.where(~T.is_error_page(F.col("h"), F.length("h"), F.col("listing"))).select("page_id")
 
 
-def build_document(cells: list[dict]) -> bytes:
-    """A small document with tables of cells (table_idx, row_idx, tc_idx, grid_span, v_merge, fill, text)."""
+def text_box(name: str, drawn: str | None, resolved: str | None) -> str:
+    """A paragraph with a text box, its text in both alternatives."""
+    text = f"<w:txbxContent><w:p><w:r><w:t>{escape(name)}</w:t></w:r></w:p></w:txbxContent>"
+    fill = "" if drawn is None else f"<a:solidFill><a:srgbClr val={quoteattr(drawn)}/></a:solidFill>"
+    shape = "" if resolved is None else f" fillcolor={quoteattr(resolved)}"
+    choice = f"<w:drawing><wps:wsp><wps:spPr>{fill}</wps:spPr><wps:txbx>{text}</wps:txbx></wps:wsp></w:drawing>"
+    fallback = f"<w:pict><v:shape{shape}><v:textbox>{text}</v:textbox></v:shape></w:pict>"
+    return f"<w:p><w:r><mc:AlternateContent><mc:Choice>{choice}</mc:Choice><mc:Fallback>{fallback}</mc:Fallback></mc:AlternateContent></w:r></w:p>"
+
+
+def build_document(cells: list[dict], boxes: str = "") -> bytes:
+    """A small document with text boxes, and tables of cells (table_idx, row_idx, tc_idx, grid_span, v_merge, fill, text)."""
     rows: dict[tuple[int, int], list[str]] = {}
     for c in sorted(cells, key=lambda c: (c["table_idx"], c["row_idx"], c["tc_idx"])):
         merge = "" if c["v_merge"] is None else f"<w:vMerge w:val={quoteattr(c['v_merge'])}/>"
         fill = "" if c["fill"] is None else f"<w:shd w:fill={quoteattr(c['fill'])}/>"
         paragraphs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in c["text"].split("\n"))
         rows.setdefault((c["table_idx"], c["row_idx"]), []).append(f'<w:tc><w:tcPr><w:gridSpan w:val="{c["grid_span"]}"/>{merge}{fill}</w:tcPr>{paragraphs}</w:tc>')
-    body = ""
+    body = boxes
     for t in sorted({t for t, _ in rows}):
         body += f"<w:p><w:r><w:t>Table {t}</w:t></w:r></w:p><w:tbl>" + "".join(f"<w:tr>{''.join(c)}</w:tr>" for (tt, _), c in rows.items() if tt == t) + "</w:tbl>"
-    xml = f'<w:document xmlns:w="{documents.W[1:-1]}"><w:body>{body}</w:body></w:document>'
+    spaces = " ".join(f'xmlns:{k}="{v[1:-1]}"' for k, v in (("w", documents.W), ("mc", documents.MC), ("a", documents.A), ("v", documents.V), ("wps", documents.WPS)))
+    xml = f'<w:document {spaces}><w:body>{body}</w:body></w:document>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
         archive.writestr("word/document.xml", xml)
@@ -113,6 +125,28 @@ def s5(cells):
     return documents.table_cells(documents.extract_tables(_files(cells)))
 
 
+def _with_boxes(cells: pd.Series, numbers: pd.Series) -> pd.Series:
+    """Documents with five labels each: by the resolved fill, by the drawn one beside a resolved one that is none, without any, and doubles."""
+
+    def boxes(n: int) -> str:
+        name = f"Room{n % 9}-"
+        return "".join((text_box(name + "0", "123456", "#d5d5d5 [1943]"), text_box(name + "1", "ffd066", "auto"), text_box(name + "2", None, None), text_box(name + "3", "FFFFFF", None), text_box(name + "4", "000000", "#FFFFFF")))
+
+    return pd.Series([build_document([r if isinstance(r, dict) else r.asDict() for r in rows], boxes(n)) for rows, n in zip(cells, numbers, strict=True)])
+
+
+_BOXED = J12.replace("FROM cells", "FROM docs").replace("doc_id % 9", "CAST(replace(doc_id, '.docx', '') AS BIGINT) % 9")
+
+
+@query("s5_text_box_labels", "cells", oracle=_BOXED.replace("WITH g AS", f"WITH docs AS ({NUMBERED}), g AS", 1) + " SELECT doc_id, table_idx, names FROM j12")
+def s5_boxes(cells):
+    columns = ["table_idx", "row_idx", "tc_idx", "grid_span", "v_merge", "fill", "text"]
+    listed = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("cells"))
+    rows = documents.extract_tables(listed.select(F.concat("doc_id", F.lit(".docx")).alias("path"), F.pandas_udf(_with_boxes, "binary")("cells", "doc_id").alias("content")))
+    colors = grid.table_column_colors(grid.grid_positions(documents.table_cells(rows)))
+    return grid.match_rooms_by_color(colors, documents.box_labels(rows)).withColumn("names", F.array_join("names", ","))
+
+
 @query("s4_resolve_archives", "cells", oracle="SELECT path, name FROM (SELECT DISTINCT concat(doc_id, CASE WHEN doc_id % 2 = 0 THEN '.zip' ELSE '.docx' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'c.DOCX' ELSE concat(doc_id, '.docx') END AS name FROM cells)")
 def s4(cells):
     files = _files(cells)

@@ -21,7 +21,12 @@ from ..functions import text as T
 #: What opening a damaged or encrypted file raises.
 BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError, OSError, RuntimeError, NotImplementedError)
 
+# The namespaces of the document format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+V = "{urn:schemas-microsoft-com:vml}"
+WPS = "{http://schemas.microsoft.com/office/word/2010/wordprocessingShape}"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -88,35 +93,46 @@ def _value(parent: ElementTree.Element | None, name: str, attribute: str) -> str
     return None if mark is None else mark.get(W + attribute, "")
 
 
+def _shape_fills(box: ElementTree.Element) -> list[str]:
+    """Fills that a text box gives, in order of trust: the first of its resolved shapes, then the first of each drawn one."""
+    resolved = (shape.get("fillcolor") for shape in box.iter(f"{V}shape"))
+    drawn = (next((c.get("val", "") for s in p.iter(f"{A}solidFill") if (c := s.find(f"{A}srgbClr")) is not None), "") for p in box.iter(f"{WPS}spPr"))
+    return [f for f in (next(filter(None, resolved), ""), *drawn) if f]
+
+
 def document_rows(content: bytes) -> list[tuple]:
-    """(kind, table_idx, row_idx, tc_idx, grid_span, v_merge, fill, text, runs) of a document's body in order."""
+    """(kind, table_idx, row_idx, tc_idx, grid_span, v_merge, fill, text, runs, fills) of a document's body in order, then its text boxes."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{W}body")
     table, rows = 0, []
     for pos, block in enumerate([] if body is None else body):
         if block.tag == f"{W}p":
-            rows.append(("paragraph", pos, None, None, None, None, None, "".join(t.text or "" for t in block.iter(f"{W}t")).strip(), []))
+            rows.append(("paragraph", pos, None, None, None, None, None, "".join(t.text or "" for t in block.iter(f"{W}t")).strip(), [], []))
         elif block.tag == f"{W}tbl":
-            rows.append(("table", pos, None, None, None, None, None, "", []))
+            rows.append(("table", pos, None, None, None, None, None, "", [], []))
             for r, row in enumerate(block.findall(f"{W}tr")):
                 for c, cell in enumerate(row.findall(f"{W}tc")):
                     own = cell.find(f"{W}tcPr")
                     span = _value(own, "gridSpan", "val")
-                    rows.append(("cell", table, r, c, int(span or 1), _value(own, "vMerge", "val"), _value(own, "shd", "fill"), "", _runs(cell)))
+                    rows.append(("cell", table, r, c, int(span or 1), _value(own, "vMerge", "val"), _value(own, "shd", "fill"), "", _runs(cell), []))
             table += 1
+    for i, box in enumerate([] if body is None else body.iter(f"{MC}AlternateContent")):
+        text = "".join(t.text or "" for t in box.iter(f"{W}t")).strip()
+        if text:
+            rows.append(("box", i, None, None, None, None, None, text, [], _shape_fills(box)))
     return rows
 
 
-_ROWS = "path string, kind string, table_idx int, row_idx int, tc_idx int, grid_span int, v_merge string, fill string, text string, runs array<struct<para:int,text:string,strike:boolean>>"
+_ROWS = "path string, kind string, table_idx int, row_idx int, tc_idx int, grid_span int, v_merge string, fill string, text string, runs array<struct<para:int,text:string,strike:boolean>>, fills array<string>"
 
 
 def extract_tables(documents: DataFrame) -> DataFrame:
-    """Rows of the documents' bodies (S5): cells with their runs, and paragraphs and tables in order (table_idx is their position).
+    """Rows of the documents' bodies (S5): cells with their runs, paragraphs and tables in order (table_idx is their position), and text boxes.
 
     A file that is damaged, encrypted or no document gives no row.
     """
     runs = pa.list_(pa.struct([("para", pa.int32()), ("text", pa.string()), ("strike", pa.bool_())]))
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), runs)
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), runs, pa.list_(pa.string()))
     names = [c.split()[0] for c in _ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,4 +154,14 @@ def table_cells(rows: DataFrame) -> DataFrame:
 
 def body_blocks(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, is_table, text) of extracted rows, for the texts between tables."""
-    return rows.where("kind != 'cell'").select(F.col("path").alias("doc_id"), F.col("table_idx").alias("pos"), (F.col("kind") == "table").alias("is_table"), "text")
+    return rows.where("kind IN ('paragraph', 'table')").select(F.col("path").alias("doc_id"), F.col("table_idx").alias("pos"), (F.col("kind") == "table").alias("is_table"), "text")
+
+
+def box_labels(rows: DataFrame) -> DataFrame:
+    """(doc_id, ord, name, color) of the text boxes of extracted rows, as room colours are matched with.
+
+    A box's two alternatives hold its text twice, of which one half is taken (F13); its colour
+    is the first fill that is one.
+    """
+    colors = F.filter(F.transform("fills", T.color_norm), lambda c: c.isNotNull())
+    return rows.where("kind = 'box'").select(F.col("path").alias("doc_id"), F.col("table_idx").alias("ord"), T.undouble(F.col("text")).alias("name"), F.try_element_at(colors, F.lit(1)).alias("color"))
