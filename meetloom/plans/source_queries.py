@@ -207,7 +207,7 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is listed now arrives as a stream over the state that the stored listing left."""
     base = shared_path(spark, "changes")
     sink, state_dir = f"{base}/sink", f"{base}/state"
-    streams.accept(view(spark, sf_dir, "cached").withColumn("snapshot_id", F.lit(1)), -1, f"{base}/first", state_dir)  # a run before the stream's first
+    streams.accept(view(spark, sf_dir, "cached").withColumn("snapshot_id", F.lit(1)), 0, f"{base}/first", state_dir)  # a run before the stream's first
     sql = VIEWS["remote"].replace("FROM events", "FROM {events}")
     remote = spark.sql(sql, events=_stream(spark, sf_dir, "events")).withColumn("snapshot_id", F.lit(2))
     streams.change_stream(remote, sink, state_dir, f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
