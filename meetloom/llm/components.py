@@ -64,7 +64,7 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b"))
     while True:
         tasks = max(1, -(-links.count() // TASK_LINKS))
-        near = links.coalesce(tasks).mapInArrow(_contract, "a long, b long")
+        near = links.repartition(tasks).mapInArrow(_contract, "a long, b long")
         links = cut(near if tasks == 1 else _small_star(_large_star(near)))
         if tasks == 1 or _is_done(links):
             return links.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -48,7 +48,8 @@ LOCAL = 4096
 #: (branches, tokens a branch) of the levels below the first: a pair at similarity 0.75 stays together on a level with a
 #: chance of 1 - (1 - 0.75**tokens)**branches, which is 0.98 at least. What is left after the last level is compared in full.
 BRANCHES = ((4, 1), (5, 2), (12, 4))
-TABLE_BRANCHES = ((4, 1), (5, 2))
+#: A large node's branches are compared in full, block by block, where they are more than one in so many of its size.
+SHRINK = 4
 #: Centres that a large node's documents are compared with first, and rows that tell where a centre is.
 CENTRES, SKETCH = 4, 256
 #: Pairs that agree on fewer than FEW of the first GLANCE tokens are passed over: five deviations under 0.75.
@@ -158,10 +159,13 @@ def crossings(large: DataFrame, tokens: DataFrame) -> DataFrame:
     """(node, doc_id, label) of nodes that fit a task and hold the pairs of different labels in large nodes (node, doc_id, label).
 
     Of a node nearly all of one label, the others meet every block of that label. Other nodes
-    branch by tokens; what still stays together after all levels has every two blocks meet.
+    branch by as many tokens as bring them down to LOCAL documents if these agree on every
+    second one, and by so many branches that a pair at the least similarity stays together
+    with a chance of 0.98 (1 - e**-4); a document's rows so grow with the size to the power
+    0.42. What hardly splits has every two blocks meet.
     """
-    done, rows = [], large
-    for level in range(len(TABLE_BRANCHES) + 1):
+    done, rows, level = [], large.withColumn("was", F.lit(None).cast("long")), 0
+    while True:
         sizes = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
         sizes = sizes.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", "n").alias("main")).where("most < size")  # of one label, nothing is left to join
         rows = cut(rows.join(sizes, "node"))
@@ -173,17 +177,20 @@ def crossings(large: DataFrame, tokens: DataFrame) -> DataFrame:
         crossed = rows.where(~fits & few).withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), own).otherwise(every)))
         done.append(crossed.select(F.xxhash64("node", "block").alias("node"), "doc_id", "label"))
         rows = rows.where(~fits & ~few)
+        alike = F.coalesce(F.col("size") * SHRINK > F.col("was"), F.lit(False))  # branching hardly splits it
+        blocks = F.ceil(F.col("size") * 3 / LOCAL)  # two blocks fit a task
+        all_ = rows.where(alike).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        done.append(all_.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "label"))
+        rows = rows.where(~alike)
         if not rows.limit(1).count():
             break
-        if level == len(TABLE_BRANCHES):
-            blocks = F.ceil(F.col("size") * 3 / LOCAL)  # two blocks fit a task
-            rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            done.append(rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "label"))
-            break
-        branches, width = TABLE_BRANCHES[level]
-        branched = rows.select("node", "doc_id", "label").join(tokens, "doc_id").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(branches))))
-        chosen = [F.expr(f"element_at(tokens, cast(pmod(xxhash64(node, branch, {level}, {j}), {TOKENS}) as int) + 1)") for j in range(width)]
-        rows = branched.select(F.xxhash64("node", "branch", F.lit(level), *chosen).alias("node"), "doc_id", "label")
+        # documents that aren't alike agree on a token less often than every second time, so that many tokens bring a node down to LOCAL
+        width = F.least(F.lit(TOKENS // 10), F.greatest(F.lit(4), F.ceil(F.log2(F.col("size") / LOCAL)))).cast("int")
+        branches = F.ceil(4 * F.pow(F.lit(100 / PERCENT), width)).cast("int")
+        branched = rows.select("node", "doc_id", "label", "size", width.alias("width"), F.explode(F.sequence(F.lit(1), branches)).alias("branch")).join(tokens, "doc_id")
+        chosen = F.expr(f"transform(sequence(1, width), j -> element_at(tokens, cast(pmod(xxhash64(node, branch, {level}, j), {TOKENS}) as int) + 1))")
+        rows = branched.select(F.xxhash64("node", "branch", F.lit(level), chosen).alias("node"), "doc_id", "label", F.col("size").alias("was"))
+        level += 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
