@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DAYS, PALETTE_SIZE
@@ -79,15 +79,38 @@ def distinct_ais(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:
     return sets.select(key, F.posexplode(natural_sorted(F.col("ais"))).alias("place", "ai"))
 
 
-def apply_facets(sessions: DataFrame, ais: list[str], keys: list[str], no_ai_keys: list[str], key: str = "meeting_id") -> DataFrame:
-    """Sessions that chosen facets let through (P11); choices are lists a user made, nothing chosen keeps all."""
-    if not (ais or keys or no_ai_keys):
+def expanded_choice(rows: DataFrame, ais: list[str], keys: list[str], no_ai_keys: list[str], groups: list[str], sessions: list[str], key: str = "meeting_id") -> DataFrame:
+    """Facet rows with what is chosen in their meeting (__ais, __keys, __bare).
+
+    A chosen group (by name, or __other__) chooses its sessions. A chosen session chooses its
+    agenda items, and what it has without one; or itself, if it has none.
+    """
+    given = [F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in (ais, keys, no_ai_keys)]
+    own, group = F.concat_ws("|", "name", "grp"), F.when(F.col("grp") == "", "__other__").otherwise(F.col("grp"))
+    picked = own.isin(sessions) | group.isin(groups)
+    meeting = Window.partitionBy(key)
+    with_items = F.size("ais") > 0
+    more = (
+        F.flatten(F.collect_list(F.when(picked, F.col("ais"))).over(meeting)),
+        F.collect_list(F.when(picked & ~with_items, own)).over(meeting),
+        F.collect_list(F.when(picked & with_items & F.col("has_no_ai"), own)).over(meeting),
+    )
+    return rows.withColumns({name: F.array_union(a, b) for name, a, b in zip(("__ais", "__keys", "__bare"), given, more, strict=True)})
+
+
+def apply_facets(sessions: DataFrame, ais: list[str], keys: list[str], no_ai_keys: list[str], key: str = "meeting_id", groups: list[str] | None = None, session_keys: list[str] | None = None) -> DataFrame:
+    """Sessions that chosen facets let through (P11); choices are lists a user made, nothing chosen keeps all.
+
+    Groups and sessions (session_keys) choose what the tree has under them, meeting by meeting;
+    of a meeting without any of the chosen nothing is kept.
+    """
+    if not (ais or keys or no_ai_keys or groups or session_keys):
         return sessions
-    chosen, wanted, bare = (F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in (ais, keys, no_ai_keys))
-    rows = facet_rows(sessions, key)
+    chosen, wanted, bare = F.col("__ais"), F.col("__keys"), F.col("__bare")
+    rows = expanded_choice(facet_rows(sessions, key), ais, keys, no_ai_keys, groups or [], session_keys or [], key)
     own = F.concat_ws("|", "name", "grp")
-    derived = F.lit(bool(ais)) & (F.size("ais") > 0) & F.forall("ais", lambda a: F.array_contains(chosen, a)) & (~F.col("has_no_ai") | F.array_contains(bare, own))
-    passed = rows.withColumn("__passed", F.array_contains(wanted, own) | derived).select(key, F.col("grp").alias("__grp"), F.col("name").alias("__name"), "__passed")
+    derived = (F.size(chosen) > 0) & (F.size("ais") > 0) & F.forall("ais", lambda a: F.array_contains(chosen, a)) & (~F.col("has_no_ai") | F.array_contains(bare, own))
+    passed = rows.withColumn("__passed", F.array_contains(wanted, own) | derived).select(key, F.col("grp").alias("__grp"), F.col("name").alias("__name"), "__passed", "__ais", "__keys", "__bare")
     items = F.coalesce(T.agenda_list(F.col("agenda_item")), F.array())
     label = F.concat_ws("|", "name", F.coalesce("group_header", F.lit("")))
     joined = sessions.join(passed.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.coalesce("group_header", F.lit("")) == F.col("__grp")) & (F.col("name") == F.col("__name")))

@@ -82,6 +82,53 @@ def room_hints(rooms: DataFrame) -> DataFrame:
     return placed.select("meeting_id", "name", "place", role.alias("role"))
 
 
+def merge_room_hints(days: DataFrame, hints: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A day's rooms with what a meeting's hints say of them (A2).
+
+    days has (meeting_id, day, available), hints (meeting_id, all_rooms, online_rooms,
+    offline_rooms, main_room, breakout_rooms), of which anything may be missing. Hinted rooms
+    come before the others. Without online rooms all are online; online, offline and breakout
+    rooms that aren't among all go; the main room is then the first online one, else the first;
+    without breakout rooms all online ones but the main are.
+    """
+    keys = keys or ["meeting_id"]
+    none = F.array().cast("array<string>")
+    told = days.join(hints, keys, "left")
+
+    def unique(name: str) -> Column:
+        return F.array_distinct(F.coalesce(name, none))
+
+    every = F.array_distinct(F.concat(F.coalesce("all_rooms", none), F.coalesce("available", none)))
+    told = told.withColumn("__all", every)
+
+    def known(rooms: Column) -> Column:
+        return F.filter(rooms, lambda r: F.array_contains("__all", r))
+
+    online = known(F.when(F.size(unique("online_rooms")) > 0, unique("online_rooms")).otherwise(F.col("__all")))
+    told = told.withColumns({"__online": online, "__offline": known(unique("offline_rooms"))})
+    first = F.coalesce(F.try_element_at("__online", F.lit(1)), F.try_element_at("__all", F.lit(1)))
+    told = told.withColumn("__main", F.when(F.array_contains("__all", F.col("main_room")), F.col("main_room")).otherwise(first))
+    breakouts = F.filter(known(unique("breakout_rooms")), lambda r: r != F.col("__main"))
+    others = F.filter("__online", lambda r: r != F.col("__main"))
+    return told.select(
+        *keys, *[c for c in days.columns if c not in (*keys, "available")], F.col("__all").alias("all_rooms"), F.col("__online").alias("online_rooms"), F.col("__offline").alias("offline_rooms"),
+        F.col("__main").alias("main_room"), F.when(F.size(breakouts) > 0, breakouts).otherwise(others).alias("breakout_rooms"),
+    )
+
+
+def hints_of_roles(hints: DataFrame) -> DataFrame:
+    """The hints of `room_hints`, a row per meeting as `merge_room_hints` takes them."""
+
+    def names(condition: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("place", "name")))), lambda r: r["name"])
+
+    role = F.col("role")
+    return hints.groupBy("meeting_id").agg(
+        names(F.lit(True)).alias("all_rooms"), names(role != "offline").alias("online_rooms"), names(role == "offline").alias("offline_rooms"),
+        F.min_by("name", F.when(role == "main", F.col("place"))).alias("main_room"), names(role == "breakout").alias("breakout_rooms"),
+    )
+
+
 def room_aliases(rooms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, alias, name, place) of a day's rooms (W4), with the aliases of several rooms, whose place is null.
 
@@ -196,6 +243,28 @@ def reuse_timezone(meetings: DataFrame, state: DataFrame, places: DataFrame) ->
     return out.select("inbox_id", "meeting_id", F.coalesce("__stored", "__place", F.lit("UTC")).alias("timezone"))
 
 
+def location_zones(locations: DataFrame, places: DataFrame) -> DataFrame:
+    """(location, timezone) of the lines "City, Country, Month 1" (P10) that a table of places (city, country, timezone) knows.
+
+    City and country are compared by their words, in lower case and without punctuation. A
+    place's city may be any words in a row of the line's; the longest counts, of equal ones
+    the first by name. Countries have to be equal; a place may be listed under several names.
+    """
+
+    def words(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['’]", ""), r"[^\p{L}\p{N}]+", " "))
+
+    parts = F.split("location", ",")
+    lines = locations.select("location").where("location IS NOT NULL").distinct()
+    lines = lines.select("location", words(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))).alias("country"), F.split(words(parts[0]), " ").alias("w"))
+    n = F.size("w")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice("w", i, j - i + 1), " "))))
+    asked = lines.select("location", "country", F.explode(F.array_distinct(runs)).alias("city"))
+    known = places.select(words(F.col("country")).alias("country"), words(F.col("city")).alias("city"), "timezone")
+    hits = asked.join(known, ["country", "city"])
+    return hits.groupBy("location").agg(F.min_by("timezone", F.struct(-F.length("city"), "city", "timezone")).alias("timezone"))
+
+
 def enrich_main_with_detail(main: DataFrame, detail: DataFrame) -> DataFrame:
     """Main items with what detail items of their slot add.
 

@@ -47,6 +47,32 @@ def apply_group_mapping(sessions: DataFrame, mappings: DataFrame, key: str = "me
     return sessions.join(last, [key, "group_header"], "left").withColumn("group_header", F.coalesce("__simple", "group_header")).drop("__simple")
 
 
+def elect_groups(sessions: DataFrame, key: str = "meeting_id", order: str = "ord") -> DataFrame:
+    """(key, ord, original, simplified): each of a meeting's group labels once, with the short one it goes under (F26), as J7 takes them.
+
+    Of "X / Y / Z" that is X, if X is a label itself or begins several labels; else the first
+    other part that is a label or begins one; else X. A label that exists is preferred to
+    another spelling of it (of several spellings the first). What is yet to be assigned is TBD.
+    A meeting's labels are few and come to each of them as one array.
+    """
+    labels = sessions.where(_group() != "").groupBy(key, F.col("group_header").alias("original")).agg(F.min(order).alias(order))
+    all_ = Window.partitionBy(key)
+    part = F.split("original", " / ")
+    told = labels.withColumns({"__labels": F.array_sort(F.collect_list("original").over(all_)), "__tops": F.collect_list(F.lower(part[0])).over(all_)})
+
+    def spelled(p: Column) -> Column:
+        return F.try_element_at(F.filter("__labels", lambda x: F.lower(x) == F.lower(p)), F.lit(1))
+
+    def begun(p: Column) -> Column:
+        return F.size(F.filter("__tops", lambda x: x == F.lower(p)))
+
+    first = part[0]
+    others = F.filter(F.slice(part, 2, F.size(part)), lambda p: spelled(p).isNotNull() | (begun(p) > 0))
+    chosen = F.when(spelled(first).isNotNull() | (begun(first) > 1), first).otherwise(F.coalesce(F.try_element_at(others, F.lit(1)), first))
+    simple = F.when(T.group_label(F.col("original")) == "TBD", "TBD").otherwise(F.coalesce(spelled(F.col("__chosen")), F.col("__chosen")))
+    return told.withColumn("__chosen", chosen).select(key, order, "original", simple.alias("simplified"))
+
+
 def _group() -> Column:
     return F.coalesce("group_header", F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, slots
+from ..operators import changes, grid, slots
 from .registry import query
 
 # rooms of every source: details call their first table's rooms as the main schedule does
@@ -76,6 +76,37 @@ def a2(rooms):
     return slots.room_hints(rooms)
 
 
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+A2_DAYS = f"""{A2},
+hr AS (SELECT meeting_id, list(name ORDER BY place) AS al, list(name ORDER BY place) FILTER (role <> 'offline') AS onl, list(name ORDER BY place) FILTER (role = 'offline') AS offl, min(name) FILTER (role = 'main') AS main, list(name ORDER BY place) FILTER (role = 'breakout') AS brk FROM hints GROUP BY 1),
+h2 AS (SELECT meeting_id, CASE meeting_id % 5 WHEN 3 THEN []::VARCHAR[] ELSE al END AS al, CASE meeting_id % 5 WHEN 1 THEN []::VARCHAR[] ELSE coalesce(onl, []) || ['ghost', 'A1', 'A1'] END AS onl, coalesce(offl, []) || ['nowhere'] AS offl,
+  CASE meeting_id % 5 WHEN 2 THEN 'ghost' WHEN 4 THEN 'J2' ELSE main END AS main, CASE meeting_id % 5 WHEN 3 THEN []::VARCHAR[] ELSE coalesce(brk, []) END AS brk FROM hr WHERE meeting_id % 7 > 0),
+d AS (SELECT meeting_id, day, list(name ORDER BY pos) AS av FROM rooms GROUP BY 1, 2),
+e1 AS (SELECT d.*, onl, offl, main, brk, coalesce(al, []) || av AS al0 FROM d LEFT JOIN h2 USING (meeting_id)),
+e2 AS (SELECT *, {_FIRST.format("al0")} AS every FROM e1),
+e3 AS (SELECT *, CASE WHEN len(coalesce(onl, [])) > 0 THEN list_filter({_FIRST.format("onl")}, lambda r: list_contains(every, r)) ELSE every END AS online, list_filter({_FIRST.format("coalesce(offl, [])")}, lambda r: list_contains(every, r)) AS offline FROM e2),
+e4 AS (SELECT *, CASE WHEN list_contains(every, main) THEN main WHEN len(online) > 0 THEN online[1] ELSE every[1] END AS m FROM e3),
+e5 AS (SELECT *, list_filter({_FIRST.format("coalesce(brk, [])")}, lambda r: list_contains(every, r) AND r <> m) AS b FROM e4)
+SELECT meeting_id, day, array_to_string(every, ',') AS all_rooms, array_to_string(online, ',') AS online_rooms, array_to_string(offline, ',') AS offline_rooms, m AS main_room, array_to_string(CASE WHEN len(b) > 0 THEN b ELSE list_filter(online, lambda r: r <> m) END, ',') AS breakout_rooms FROM e5"""
+
+
+@query("a2_merge_room_hints", "rooms", oracle=f"WITH {A2_DAYS}")
+def a2_days(rooms):
+    """Hints with unknown, missing and repeated rooms; every seventh meeting has none."""
+    m, none = F.col("meeting_id") % 5, F.array().cast("array<string>")
+    hints = slots.hints_of_roles(slots.room_hints(rooms)).where("meeting_id % 7 > 0").withColumns({
+        "all_rooms": F.when(m == 3, none).otherwise(F.col("all_rooms")),
+        "online_rooms": F.when(m == 1, none).otherwise(F.concat("online_rooms", F.array(F.lit("ghost"), F.lit("A1"), F.lit("A1")))),
+        "offline_rooms": F.concat("offline_rooms", F.array(F.lit("nowhere"))),
+        "main_room": F.when(m == 2, "ghost").when(m == 4, "J2").otherwise(F.col("main_room")),
+        "breakout_rooms": F.when(m == 3, none).otherwise(F.col("breakout_rooms")),
+    })
+    days = rooms.groupBy("meeting_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("available"))
+    out = slots.merge_room_hints(days, hints)
+    lists = ("all_rooms", "online_rooms", "offline_rooms", "breakout_rooms")
+    return out.select("meeting_id", "day", "main_room", *[F.array_join(c, ",").alias(c) for c in lists])
+
+
 # every third meeting has its first room in the last table too, every fourth ten more breakouts
 REPEATED = """rr AS (
   SELECT meeting_id, day, table_index, pos, name FROM rooms
@@ -225,6 +256,29 @@ def j15(listing):
     return slots.reuse_timezone(meetings, state, places)
 
 
+_LINE = "CASE c_custkey % 5 WHEN 0 THEN concat('Port ', n, ' East, ', n, ', May 3rd') WHEN 1 THEN concat('Great Port-', n, ' east Bay, ', n, ', Aug. 14 ~ 18') WHEN 2 THEN concat('Port ', n, ', ', n, '., Oct. 1') WHEN 3 THEN concat('Elsewhere, ', n, ', May 3') ELSE concat('no place of ', n) END"
+
+
+@query("j15_location_timezone", "customer", "nation", oracle=f"""
+WITH p AS (SELECT c_custkey, n_nationkey, {_LINE} AS line FROM (SELECT c_custkey, n_nationkey, upper(w[1:1]) || lower(w[2:]) AS n FROM customer JOIN (SELECT *, translate(n_name, '0123456789_', 'abcdefghij ') AS w FROM nation) ON c_nationkey = n_nationkey) x)
+SELECT c_custkey AS inbox_id, CASE WHEN c_custkey % 11 = 0 THEN 'Asia/Tokyo' WHEN c_custkey % 5 < 2 THEN concat('East/', n_nationkey) WHEN c_custkey % 5 = 2 THEN concat('Port/', n_nationkey) ELSE 'UTC' END AS timezone FROM p""")
+def j15_zones(customer, nation):
+    """Lines out of documents' paragraphs (P10), their places' zones, and those stored for the same meeting."""
+    nation = nation.withColumn("n_name", F.translate("n_name", "0123456789_", "abcdefghij "))
+    n = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)")))
+    lines = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", n.alias("n"))
+    lines = lines.withColumn("line", F.expr(_LINE))
+    paragraphs = lines.select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit(0).alias("pos"), F.lit("A title, and more").alias("text")), F.struct(F.lit(1).alias("pos"), F.concat(F.lit(" "), "line").alias("text")))))
+    found = grid.location_line(paragraphs)
+    place = nation.select(n.alias("n"), "n_name", F.col("n_nationkey").cast("string").alias("k"))
+    port = place.select(F.concat(F.lit("PORT "), "n").alias("city"), F.col("n_name").alias("country"), F.concat(F.lit("Port/"), "k").alias("timezone"))
+    east = place.select(F.concat(F.lit("Port "), "n", F.lit(", East")).alias("city"), F.col("n_name").alias("country"), F.concat(F.lit("East/"), "k").alias("timezone"))
+    zones = slots.location_zones(found, port.unionByName(east))
+    meetings = lines.select(F.col("c_custkey").alias("inbox_id"), F.lit("ran1#124").alias("meeting_id")).join(found.withColumnRenamed("doc_id", "inbox_id"), "inbox_id", "left")
+    state = meetings.where("inbox_id % 11 = 0").select("inbox_id", "meeting_id", F.lit("Asia/Tokyo").alias("timezone"))
+    return slots.reuse_timezone(meetings, state, zones).select("inbox_id", "timezone")
+
+
 J17 = """
 WITH m AS (SELECT * FROM items WHERE ord % 4 = 0), d AS (SELECT *, ord % 2 AS source, concat(name, CASE WHEN ord % 3 = 0 THEN ' (detail)' ELSE '' END) AS dn FROM items WHERE ord % 4 <> 0),
 h AS (SELECT m.ord, d.ord AS do_, d.dn, d.agenda_item AS di, d.chair AS dc, d.source FROM m JOIN d ON d.meeting_id = m.meeting_id AND d.day = m.day AND d.tb = m.tb AND d.duration_minutes = m.duration_minutes

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import grammar, grid
+from ..operators import grammar, grid, layout
 from ..sources import documents, listing, state
 from ..streaming import changes as streams
 from .adapters import TABLES, VIEWS, view
 from .grid_queries import J12
 from .registry import ORACLE_SQL, QUERIES, query, with_views
+from .timeline_queries import F19, TREE
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -180,6 +181,30 @@ QUERIES["s8_write_schedule"] = s8
 ORACLE_SQL["s8_write_schedule"] = with_views("SELECT CAST(meeting_id AS INTEGER) AS meeting_id, ord, name, start_time, end_time FROM sessions")
 
 
+def s8_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, their layout and the facets of all meetings, then of every third one again, shorter."""
+    path = shared_path(spark, "published")
+    sessions = view(spark, sf_dir, "sessions").withColumn("rooms", F.array(F.lit("R1"), F.lit("R2")))
+
+    def tables(some: DataFrame) -> dict[str, DataFrame]:
+        laid = layout.layout_block(some).select("meeting_id", "ord", "row_start", "row_end", "col_start", "col_end")
+        return {"sessions": some.select("meeting_id", "ord", "name", "start_time", "end_time"), "layout": laid, "facets": layout.facet_tree(some)}
+
+    state.publish(tables(sessions), path)
+    state.publish(tables(sessions.where("meeting_id % 3 = 0 AND tb < 2")), path)
+    read = {name: state.read_published(spark, path, name) for name in ("sessions", "layout", "facets")}
+    counts = read["sessions"].groupBy("meeting_id").agg(F.count("*").alias("n_sessions"))
+    laid = read["layout"].groupBy("meeting_id").agg(F.count("*").alias("n_laid"), F.sum("row_start").alias("rows"))
+    return counts.join(laid, "meeting_id", "left").join(read["facets"], "meeting_id").select("meeting_id", "n_sessions", "n_laid", "rows", "facets")
+
+
+QUERIES["s8_publish_together"] = s8_together
+ORACLE_SQL["s8_publish_together"] = with_views(f"""WITH cur AS (SELECT * FROM sessions WHERE meeting_id % 3 <> 0 OR tb < 2), tree AS ({TREE.replace("FROM items", "FROM cur")}),
+lay AS (SELECT meeting_id, l.ord, row_start FROM ({F19}) l JOIN cur USING (ord)),
+n AS (SELECT meeting_id, count(*) AS n_sessions FROM cur GROUP BY 1), m AS (SELECT meeting_id, count(*) AS n_laid, sum(row_start)::BIGINT AS rows FROM lay GROUP BY 1)
+SELECT meeting_id, n_sessions, n_laid, rows, facets FROM n LEFT JOIN m USING (meeting_id) JOIN tree USING (meeting_id)""")
+
+
 # a person's header over a category with sub-items and nested headers, a struck-out line, and a time range after it
 @query("f25_parse_cell_grammar", "items", oracle="""
 WITH k AS (SELECT * FROM items WHERE duration_minutes > 0)

@@ -253,3 +253,46 @@ FROM (SELECT ord, CASE ord % 3 WHEN 0 THEN concat(group_header, ' / ', name, ' /
 def f26(items):
     h = F.when(F.col("ord") % 3 == 0, F.concat("group_header", F.lit(" / "), "name", F.lit(" / x"))).when(F.col("ord") % 3 == 1, "To be assigned by chair").otherwise(F.col("group_header"))
     return items.select("ord", T.group_label(h).alias("label"))
+
+
+_ELECT = """
+WITH h AS (SELECT meeting_id, ord, CASE WHEN group_header = '' THEN '' ELSE CASE ord % 6 WHEN 0 THEN concat(group_header, ' / x', CAST(ord % 4 AS VARCHAR)) WHEN 1 THEN concat('NTN / ', group_header) WHEN 2 THEN 'To be assigned by Kim' WHEN 3 THEN lower(group_header)
+    WHEN 4 THEN concat('Top', CAST(ord % 5 AS VARCHAR), ' / y') ELSE group_header END END AS g FROM items),
+lab AS (SELECT meeting_id, g, min(ord) AS ord FROM h WHERE g <> '' GROUP BY 1, 2),
+parts AS (SELECT meeting_id, g, unnest(string_split(g, ' / ')) AS p, generate_subscripts(string_split(g, ' / '), 1) AS i FROM lab),
+tops AS (SELECT meeting_id, lower(string_split(g, ' / ')[1]) AS t, count(*) AS n FROM lab GROUP BY 1, 2),
+ex AS (SELECT meeting_id, lower(g) AS k, min(g) AS spelled FROM lab GROUP BY 1, 2),
+known AS (SELECT parts.*, spelled, coalesce(n, 0) AS n FROM parts LEFT JOIN ex ON ex.meeting_id = parts.meeting_id AND ex.k = lower(p) LEFT JOIN tops ON tops.meeting_id = parts.meeting_id AND tops.t = lower(p)),
+pick AS (SELECT meeting_id, g, arg_min(coalesce(spelled, p), CASE WHEN i = 1 AND (spelled IS NOT NULL OR n > 1) THEN 0 WHEN i > 1 AND (spelled IS NOT NULL OR n > 0) THEN i WHEN i = 1 THEN 1000 ELSE 2000 + i END) AS s FROM known GROUP BY 1, 2),
+elected AS (SELECT meeting_id, g, ord, CASE WHEN regexp_matches(g, '(?i)^to be assigned by') THEN 'TBD' ELSE s END AS s FROM pick JOIN lab USING (meeting_id, g))"""
+
+
+def _headed(items):
+    g, m = F.col("group_header"), F.col("ord") % 6
+    some = F.when(m == 0, F.concat(g, F.lit(" / x"), (F.col("ord") % 4).cast("string"))).when(m == 1, F.concat(F.lit("NTN / "), g)).when(m == 2, "To be assigned by Kim").when(m == 3, F.lower(g))
+    some = some.when(m == 4, F.concat(F.lit("Top"), (F.col("ord") % 5).cast("string"), F.lit(" / y"))).otherwise(g)
+    return items.withColumn("group_header", F.when(g == "", "").otherwise(some))
+
+
+@query("f26_label_election", "items", oracle=_ELECT + " SELECT meeting_id, ord, g AS original, s AS simplified FROM elected")
+def f26_election(items):
+    return timeline.elect_groups(_headed(items))
+
+
+@query("f26_j7_simplified_groups", "items", oracle=_ELECT + """,
+several AS (SELECT meeting_id FROM h WHERE g <> '' GROUP BY 1 HAVING count(DISTINCT g) > 1)
+SELECT h.meeting_id, h.ord, coalesce(s, h.g) AS group_header FROM h LEFT JOIN (SELECT elected.* FROM elected JOIN several USING (meeting_id)) e ON e.meeting_id = h.meeting_id AND e.g = h.g""")
+def f26_j7(items):
+    headed = _headed(items)
+    return timeline.apply_group_mapping(headed, timeline.elect_groups(headed)).select("meeting_id", "ord", "group_header")
+
+
+@query("p11_expanded_choice", "items", oracle="WITH f AS (" + A4 + f"""),
+p AS (SELECT *, grp = 'Brand#17' OR grp = '' OR (name || '|' || grp) IN ('small ring|Brand#2', 'red widget|Brand#12') AS picked FROM f),
+a AS (SELECT DISTINCT meeting_id, unnest(string_split(ais, '|')) AS ai FROM p WHERE picked AND ais <> '' UNION SELECT DISTINCT meeting_id, '8.3' FROM p),
+la AS (SELECT meeting_id, list(ai) AS act FROM a GROUP BY 1),
+c AS (SELECT i.*, f.ais AS all_ais, f.has_no_ai, p.picked, act, {AIS} AS l FROM items i JOIN f ON f.meeting_id = i.meeting_id AND f.name = i.name AND f.grp = coalesce(group_header, '') JOIN p ON p.meeting_id = i.meeting_id AND p.name = i.name AND p.grp = f.grp JOIN la ON la.meeting_id = i.meeting_id)
+SELECT ord FROM c WHERE (picked AND all_ais = '') OR (all_ais <> '' AND len(list_filter(string_split(all_ais, '|'), lambda x: NOT list_contains(act, x))) = 0 AND (NOT has_no_ai OR picked))
+  OR list_has_any(l, act) OR (len(l) = 0 AND picked AND has_no_ai)""")
+def p11_expanded(items):
+    return layout.apply_facets(items, ["8.3"], [], [], groups=["Brand#17", "__other__"], session_keys=["small ring|Brand#2", "red widget|Brand#12"]).select("ord")

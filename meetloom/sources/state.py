@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE = "struct<folder:string,name:string,uploaded_at:string>"
@@ -55,3 +58,47 @@ def read_slot_results(results: DataFrame, text: str = "result") -> DataFrame:
 def write_schedule(sessions: DataFrame, path: str, key: str = "meeting_id") -> None:
     """Sessions as Parquet, a folder per meeting (S8); meetings written again replace themselves."""
     sessions.repartition(key).sortWithinPartitions(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def _commits(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
+    schema = f"{key} {kind}, version long"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/commits")
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def publish(tables: dict[str, DataFrame], path: str, key: str = "meeting_id", then: Callable[[], None] | None = None) -> int:
+    """Publishes several tables of the same meetings together (S8); returns the version.
+
+    Every table is written under the new version first, then one file with its meetings, which
+    makes the version count: readers see all of a meeting's tables in one version, or still
+    the one before. What an interrupted version left is overwritten by the next. A meeting
+    that is published again replaces itself in all tables, also in those where it has no rows
+    any more. `then` is run after all, such as to store the state that the schedule came from.
+    One job publishes to a path at a time.
+    """
+    first = next(iter(tables.values()))
+    spark, kind = first.sparkSession, first.schema[key].dataType.simpleString()
+    last = _commits(spark, path, key, kind).agg(F.max("version")).first()[0]
+    version = 0 if last is None else last + 1
+    for name, table in tables.items():
+        table.repartition(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+    meetings = [spark.read.schema(f"{key} {kind}").parquet(f"{path}/{name}/version={version}") for name in tables]
+    every = meetings[0]
+    for more in meetings[1:]:
+        every = every.unionByName(more)
+    every.distinct().coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/version={version}")  # one file: all or none
+    if then:
+        then()
+    return version
+
+
+def read_published(spark: SparkSession, path: str, name: str, key: str = "meeting_id") -> DataFrame:
+    """A published table: each meeting's rows of its last version."""
+    table = spark.read.parquet(f"{path}/{name}")
+    commits = _commits(spark, path, key, table.schema[key].dataType.simpleString())
+    current = commits.groupBy(key).agg(F.max("version").alias("version"))
+    return table.join(current, [key, "version"]).drop("version")
