@@ -9,9 +9,9 @@ part (one word shorter) may be frequent: a bit table of at most BITS_WORDS words
 which only errs by letting through; with very many frequent phrases it saves less, and
 counts stay exact.
 
-What phrases ask of their parts and words is told by a broadcast of the most frequent ones
-(over 1/HEAD of all occurrences, so a bounded number) and by a shuffle for the others, whose
-askers are few for the same reason.
+What blocks and phrases ask of words and parts is told by a broadcast of the most frequent
+ones (HEAD at most) and by a shuffle for the others, whose askers are few: none of them has
+more than one in HEAD of all occurrences.
 
 Defined cases: null and empty texts have no words; a null lang is `und`; repeated rows count
 as often as they stand; an empty table gives an empty result; other columns are ignored.
@@ -31,12 +31,14 @@ from .quotient_filter import Packing, counted, decode, encode
 
 LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 UNKNOWN = "und"
-BLOCK = 1 << 20  # tokens of a block, one document more at most
+BLOCK = 1 << 19  # tokens of a block, one document more at most
+FILE_BLOCKS = 16  # a reader holds a file's blocks at once
+BATCH_BYTES = 8 << 20
 SLICE = 1 << 22  # bytes that are split into tokens at once
-FILTER = 1 << 22  # n-grams that a task holds before it emits its filters
+FILTER = 1 << 21  # n-grams that a task holds before it emits its filters
 SHARD = 1 << 21  # tokens of the corpus for each shard
 BITS_WORDS = 1 << 21  # 64-bit words: 16 MB
-HEAD = 20_000
+HEAD = 100_000
 HEAD_BYTES = 64  # longer words are never broadcast
 TOP_ROWS = 200_000
 #: Lower case, all that ends a piece as a full stop, and tab as space.
@@ -114,16 +116,26 @@ def blocks_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
             yield block.row(number)
 
     bounded_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # rows are whole blocks
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)), F.col(text).cast("binary").alias("text")).where("octet_length(text) > 0")
     return rows.mapInArrow(run, "block long, words array<struct<lang string, word string, n long>>, ids binary")
 
 
-def told(rows: DataFrame, on: str, table: DataFrame, share: Column, head: Column | None = None) -> DataFrame:
-    """rows with the columns of table (a row for each value of on), inner; share is a row's part of all occurrences.
+def told(rows: DataFrame, on: str, table: DataFrame, count: str, may_lead: Column | None = None) -> DataFrame:
+    """rows with the columns of table (a row for each value of on), inner.
 
-    What takes over 1/HEAD of them is broadcast; head can keep rows from that.
+    The rows of table with the largest counts are broadcast, HEAD at most; may_lead can keep
+    rows from that.
     """
-    is_head = (share > 1 / HEAD) & (F.lit(True) if head is None else head)
+    lead = F.lit(True) if may_lead is None else may_lead
+    sizes = table.where(lead).groupBy(F.floor(F.log2(count)).cast("int").alias("power")).agg(F.count("*").alias("rows")).collect()  # a row per power of two
+    least, some = 64, 0
+    for power, size in sorted(map(tuple, sizes), reverse=True):
+        some += size
+        if some > HEAD:
+            break
+        least = power
+    is_head = (F.floor(F.log2(count)) >= least) & lead
     hot = table.where(is_head).select(on, F.struct(*[c for c in table.columns if c != on]).alias("__hot"))
     rows = rows.join(F.broadcast(hot), on, "left")
     names = [c for c in rows.columns if c != "__hot"]
@@ -142,27 +154,38 @@ def vocabulary(blocks: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     offsets = words.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     words = words.join(F.broadcast(offsets), "part")  # a row per partition
     words = words.select("lang", "word", "f", (F.col("offset") + F.col("row") + 1).alias("id"))
-    return cut(told(words, "lang", totals, F.col("n") / F.lit(float(max(total, 1))))), total
+    return cut(told(words, "lang", totals, "n", F.octet_length("lang") <= HEAD_BYTES)), total
 
 
-def encoded(blocks: DataFrame, words: DataFrame, total: int) -> DataFrame:
+def encoded(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """The blocks' ids as those of the vocabulary, 0 for rare words and between pieces, 64 bits each where 32 don't do."""
     asked = blocks.select("block", F.posexplode("words").alias("at", "w")).select("block", "at", F.struct("w.lang", "w.word").alias("w"))
     table = words.select(F.struct("lang", "word").alias("w"), "id", "f")
-    known = told(asked, "w", table, F.col("f") / F.lit(float(max(total, 1))), F.octet_length("w.word") <= HEAD_BYTES)
-    tables = known.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("known"))  # of a block's dictionary
+    known = told(asked, "w", table, "f", F.octet_length("w.word") + F.octet_length("w.lang") <= HEAD_BYTES)
     size = (words.agg(F.max("id")).first()[0] or 0).bit_length()
     kind = np.int32 if size < 32 else np.int64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # what is known of the block to come
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, (at, own) = np.frombuffer(batch.column(0)[i].as_buffer(), np.int32), batch.column(1)[i].values.flatten()
-                table = np.zeros(int(ids.max(initial=0)) + 1, kind)
-                table[at.to_numpy() + 1] = own.to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([table[ids].tobytes()], pa.binary())], names=["ids"])
-
-    return blocks.select("block", "ids").join(tables, "block").select("ids", "known").mapInArrow(run, "ids binary")
+            places, ids, blobs = batch.columns
+            ends = np.flatnonzero(blobs.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            start = 0
+            for end in [*ends, batch.num_rows]:
+                parts.append((places.slice(start, end - start).to_numpy(zero_copy_only=False), ids.slice(start, end - start).to_numpy(zero_copy_only=False)))
+                start = end + 1
+                if end < batch.num_rows:
+                    local = np.frombuffer(blobs[end].as_buffer(), np.int32)
+                    table = np.zeros(int(local.max(initial=0)) + 1, kind)
+                    for at, id_ in parts:
+                        table[at.astype(np.int64) + 1] = id_
+                    parts = []
+                    yield pa.RecordBatch.from_arrays([pa.array([table[local].tobytes()], pa.binary())], names=["ids"])
+
+    # a block comes after the identifiers of its words
+    rows = known.select("block", F.lit(False).alias("whole"), "at", "id", F.lit(None).cast("binary").alias("ids"))
+    rows = rows.unionByName(blocks.select("block", F.lit(True).alias("whole"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("id"), "ids"))
+    return rows.repartition("block").sortWithinPartitions("block", "whole").select("at", "id", "ids").mapInArrow(run, "ids binary")
 
 
 def _windows(packing: Packing, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -193,7 +216,9 @@ def frequent(ids: DataFrame, packing: Packing, shorter: np.ndarray | None, total
         held: list[list[np.ndarray]] = []
 
         def whole() -> Iterator[pa.RecordBatch]:
-            words, counts = counted([np.concatenate(w) for w in zip(*held, strict=True)])
+            words = [np.concatenate(w) for w in zip(*held, strict=True)]
+            held.clear()
+            words, counts = counted(words)
             for shard, data in encode(packing, words, counts, shard_bits):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], names=["shard", "filter"])
 
@@ -210,7 +235,7 @@ def frequent(ids: DataFrame, packing: Packing, shorter: np.ndarray | None, total
                 size += len(words[0])
                 if size >= FILTER:
                     yield from whole()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from whole()
 
@@ -256,11 +281,11 @@ def bits_of(phrases: DataFrame, n: int) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, int]:
-    """The frequent words, (ids, f) of the frequent phrases of two to longest words, and how many words stand in all texts."""
-    blocks = stage_table(blocks_of(docs, text, lang), "blocks")
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """The frequent words, and (ids, f) of the frequent phrases of two to longest words."""
+    blocks = stage_table(blocks_of(docs, text, lang), "blocks", FILE_BLOCKS)
     words, total = vocabulary(blocks, least)
-    ids = stage_table(encoded(blocks, words, total), "ids")
+    ids = stage_table(encoded(blocks, words), "ids", FILE_BLOCKS)
     bits = max(1, (words.agg(F.max("id")).first()[0] or 0).bit_length())
     found, shorter = [], None
     for n in range(2, longest + 1):
@@ -272,7 +297,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
-    return words, phrases.select("ids", "f"), total
+    return words, phrases.select("ids", "f")
 
 
 def first_of(rows: DataFrame, group: str, order: list[Column], n: int, size: int) -> DataFrame:
@@ -291,18 +316,17 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     A phrase goes if a longer one around it has covered per cent of its occurrences. It is
     enough to look at those one word longer: one in between is no rarer than the longest.
     """
-    words, phrases, total = frequent_phrases(docs, text, lang, least, longest)
-    share = F.col("f") / F.lit(float(max(total, 1)))
+    words, phrases = frequent_phrases(docs, text, lang, least, longest)
     parts = words.select(F.array("id").alias("ids"), "f").unionByName(phrases)
     size = F.size("ids")
     cuts = phrases.select("ids", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("cut"))
     cuts = cuts.select("ids", "a", "cut", F.slice("ids", F.lit(1), F.col("cut")).alias("left"), F.slice("ids", F.col("cut") + 1, size - F.col("cut")).alias("right"))
 
-    def of(side: str, count: str) -> tuple[str, DataFrame, Column]:
-        return side, parts.select(F.col("ids").alias(side), F.col("f").alias(count)), F.col(count) / F.lit(float(max(total, 1)))
+    def of(side: str, count: str) -> tuple[str, DataFrame, str]:
+        return side, parts.select(F.col("ids").alias(side), F.col("f").alias(count)), count
 
     cuts = cut(told(told(cuts, *of("left", "l")), *of("right", "r")))
-    of_first = told(phrases.select("ids", "f", F.element_at("ids", 1).alias("id")), "id", words.select("id", "lang", "n", F.col("f").alias("own")), F.col("own") / F.lit(float(max(total, 1))), F.octet_length("lang") <= HEAD_BYTES)
+    of_first = told(phrases.select("ids", "f", F.element_at("ids", 1).alias("id")), "id", words.select("id", "lang", "n", F.col("f").alias("own")), "own", F.octet_length("lang") <= HEAD_BYTES)
     longer = F.size("ids") > 2
     begins = cuts.where(longer & (F.col("cut") == F.size("ids") - 1) & (F.col("a") * 100 >= F.col("l") * covered)).select(F.col("left").alias("ids"))
     ends = cuts.where(longer & (F.col("cut") == 1) & (F.col("a") * 100 >= F.col("r") * covered)).select(F.col("right").alias("ids"))
@@ -310,7 +334,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     scored = cuts.join(kept, "ids").withColumn("score", F.expr("cast(cast(1000 * a as decimal(19,0)) * cast(n as decimal(18,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(18,0))) as long)"))
     best = scored.groupBy("ids", "lang", "n", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
     best = cut(best.select("ids", "lang", "a", "c.l", "c.r", "n", "c.score"))
-    texts = told(best.select("ids", F.posexplode("ids").alias("at", "id")), "id", words.select("id", "word", "f"), share, F.octet_length("word") <= HEAD_BYTES)
+    texts = told(best.select("ids", F.posexplode("ids").alias("at", "id")), "id", words.select("id", "word", "f"), "f", F.octet_length("word") <= HEAD_BYTES)
     texts = texts.groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     rows = best.join(texts, "ids")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]

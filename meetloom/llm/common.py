@@ -69,10 +69,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again."""
+def stage_table(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again; with so many rows a file at most, where rows are large."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -83,14 +83,18 @@ class Packing:
 
 
 def counted(words: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct n-grams in order, with how often they stand or the sums of their counts."""
+    """The distinct n-grams in order, with how often they stand or the sums of their counts; may sort words in place."""
+    if len(words) == 1 and counts is None:
+        words[0].sort()
+        starts = np.flatnonzero(np.concatenate([[True], words[0][1:] != words[0][:-1]])) if len(words[0]) else np.zeros(0, np.int64)
+        return [words[0][starts]], np.diff(np.append(starts, len(words[0]))) if len(starts) else np.zeros(0, np.int64)
     order = np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words[::-1])
     words = [w[order] for w in words]
     if not len(order):
         return words, np.zeros(0, np.int64)
     new = np.concatenate([[True], np.logical_or.reduce([w[1:] != w[:-1] for w in words])])
     starts = np.flatnonzero(new)
-    sums = np.diff([*starts, len(order)]) if counts is None else np.add.reduceat(counts[order], starts)
+    sums = np.diff(np.append(starts, len(order))) if counts is None else np.add.reduceat(counts[order], starts)
     return [w[starts] for w in words], sums.astype(np.int64)
 
 
