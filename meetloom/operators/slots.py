@@ -21,7 +21,7 @@ def _indices() -> Column:
 
 
 def room_labels(cells: DataFrame, rooms: DataFrame) -> DataFrame:
-    """cells with room_label (J3): their rooms' names in order; by index where no room is known.
+    """cells with room_label (J3): their rooms' names in order; by index where no room is known; and the names of the day's main rooms (main_rooms).
 
     rooms has (meeting_id, source, day, table_index, room_idx, pos, name). Those of a day are
     few and come to its cells as one array, so cells are dealt by meeting and day, as later
@@ -34,11 +34,12 @@ def room_labels(cells: DataFrame, rooms: DataFrame) -> DataFrame:
     none = F.concat(F.lit("Room ["), _indices(), F.lit("]"))
     unknown = F.concat(F.lit("Table "), F.col("table_index").cast("string"), F.lit(" "), none)
     label = F.when(F.col("__rooms").isNull() | (F.size(here) == 0), none).when(F.size(own) == 0, unknown).otherwise(names)
-    return cells.join(listed, DAY, "left").select(*cells.columns, label.alias("room_label"))
+    main = F.transform(F.filter("__rooms", lambda r: r["source"] == 0), lambda r: r["name"])
+    return cells.join(listed, DAY, "left").select(*cells.columns, label.alias("room_label"), main.alias("main_rooms"))
 
 
-def merge_slots(labelled: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Entries of every slot that the main schedule has, in order.
+def merge_slots(labelled: DataFrame) -> DataFrame:
+    """Entries of every slot that the main schedule has, in order (J4, J5, J6), of cells with room_label and main_rooms.
 
     Detail cells whose text the main schedule has in the slot are dropped; a detail label that
     is one of the day's main rooms gets the person in front.
@@ -46,12 +47,11 @@ def merge_slots(labelled: DataFrame, rooms: DataFrame) -> DataFrame:
     text, is_main = T.strip(F.col("text")), F.col("source") == 0
     slot, same = Window.partitionBy(*SLOT), Window.partitionBy(*SLOT, "__text")
     marked = labelled.withColumn("__text", text).withColumns({"__slot": F.bool_or(is_main).over(slot), "__known": F.bool_or(is_main).over(same) & F.col("__text").isNotNull()})
-    names = rooms.where("source = 0").groupBy(*DAY).agg(F.collect_set("name").alias("__main"))
-    kept = marked.where(is_main | (F.col("__slot") & ~F.col("__known"))).join(names, DAY, "left")
-    prefixed = ~is_main & F.coalesce(F.array_contains("__main", F.col("room_label")), F.lit(False))
+    kept = marked.where(is_main | (F.col("__slot") & ~F.col("__known")))
+    prefixed = ~is_main & F.coalesce(F.array_contains("main_rooms", F.col("room_label")), F.lit(False))
     kept = kept.withColumn("room_label", F.when(prefixed, F.concat("person", F.lit(": "), "room_label")).otherwise(F.col("room_label")))
     label = F.when(is_main, "Main Schedule").otherwise(F.concat("person", F.lit("'s schedule")))
-    return kept.select(*labelled.columns, label.alias("source_label"))
+    return kept.select(*[c for c in labelled.columns if c != "main_rooms"], label.alias("source_label"))
 
 
 def slots(entries: DataFrame) -> DataFrame:
@@ -154,6 +154,24 @@ def alias_map(aliases: DataFrame, keys: list[str]) -> DataFrame:
     return last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("aliases"))
 
 
+def day_rooms(rooms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rooms, aliases): each day's room names in order of pos, and its map of names to aliases, of one pass over the rooms.
+
+    The aliases are those of W4 as `alias_map` has them; a day's rooms are few.
+    """
+    days = rooms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("table_index", "pos", "name"))).alias("r"))
+    n_online = F.size(F.filter("r", lambda x: x["table_index"] == F.col("r")[0]["table_index"]))
+
+    def alias(x: Column, i: Column) -> Column:
+        number = F.when(i >= n_online, F.concat(F.lit("RAN1_off"), (i - n_online + 1).cast("string")))
+        return F.struct(x["name"].alias("name"), number.when(i == 0, "RAN1_main").otherwise(F.concat(F.lit("RAN1_brk"), i.cast("string"))).alias("alias"))
+
+    days = days.withColumn("a", F.transform("r", alias))
+    last = F.filter("a", lambda x, i: ~F.exists(F.slice("a", i + 2, F.size("a")), lambda y: y["name"] == x["name"]))
+    in_order = F.transform(F.array_sort(F.transform("r", lambda x: F.struct(x["pos"], x["name"]))), lambda x: x["name"])
+    return days.select(*keys, in_order.alias("rooms"), F.map_from_entries(last).alias("aliases"))
+
+
 def multi_room_label(room_names: Column, online: Column, all_rooms: Column) -> Column:
     """Label of a cell's rooms (F27): every room, all online ones, or their names."""
     every = (F.size(all_rooms) > 1) & (F.size(F.array_except(all_rooms, room_names)) == 0)

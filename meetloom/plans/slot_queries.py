@@ -33,7 +33,7 @@ def _source_rooms(rooms: DataFrame) -> DataFrame:
 
 def _merged(cells: DataFrame, rooms: DataFrame) -> DataFrame:
     own = _source_rooms(rooms)
-    return slots.merge_slots(slots.room_labels(cells, own), own)
+    return slots.merge_slots(slots.room_labels(cells, own))
 
 
 @query("j3_room_label_of_cell", "slot_cells", "rooms", oracle=f"WITH {J3} SELECT ord, room_label FROM l")
@@ -121,17 +121,19 @@ na AS (SELECT meeting_id, day, name, arg_max(alias, rn) AS alias, min(rn) AS rn
 
 
 def _repeated(rooms: DataFrame) -> DataFrame:
-    columns = ["meeting_id", "day", "table_index", "pos", "name"]
-    days = rooms.select("meeting_id", "day").distinct()
+    columns = ["table_index", "pos", "name"]
+    kind = "array<struct<table_index:int,pos:int,name:string>>"
 
-    def more(where: str, table: int, pos, name) -> DataFrame:
-        return days.where(where).select("meeting_id", "day", F.lit(table).alias("table_index"), pos, name)
+    def room(table: int, pos, name) -> F.Column:
+        return F.struct(F.lit(table).alias("table_index"), pos.alias("pos"), name.alias("name"))
 
-    k = F.explode(F.sequence(F.lit(0), F.lit(10)))
-    many = more("meeting_id % 4 = 0", 0, k.alias("pos"), F.lit("").alias("name")).withColumns({"name": F.concat(F.lit("B"), F.col("pos").cast("string")), "pos": F.col("pos") + 10})
-    out = rooms.select(*columns).unionByName(many)
-    out = out.unionByName(more("meeting_id % 3 = 0", 9, F.lit(90).alias("pos"), F.lit("F1+F2").alias("name")))
-    return out.unionByName(more("meeting_id % 4 = 0", 8, F.lit(80).alias("pos"), F.lit("B9").alias("name")))
+    many = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: room(0, k + 10, F.concat(F.lit("B"), k.cast("string"))))
+    more = F.concat(
+        F.when(F.col("meeting_id") % 4 == 0, F.concat(many, F.array(room(8, F.lit(80), F.lit("B9"))))).otherwise(F.array().cast(kind)),
+        F.when(F.col("meeting_id") % 3 == 0, F.array(room(9, F.lit(90), F.lit("F1+F2")))).otherwise(F.array().cast(kind)),
+    )
+    days = rooms.groupBy("meeting_id", "day").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    return days.select("meeting_id", "day", F.inline(F.concat("r", more)))
 
 
 @query("w4_room_aliases", "rooms", oracle=f"""WITH {W4}
@@ -165,11 +167,8 @@ def f16(cells, rooms):
 
 
 def _payload(cells: DataFrame, rooms: DataFrame) -> DataFrame:
-    keys = ["meeting_id", "day"]
-    every = _repeated(rooms)
-    maps = slots.alias_map(slots.room_aliases(every, keys), keys)
-    names = every.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda r: r["name"]).alias("rooms"))
-    return slots.slot_payload(slots.slots(_merged(cells, rooms)), names.join(maps, keys))
+    days = slots.day_rooms(_repeated(rooms), ["meeting_id", "day"])
+    return slots.slot_payload(slots.slots(_merged(cells, rooms)), days)
 
 
 F18 = f"""WITH {MERGED}, {W4},

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 @pytest.mark.parametrize(
     ("name", "shuffles", "scans"),
-    [("w2_p8_assign_rooms", 2, 1), ("a3_actual_rooms_per_day", 2, 1), ("w7_table_column_colors", 2, 1), ("j12_match_rooms_by_color", 4, 2), ("w8_generic_room_names", 6, 4), ("u7_discover_sources", 2, 1), ("j4_j6_merge_slots", 9, 3), ("f18_slot_payload", 12, 9), ("j9_fill_group_by_substring", 4, 2), ("j10_room_columns", 10, 5), ("u2_dedup_sources", 1, 1)],
+    [("w2_p8_assign_rooms", 2, 1), ("a3_actual_rooms_per_day", 2, 1), ("w7_table_column_colors", 2, 1), ("j12_match_rooms_by_color", 4, 2), ("w8_generic_room_names", 6, 4), ("u7_discover_sources", 2, 1), ("j4_j6_merge_slots", 4, 2), ("f18_slot_payload", 5, 2), ("j9_fill_group_by_substring", 4, 2), ("j10_room_columns", 7, 3), ("s5_text_box_labels", 4, 1), ("u2_dedup_sources", 1, 1)],
 )
 def test_shuffles(spark, name, shuffles, scans):
     """One of the grid's shuffles makes the cells themselves from the given table."""
