@@ -4,8 +4,10 @@ A byte goes if some 50-byte string covering it also starts in a document with a
 identifier. Every 50-byte window is assigned to its minimizer, an 18-byte anchor, and equal
 windows have equal anchors at equal offsets, so the corpus falls into buckets by anchor:
 
-1. documents are packed into compressed blocks; every block tells each bucket which
-   anchors it has (five bytes each), and learns which of them other documents have too;
+1. documents are packed into compressed blocks; a task looks CHUNK blocks through for anchors
+   that several documents have, and tells these to their buckets once for all of them; of
+   the others every block tells each bucket which it has (five bytes each), and learns which
+   of them other documents have too;
 2. of those, the block sends the bytes around each anchor that its windows need, once for
    every different context;
 3. a bucket sorts the suffixes of its contexts at the window starts: a mergesort that
@@ -14,8 +16,8 @@ windows have equal anchors at equal offsets, so the corpus falls into buckets by
    byte by byte and become one class with its smallest identifier;
 4. a bit per window goes back to the blocks, which mark and remove.
 
-Hot passages stay cheap: a block sends equal contexts once and the merge folds equal
-suffixes as it goes. Nothing is proportional to the square of a group. Where the contexts of a
+Hot passages stay cheap: in the first step they take a row per chunk, a block sends equal
+contexts once, and the merge folds equal suffixes as it goes. Nothing is proportional to the square of a group. Where the contexts of a
 bucket are too many for a task (HOT anchors), the blocks are dealt into parts; each part sorts
 its own contexts and passes on one window of every class, which is dealt by its own hash and
 sorted again, so neither a passage nor an anchor that is in every document meets in one task
@@ -44,6 +46,7 @@ ANCHOR = 18
 BLOCK_BYTES = 1 << 20
 BUCKET_BYTES = 6 << 20  # text bytes a bucket stands for at most
 HOT = 500_000  # anchors shared by documents, with those of every block counted, that one task sorts
+CHUNK = 32  # blocks that a task looks through together for anchors they share
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -321,11 +324,44 @@ def _bits(answers: tuple, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     return {b: np.unpackbits(np.frombuffer(given[b], np.uint8), count=n).astype(bool) if b in given else np.zeros(n, bool) for b, n in sizes.items()}
 
 
+def _words(prints: np.ndarray, several: np.ndarray | int) -> np.ndarray:
+    """Five bytes for each print and flag."""
+    return (prints << np.uint64(1) | np.uint64(several)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _chunk_rows(chunk: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """What the blocks of a chunk (block_id, prints, buckets, several) tell.
+
+    Each block's bits of the anchors that several documents of the chunk have (under a bucket
+    of its own, below 0); these anchors once for the whole chunk (under a block below 0), the
+    last word of a row being how often they stand in its blocks; and each block's others.
+    """
+    keys = [bucket.astype(np.uint64) << np.uint64(39) | prints for _, prints, bucket, _ in chunk]
+    kinds, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    known = times > 1
+    known[place[np.concatenate([several for *_, several in chunk])]] = True
+    edges = np.cumsum([0, *map(len, keys)])
+    for (block_id, prints, bucket, _), a, b in zip(chunk, edges[:-1], edges[1:], strict=True):
+        mine = known[place[a:b]]
+        rows = [(-1 - block_id, block_id, np.packbits(mine).tobytes())] if mine.any() else []
+        left = np.flatnonzero(~mine)
+        words = _words(prints[left], 0)
+        yield _answer([*rows, *((k, block_id, words[part].tobytes()) for k, part in _by_bucket(bucket[left]))])
+    kinds, times = kinds[known], times[known]
+    words = _words(kinds & np.uint64((1 << 39) - 1), 1)
+    rows = []
+    for k, part in _by_bucket((kinds >> np.uint64(39)).astype(np.int64)):
+        rows.append((k, -1 - chunk[0][0], words[part].tobytes() + int(times[part].sum()).to_bytes(5, "little")))
+    yield _answer(rows)
+
+
 def _shared(block: Block, bits: int, answers: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the anchors that another document has too, and their buckets."""
     _, bucket, _, place = block.told(bits)
-    parts = dict(_by_bucket(bucket))
-    flags = np.zeros(len(bucket), bool)
+    own = [p for b, p in zip(*(x or [] for x in answers), strict=True) if b < 0]
+    flags = np.unpackbits(np.frombuffer(own[0], np.uint8), count=len(bucket)).astype(bool) if own else np.zeros(len(bucket), bool)
+    left = np.flatnonzero(~flags)
+    parts = {b: left[p] for b, p in _by_bucket(bucket[left])}
     for b, given in _bits(answers, {b: len(p) for b, p in parts.items()}).items():
         flags[parts[b]] = given
     shared = np.flatnonzero(flags[place])
@@ -340,26 +376,39 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     bits = max(1, (max(shuffle_partitions(spark), -(-n_blocks * BLOCK_BYTES // BUCKET_BYTES)) - 1).bit_length())
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for block_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                prints, bucket, several, _ = Block(blob, span).told(bits)
-                words = (prints << np.uint64(1) | several.astype(np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                yield _answer([(b, block_id, words[part].tobytes()) for b, part in _by_bucket(bucket)])
+            for block_id, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunk.append((block_id, *Block(blob.as_py(), span).told(bits)[:3]))
+                if len(chunk) == CHUNK:
+                    yield from _chunk_rows(chunk)
+                    chunk = []
+        if chunk:
+            yield from _chunk_rows(chunk)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _rows_by_bucket(batches):
+            if bucket < 0:  # what a block knows already
+                yield pa.RecordBatch.from_arrays([*rows.combine_chunks().to_batches()[0].columns, pa.array([0], pa.int64())], names=["bucket", "block_id", "payload", "n"])
+                continue
             ids, payload = rows.column(1).to_numpy(), rows.column(2).combine_chunks()
             ends = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64)
             words = np.zeros(((ends[-1] - ends[0]) // 5, 8), np.uint8)
             words[:, :5] = np.frombuffer(payload.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 5)
             words = words.view("<u8").ravel()
+            ends = (ends - ends[0]) // 5
+            chunks = np.flatnonzero(ids < 0)
+            known = int(words[ends[chunks + 1] - 1].sum())
+            if known:
+                yield pa.RecordBatch.from_arrays([*_answer([(bucket, -1, b"")]).columns, pa.array([known], pa.int64())], names=["bucket", "block_id", "payload", "n"])
+            words[ends[chunks + 1] - 1] = np.uint64((1 << 40) - 1)  # the counts stand for no anchor
             kinds, place, times = np.unique(words >> np.uint64(1), return_inverse=True, return_counts=True)
             several = times > 1
             several[place[(words & np.uint64(1)).astype(bool)]] = True
-            found, ends = several[place], (ends - ends[0]) // 5
+            found = several[place]
             for at in range(0, len(ids), 10_000):
                 mine = [(i, found[a:b]) for i, a, b in zip(ids[at : at + 10_000].tolist(), ends[at:-1].tolist(), ends[at + 1 :].tolist(), strict=False)]
-                out = [(bucket, i, np.packbits(f).tobytes(), int(f.sum())) for i, f in mine if f.any()]
+                out = [(bucket, i, np.packbits(f).tobytes(), int(f.sum())) for i, f in mine if i >= 0 and f.any()]
                 yield pa.RecordBatch.from_arrays([*_answer([r[:3] for r in out]).columns, pa.array([r[3] for r in out], pa.int64())], names=["bucket", "block_id", "payload", "n"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,9 +474,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                 first_bits, second_bits = (([r["bucket"] for r in x], [r["payload"] for r in x]) if x else (None, None) for x in answers)
                 yield _removed(Block(blob, span), bits, first_bits, second_bits, span)
 
-    told = cut(_dealt(stored.mapInArrow(tell, ROWS)).mapInArrow(ask, f"{ROWS}, n long"))
+    answered = cut(_dealt(stored.mapInArrow(tell, ROWS)).mapInArrow(ask, f"{ROWS}, n long"))
+    told = answered.where("block_id >= 0")
     sent = _to_blocks(stored, told).mapInArrow(send, ROWS)
-    sizes = told.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    sizes = answered.where("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
     if sizes.limit(1).count():
         parts = F.ceil(F.col("n") * 2 / HOT)
         first = F.xxhash64("bucket", F.lit(0)).bitwiseAND(F.lit((1 << 40) - 1)) * (1 << 20) + (1 << 60)  # apart from the buckets themselves

@@ -158,11 +158,12 @@ def test_suffix_sort_removal(docs, no_docs, corpus):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 40, 400])
-def test_hot_buckets_in_parts(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "chunk"), [(1, 32), (40, 3), (400, 1)])
+def test_hot_buckets_in_parts(spark, monkeypatch, hot, chunk):
     """One passage in every document, one anchor in ever other surroundings, and small blocks: parts of hot buckets against brute force."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     rng = np.random.default_rng(4)
     passage, anchor = "a passage that stands in every single document of this corpus, word for word", "common eighteen by"
 
@@ -176,6 +177,25 @@ def test_hot_buckets_in_parts(spark, monkeypatch, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == want
 
 
+def test_a_hot_anchor_takes_a_row_a_chunk():
+    """An anchor of every block reaches its bucket once for all blocks of a chunk; the others once a block."""
+    rng = np.random.default_rng(3)
+    hot = np.arange(7, dtype=np.uint64)
+    chunk = []
+    for i in range(20):
+        prints = np.concatenate([hot, rng.integers(1000, 1 << 39, 50, dtype=np.uint64)])
+        chunk.append((i, prints, np.concatenate([np.full(7, 5), rng.integers(0, 8, 50)]), np.zeros(57, bool)))
+    chunk[4][3][30] = True  # several documents of one block
+    rows = [r for batch in suffix_dedup._chunk_rows(chunk) for r in batch.to_pylist()]
+    known = [r for r in rows if r["bucket"] < 0]
+    assert {r["block_id"] for r in known} == set(range(20)) and all(r["bucket"] == -1 - r["block_id"] for r in known)
+    assert sum(np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=57).sum() for r in known) == 20 * 7 + 1
+    of_chunk = [r for r in rows if r["block_id"] < 0]
+    assert sum(len(r["payload"]) // 5 - 1 for r in of_chunk) == 8
+    assert sum(int.from_bytes(r["payload"][-5:], "little") for r in of_chunk) == 20 * 7 + 1
+    assert sum(len(r["payload"]) // 5 for r in rows if r["bucket"] >= 0 and r["block_id"] >= 0) == 20 * 50 - 1
+
+
 def test_suffix_classes_against_sets():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
