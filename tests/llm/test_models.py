@@ -150,6 +150,33 @@ def test_obfuscated_cases_are_found(spark):
     assert sum(len(found[i].spans) for i in clean) <= 0.01 * len(clean)
 
 
+def test_forms_that_training_never_makes(spark):
+    """Written-out data in forms other than those that training rewrites base spans to."""
+    rng = random.Random(12)
+    rows, hidden, clean = [], {}, set()
+    for i in range(1500):
+        name, host, q = f"{rng.choice(['ann', 'bo.lee', 'kim_x'])}{i}", f"host{i % 37}", [rng.randrange(1, 250) for _ in range(4)]
+        number = f"4{rng.randrange(10**14):014d}"
+        card = next(number + d for d in "0123456789" if pii.luhn(number + d))
+        if i % 10 == 0:
+            text, what = (
+                (f"{name} [at] {host} dot org", "email"), (f"{name}@{host} dot example dot org", "email"), (f"{name} (at) {host} [dot] net", "email"), (f"{name}(at){host}(dot)net", "email"),
+                (f"{q[0]}.{q[1]}[.]{q[2]} dot {q[3]}", "ip"), ("[dot]".join(map(str, q)), "ip"), (". ".join(card[j : j + 4] for j in (0, 4, 8, 12)), "card"), (f"{card[:6]}_{card[6:12]}/{card[12:]}", "card"),
+            )[i // 10 % 8]
+            before = {"email": "mail ", "ip": "server ", "card": "card no "}[what]
+            hidden[i] = (what, len(before), len(before) + len(text))
+            rows.append((i, f"{before}{text} for more"))
+        elif i % 10 < 3:
+            clean.add(i)
+            rows.append((i, f"look at www.{host}.org on 2023-0{1 + i % 9}-11 09.30 or 10 . 20 . {300 + i % 90} . 7, part {rng.randrange(10**6)} of 1.000.000"))
+        else:
+            rows.append((i, f"mail {name}@{host}.example.org or +{i % 9 + 1} {200 + i % 700} 555-{1000 + i % 9000} from {'.'.join(map(str, q))} with card {card}"))
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    hits = [i for i, s in hidden.items() if any((x.kind, x.start, x.end) == s for x in found[i].spans)]
+    assert len(hits) >= 0.9 * len(hidden)
+    assert sum(len(found[i].spans) for i in clean) <= 0.01 * len(clean)
+
+
 def test_spans_taken_against_all_pairs():
     rng = random.Random(2)
     for _ in range(300):
