@@ -71,6 +71,18 @@ def test_run_against_plain_version(spark, docs, corpus, tmp_path):
     assert got == plain_run(corpus)
 
 
+def test_run_on_very_long_texts(spark, tmp_path):
+    """Texts of a megabyte and more: prose, one word, white space, and runs that end tiktoken's pattern matcher."""
+    rng = np.random.default_rng(1)
+    prose = " ".join(f"w{i}" for i in rng.integers(0, 50_000, 200_000))
+    texts = [prose, prose + " end", prose.upper(), "x" * 1_000_000, " " * 600_000, "a" + " \n" * 400_000 + "b", "\t" * 700_000, "plain text of some words", None]
+    rows = [(i, t, "en", "s" if i % 2 else "r", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert got == plain_run(rows)
+
+
 def test_run_on_nothing_and_more_columns(spark, docs, no_docs, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for name, table in (("none", no_docs), ("more", docs.selectExpr("*", "doc_id AS rate", "text AS copy_no"))):
