@@ -17,7 +17,7 @@ def strip(s: Column) -> Column:
 
 def number_key(digits: Column) -> Column:
     """A text that orders as the number that digits write, of any length: its length, then itself without leading zeros."""
-    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    bare = F.ltrim(digits, F.lit("0"))
     return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), F.lit(":"), bare)
 
 

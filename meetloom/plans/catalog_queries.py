@@ -10,7 +10,7 @@ from .registry import query
 
 MEETING = "nullif(lower(concat(nullif(regexp_extract({0}, '(?i)(RAN[0-9]+#[0-9]+)', 1), ''), regexp_extract({0}, '(?i)RAN[0-9]+#[0-9]+[- ]?(bis|e|adhoc)', 1))), '')"
 # digits as a text that orders as their number: the length, then the digits without leading zeros
-NUMBER = "lpad(length(regexp_replace({0}, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || ':' || regexp_replace({0}, '^0+([0-9])', '\\1')"
+NUMBER = "lpad(length(ltrim({0}, '0'))::VARCHAR, 10, '0') || ':' || ltrim({0}, '0')"
 VERSION = "coalesce(" + NUMBER.format("nullif(regexp_extract({0}, '(?i)v([0-9]+)\\.(docx|pptx|pdf|zip)$', 1), '')") + ", '')"
 SCHEDULE = "contains(lower(name), 'schedule')"
 CHAIR = "regexp_matches(name, '(?i)chair(man)?[ _]note')"
