@@ -6,9 +6,11 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,25 +96,30 @@ def build_document(cells: list[dict], boxes: str = "") -> bytes:
     return out.getvalue()
 
 
-def _documents_of(cells: pd.Series) -> pd.Series:
-    return cells.map(lambda rows: build_document([r if isinstance(r, dict) else r.asDict() for r in rows]))
+def _files(cells: DataFrame, boxes: Callable[[int], str] | None = None) -> DataFrame:
+    """Documents of cells, perhaps with text boxes, one at a time: cells come by document, so a task holds those of one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for doc_id, own in groupby(rows, key=lambda row: row["doc_id"]):
+            content = build_document(list(own), boxes(doc_id) if boxes else "")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{doc_id}.docx"]), pa.array([content], pa.binary())], names=["path", "content"])
 
-def _zipped(contents: pd.Series) -> pd.Series:
-    def pack(content: bytes) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w") as archive:
-            for name, data in (("__MACOSX/a.docx", b"x"), ("b.pdf", b"pdf"), ("sub/", b""), ("sub/c.DOCX", content), ("d.docx", b"later")):
-                archive.writestr(name, data)
-        return out.getvalue()
+    return cells.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "path string, content binary")
 
-    return contents.map(pack)
 
-
-def _files(cells: DataFrame) -> DataFrame:
-    columns = ["table_idx", "row_idx", "tc_idx", "grid_span", "v_merge", "fill", "text"]
-    listed = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("cells"))
-    return listed.select(F.concat("doc_id", F.lit(".docx")).alias("path"), F.pandas_udf(_documents_of, "binary")("cells").alias("content"))
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with every second document inside an archive, one at a time."""
+    for batch in batches:
+        for path, content in zip(*batch.columns, strict=True):
+            name, data = path.as_py(), content.as_py()
+            if int(name.split(".")[0]) % 2 == 0:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as archive:
+                    for inner, bytes_ in (("__MACOSX/a.docx", b"x"), ("b.pdf", b"pdf"), ("sub/", b""), ("sub/c.DOCX", data), ("d.docx", b"later")):
+                        archive.writestr(inner, bytes_)
+                name, data = name.replace(".docx", ".zip"), out.getvalue()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["path", "content"])
 
 
 # rows are numbered anew in a document, as are tables
@@ -126,14 +133,10 @@ def s5(cells):
     return documents.table_cells(documents.extract_tables(_files(cells)))
 
 
-def _with_boxes(cells: pd.Series, numbers: pd.Series) -> pd.Series:
-    """Documents with five labels each: by the resolved fill, by the drawn one beside a resolved one that is none, without any, and doubles."""
-
-    def boxes(n: int) -> str:
-        name = f"Room{n % 9}-"
-        return "".join((text_box(name + "0", "123456", "#d5d5d5 [1943]"), text_box(name + "1", "ffd066", "auto"), text_box(name + "2", None, None), text_box(name + "3", "FFFFFF", None), text_box(name + "4", "000000", "#FFFFFF")))
-
-    return pd.Series([build_document([r if isinstance(r, dict) else r.asDict() for r in rows], boxes(n)) for rows, n in zip(cells, numbers, strict=True)])
+def _boxes(n: int) -> str:
+    """A document's five labels: by the resolved fill, by the drawn one beside a resolved one that is none, without any, and doubles."""
+    name = f"Room{n % 9}-"
+    return "".join((text_box(name + "0", "123456", "#d5d5d5 [1943]"), text_box(name + "1", "ffd066", "auto"), text_box(name + "2", None, None), text_box(name + "3", "FFFFFF", None), text_box(name + "4", "000000", "#FFFFFF")))
 
 
 _BOXED = J12.replace("FROM cells", "FROM docs").replace("doc_id % 9", "CAST(replace(doc_id, '.docx', '') AS BIGINT) % 9")
@@ -141,19 +144,14 @@ _BOXED = J12.replace("FROM cells", "FROM docs").replace("doc_id % 9", "CAST(repl
 
 @query("s5_text_box_labels", "cells", oracle=_BOXED.replace("WITH g AS", f"WITH docs AS ({NUMBERED}), g AS", 1) + " SELECT doc_id, table_idx, names FROM j12")
 def s5_boxes(cells):
-    columns = ["table_idx", "row_idx", "tc_idx", "grid_span", "v_merge", "fill", "text"]
-    listed = cells.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("cells"))
-    rows = documents.extract_tables(listed.select(F.concat("doc_id", F.lit(".docx")).alias("path"), F.pandas_udf(_with_boxes, "binary")("cells", "doc_id").alias("content")))
+    rows = documents.extract_tables(_files(cells, _boxes))
     colors = grid.table_column_colors(grid.grid_positions(documents.table_cells(rows)))
     return grid.match_rooms_by_color(colors, documents.box_labels(rows)).withColumn("names", F.array_join("names", ","))
 
 
 @query("s4_resolve_archives", "cells", oracle="SELECT path, name FROM (SELECT DISTINCT concat(doc_id, CASE WHEN doc_id % 2 = 0 THEN '.zip' ELSE '.docx' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'c.DOCX' ELSE concat(doc_id, '.docx') END AS name FROM cells)")
 def s4(cells):
-    files = _files(cells)
-    number = F.regexp_extract("path", r"^(\d+)", 1).cast("int")
-    zips = files.where(number % 2 == 0).select(F.concat(number.cast("string"), F.lit(".zip")).alias("path"), F.pandas_udf(_zipped, "binary")("content").alias("content"))
-    return documents.resolve_archives(zips.unionByName(files.where(number % 2 == 1))).select("path", "name")
+    return documents.resolve_archives(_files(cells).mapInArrow(_zipped, "path string, content binary")).select("path", "name")
 
 
 @query("s6_state_io", "cached", oracle="SELECT inbox_id, folder, name, uploaded_at FROM cached")

@@ -21,6 +21,9 @@ from ..functions import text as T
 #: What opening a damaged or encrypted file raises.
 BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError, OSError, RuntimeError, NotImplementedError)
 
+#: Rows of a document that leave a task together.
+ROWS_AT_ONCE = 4096
+
 # The namespaces of the document format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
@@ -135,13 +138,16 @@ def extract_tables(documents: DataFrame) -> DataFrame:
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), runs, pa.list_(pa.string()))
     names = [c.split()[0] for c in _ROWS.split(", ")]
 
+    def batch_of(path: str, rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), kinds[0]), *(pa.array(c, k) for c, k in zip(columns, kinds[1:], strict=True))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for path, content in zip(*batch.columns, strict=True):
-                out += [(path.as_py(), *row) for row in _opened(document_rows, content.as_py()) or []]
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for path, content in zip(*batch.columns, strict=True):  # a document at a time: its rows take many times its bytes
+                rows = _opened(document_rows, content.as_py()) or []
+                for i in range(0, len(rows), ROWS_AT_ONCE):
+                    yield batch_of(path.as_py(), rows[i : i + ROWS_AT_ONCE])
 
     return documents.select("path", "content").mapInArrow(run, _ROWS)
 
