@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -267,9 +268,11 @@ FROM (SELECT l_orderkey, concat_ws('|', l_partkey % 50, l_returnflag, l_linestat
 
 
 def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' files as documents: names, and whether they have any bytes."""
+    """The tables as documents, be they a file or a folder of part files: names, and whether they have any bytes."""
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", sf_dir).rstrip("/")
     files = documents.read_documents(spark, sf_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled"))
+    name = F.split(F.split("path", rf"\Q{below}/\E", 2)[1], "/")[0]
+    return files.groupBy(name.alias("name")).agg(F.bool_or(F.col("length") > 0).alias("filled"))
 
 
 QUERIES["s3_read_documents"] = s3

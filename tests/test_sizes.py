@@ -58,3 +58,13 @@ def test_documents_are_built_one_at_a_time():
 def test_archives_are_packed_one_at_a_time():
     batch = pa.RecordBatch.from_pylist([{"path": "2.docx", "content": b"a"}, {"path": "3.docx", "content": b"b"}])
     assert [b["path"].to_pylist() for b in source_queries._zipped(iter([batch]))] == [["2.zip"], ["3.docx"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_tables_in_part_files_are_one_document(spark, tmp_path):
+    tables = tmp_path / "a b.parquet" / "in"
+    spark.range(10).repartition(3).write.parquet(str(tables / "orders.parquet"))
+    spark.range(1).write.parquet(str(tables / "part.parquet"))
+    for given in (str(tables), f"file://{tables}/"):
+        found = queries.QUERIES["s3_read_documents"](spark, given).collect()
+        assert sorted(map(tuple, found)) == [("orders.parquet", True), ("part.parquet", True)]
