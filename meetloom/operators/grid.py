@@ -230,19 +230,25 @@ def room_metadata(cells: DataFrame) -> DataFrame:
     to a comma, else the line.
     """
     first = cells.where(F.lower("text").contains("meeting rooms")).groupBy("doc_id").agg(F.min_by("text", F.struct(*ROW[1:], "tc_idx")).alias("text"))
-    lines = first.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", T.strip(F.col("line"))).where("line != ''")
-    heading = F.lower("line").contains("meeting rooms")
-    upto = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = lines.withColumn("block", F.sum(heading.cast("int")).over(upto)).where(~heading)
-    inside = F.regexp_extract("line", r".*\(([^)]+)\)", 1)
-    name = F.when(inside != "", T.strip(F.split(inside, ",")[0])).otherwise(F.col("line"))
-    kinds = blocks.groupBy("doc_id", "block").agg(
-        F.bool_or(F.lower("line").contains("off")).alias("off"), F.transform(F.array_sort(F.collect_list(F.struct("i", name.alias("n")))), lambda x: x["n"]).alias("names")
-    )
-    return kinds.groupBy("doc_id").agg(
-        F.max_by(F.when(~F.col("off"), F.col("names")), F.when(~F.col("off"), F.col("block"))).alias("online"),
-        F.max_by(F.when(F.col("off"), F.col("names")), F.when(F.col("off"), F.col("block"))).alias("offline"),
-    )
+    kind = "array<string>"
+    none = F.lit(None).cast(kind)
+
+    def block(names: Column, off: Column, online: Column, offline: Column) -> Column:
+        return F.struct(names.alias("names"), off.alias("off"), online.alias("online"), offline.alias("offline"))
+
+    def ended(acc: Column) -> Column:
+        full = F.size(acc["names"]) > 0
+        return block(F.array().cast(kind), F.lit(False), F.when(full & ~acc["off"], acc["names"]).otherwise(acc["online"]), F.when(full & acc["off"], acc["names"]).otherwise(acc["offline"]))
+
+    def step(acc: Column, line: Column) -> Column:
+        inside = F.regexp_extract(line, r".*\(([^)]+)\)", 1)
+        name = F.when(inside != "", T.strip(F.split(inside, ",")[0])).otherwise(line)
+        more = block(F.concat(acc["names"], F.array(name)), acc["off"] | F.lower(line).contains("off"), acc["online"], acc["offline"])
+        return F.when(F.lower(line).contains("meeting rooms"), ended(acc)).otherwise(more)
+
+    lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
+    blocks = F.aggregate(lines, block(F.array().cast(kind), F.lit(False), none, none), step, ended)
+    return first.select("doc_id", blocks.alias("b")).select("doc_id", "b.online", "b.offline").where("online IS NOT NULL OR offline IS NOT NULL")
 
 
 def location_line(paragraphs: DataFrame) -> DataFrame:

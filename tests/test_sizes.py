@@ -68,3 +68,21 @@ def test_tables_in_part_files_are_one_document(spark, tmp_path):
     for given in (str(tables), f"file://{tables}/"):
         found = queries.QUERIES["s3_read_documents"](spark, given).collect()
         assert sorted(map(tuple, found)) == [("orders.parquet", True), ("part.parquet", True)]
+
+
+def plan_of(spark, name):
+    return queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_room_metadata_keeps_a_row_a_document(spark):
+    plan = plan_of(spark, "a11_room_metadata")
+    assert "Generate" not in plan and "Window" not in plan
+
+
+def test_room_metadata_of_odd_texts(spark):
+    from meetloom.operators import grid
+
+    texts = ["Meeting Rooms", "meeting rooms\n\n a \nMEETING ROOMS\nMeeting rooms\nOff (x, y)\nb", "first\nmeeting rooms off\nc (d) (e)\nmeeting rooms\nf"]
+    cells = spark.createDataFrame([(i, 0, 0, 0, t) for i, t in enumerate(texts)], "doc_id int, table_idx int, row_idx int, tc_idx int, text string")
+    assert sorted(map(tuple, grid.room_metadata(cells).collect())) == [(1, ["a"], ["x", "b"]), (2, ["f"], None)]
