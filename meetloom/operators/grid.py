@@ -159,12 +159,14 @@ def room_positions(rooms: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cell_room_columns(cells: DataFrame, rooms: DataFrame, keys: list[str]) -> DataFrame:
-    """Grid columns of cells with room_from and room_to (J11); 2 to 3 where no room is known."""
-    on = [*keys, "table_index"]
-    hits = cells.join(rooms.select(*on, "room_idx", "pos"), on, "left")
-    mine = F.when(F.col("room_idx").between(F.col("room_from"), F.col("room_to")), F.col("pos"))
-    spans = hits.groupBy(*cells.columns).agg(F.min(mine).alias("lo"), F.max(mine).alias("hi"))
-    return spans.select(*cells.columns, F.coalesce(F.col("lo") + 2, F.lit(2)).alias("col_from"), F.coalesce(F.col("hi") + 3, F.lit(3)).alias("col_to"))
+    """Grid columns of cells with room_from and room_to (J11); 2 to 3 where no room is known.
+
+    A day's rooms are few and come to its cells as one array.
+    """
+    days = rooms.groupBy(*keys).agg(F.collect_list(F.struct("table_index", "room_idx", "pos")).alias("__rooms"))
+    own = F.filter("__rooms", lambda r: (r["table_index"] == F.col("table_index")) & r["room_idx"].between(F.col("room_from"), F.col("room_to")))
+    spans = cells.join(days, keys, "left").withColumn("__pos", F.transform(own, lambda r: r["pos"]))
+    return spans.select(*cells.columns, F.coalesce(F.array_min("__pos") + 2, F.lit(2)).alias("col_from"), F.coalesce(F.array_max("__pos") + 3, F.lit(3)).alias("col_to"))
 
 
 def table_column_colors(cells: DataFrame) -> DataFrame:

@@ -86,3 +86,8 @@ def test_room_metadata_of_odd_texts(spark):
     texts = ["Meeting Rooms", "meeting rooms\n\n a \nMEETING ROOMS\nMeeting rooms\nOff (x, y)\nb", "first\nmeeting rooms off\nc (d) (e)\nmeeting rooms\nf"]
     cells = spark.createDataFrame([(i, 0, 0, 0, t) for i, t in enumerate(texts)], "doc_id int, table_idx int, row_idx int, tc_idx int, text string")
     assert sorted(map(tuple, grid.room_metadata(cells).collect())) == [(1, ["a"], ["x", "b"]), (2, ["f"], None)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_room_columns_keep_a_row_a_cell(spark):
+    assert "min(CASE" not in plan_of(spark, "j11_cell_room_columns")
