@@ -215,28 +215,49 @@ def rooms_from_context(contexts: DataFrame, hints: DataFrame, needed: str = "n_r
     contexts has (meeting_id, context_id, context, n_rooms). Rules: a room's label or a way
     to write it; numbered breakouts; "offline"; "online"; "main session".
     """
-    c = contexts.join(hints, "meeting_id")
-    low, plain = F.lower("context"), T.token_norm(F.col("context"))
+    told = _with_hints(contexts, hints, "inner").withColumn("rooms", _spoken_of(F.col(needed)))
+    return told.where(F.size("rooms") > 0).select("meeting_id", "context_id", "rooms")
+
+
+def _with_hints(contexts: DataFrame, hints: DataFrame, how: str) -> DataFrame:
+    """contexts with what their text has (__plain, __numbers, __offline, __online, __main) and their meeting's rooms (__hints), which are few and come as one array."""
+    nth = F.row_number().over(Window.partitionBy("meeting_id", "role").orderBy("place"))
     tokens = F.filter(F.transform(T.room_alias_tokens(F.col("name")), T.token_norm), lambda t: F.length(t) >= 2)
-    named = F.exists(tokens, lambda t: plain.contains(t))
-    numbers = F.transform(F.regexp_extract_all(low, F.lit(r"(?:brk|break\s*[-_ ]?out)\s*#?\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
-    nth = F.row_number().over(Window.partitionBy("context_id", "meeting_id", "role").orderBy("place"))
-    c = c.withColumn("nth", nth)
-    at = F.array_position(numbers, F.when(F.col("role") == "breakout", F.col("nth")))
-    online = F.col("role").isin("main", "breakout")
-    rule = (
-        F.when(named, F.struct(F.lit(1).alias("rule"), F.col("place").alias("k")))
-        .when(at > 0, F.struct(F.lit(2).alias("rule"), at.cast("int").alias("k")))
-        .when((F.col("role") == "offline") & low.rlike(r"\boffline\b|offline session schedule"), F.struct(F.lit(3).alias("rule"), F.col("place").alias("k")))
-        .when(online & low.rlike(r"\bonline\b|online session schedule") & ((F.col(needed) > 1) | (F.col("role") == "main")), F.struct(F.lit(4).alias("rule"), F.col("place").alias("k")))
-        .when((F.col("role") == "main") & low.contains("main session"), F.struct(F.lit(5).alias("rule"), F.col("place").alias("k")))
-    )
-    hits = c.withColumn("r", rule).where("r IS NOT NULL")
-    found = F.array_sort(F.collect_list(F.struct(F.col("r.rule").alias("rule"), F.col("r.k").alias("k"), "name")))
-    listed = hits.groupBy("meeting_id", "context_id", needed).agg(found.alias("found"))
-    best = F.filter("found", lambda x: x["rule"] == F.col("found")[0]["rule"])  # sorted, so the first has the best rule
-    listed = listed.withColumn("rooms", F.transform(best, lambda x: x["name"]))
-    return listed.select("meeting_id", "context_id", F.slice("rooms", 1, F.greatest(F.col(needed), F.lit(1))).alias("rooms"))
+    told = hints.select("meeting_id", "place", "name", "role", nth.alias("nth"), tokens.alias("tokens"))
+    rooms = told.groupBy("meeting_id").agg(F.collect_list(F.struct("place", "name", "role", "nth", "tokens")).alias("__hints"))
+    low = F.lower("context")
+    marks = {
+        "__plain": T.token_norm(F.col("context")),
+        "__numbers": F.transform(F.regexp_extract_all(low, F.lit(r"(?:brk|break\s*[-_ ]?out)\s*#?\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("int")),
+        "__offline": low.rlike(r"\boffline\b|offline session schedule"),
+        "__online": low.rlike(r"\bonline\b|online session schedule"),
+        "__main": low.contains("main session"),
+    }
+    return contexts.withColumns(marks).join(rooms, "meeting_id", how)
+
+
+def _spoken_of(needed: Column) -> Column:
+    """Names of the rooms in __hints that a text's marks speak of, by the first rule with a hit."""
+
+    def hit(r: Column) -> Column:
+        named = F.exists(r["tokens"], lambda t: F.col("__plain").contains(t))
+        at = F.array_position("__numbers", F.when(r["role"] == "breakout", r["nth"]))
+        online = r["role"].isin("main", "breakout") & F.col("__online") & ((needed > 1) | (r["role"] == "main"))
+
+        def by(rule: int, k: Column) -> Column:
+            return F.struct(F.lit(rule).alias("rule"), k.alias("k"), r["name"].alias("name"))
+
+        return (
+            F.when(named, by(1, r["place"]))
+            .when(at > 0, by(2, at.cast("int")))
+            .when((r["role"] == "offline") & F.col("__offline"), by(3, r["place"]))
+            .when(online, by(4, r["place"]))
+            .when((r["role"] == "main") & F.col("__main"), by(5, r["place"]))
+        )
+
+    found = F.array_sort(F.filter(F.transform("__hints", hit), lambda x: x.isNotNull()))
+    best = F.transform(F.array(found), lambda all_: F.transform(F.filter(all_, lambda x: x["rule"] == all_[0]["rule"]), lambda x: x["name"]))[0]  # sorted, so the first has the best rule
+    return F.slice(best, 1, F.greatest(needed, F.lit(1)))
 
 
 def resolve_generic_rooms(tables: DataFrame, hints: DataFrame) -> DataFrame:
@@ -246,11 +267,12 @@ def resolve_generic_rooms(tables: DataFrame, hints: DataFrame) -> DataFrame:
     "Offline .." and a context get the rooms the context speaks of, filled up by their own.
     """
     generic = F.exists("rooms", lambda r: r.startswith("Room ") | r.startswith("Offline "))
-    asked = tables.where(generic & (T.strip(F.coalesce("context", F.lit(""))) != "")).withColumn("n_rooms", F.size("rooms"))
-    found = rooms_from_context(asked, hints).withColumnRenamed("rooms", "__found")
+    asked = generic & (T.strip(F.coalesce("context", F.lit(""))) != "")
     n = F.size("rooms")
-    filled = F.slice(F.concat("__found", F.when(F.size("__found") < n, F.slice("rooms", F.size("__found") + 1, n)).otherwise(F.array().cast("array<string>"))), 1, n)
-    return tables.join(found, ["meeting_id", "context_id"], "left").withColumn("rooms", F.coalesce(filled, "rooms")).drop("__found")
+    told = _with_hints(tables.withColumn("__asked", asked), hints, "left").withColumn("__found", F.when(F.col("__asked"), _spoken_of(n)))
+    more = F.when(F.size("__found") < n, F.slice("rooms", F.size("__found") + 1, n)).otherwise(F.array().cast("array<string>"))
+    filled = F.when(F.size("__found") > 0, F.slice(F.concat("__found", more), 1, n))
+    return told.select(*[F.coalesce(filled, "rooms").alias("rooms") if c == "rooms" else F.col(c) for c in tables.columns])
 
 
 def reuse_timezone(meetings: DataFrame, state: DataFrame, places: DataFrame) -> DataFrame:

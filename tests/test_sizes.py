@@ -91,3 +91,11 @@ def test_room_metadata_of_odd_texts(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_room_columns_keep_a_row_a_cell(spark):
     assert "min(CASE" not in plan_of(spark, "j11_cell_room_columns")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["j13_rooms_from_context", "j14_resolve_generic_rooms"])
+def test_rooms_of_contexts_keep_a_row_a_context(spark, name):
+    plan = plan_of(spark, name)
+    assert not any("Window" in line and "context_id" in line for line in plan.split("\n"))
+    assert not any("Aggregate" in line and "context_id" in line for line in plan.split("\n"))
