@@ -46,7 +46,8 @@ def merge_slots(labelled: DataFrame) -> DataFrame:
     """
     text, is_main = T.strip(F.col("text")), F.col("source") == 0
     slot, same = Window.partitionBy(*SLOT), Window.partitionBy(*SLOT, "__text")
-    marked = labelled.withColumn("__text", text).withColumns({"__slot": F.bool_or(is_main).over(slot), "__known": F.bool_or(is_main).over(same) & F.col("__text").isNotNull()})
+    marked = labelled.withColumn("__text", text).withColumn("__known", F.bool_or(is_main).over(same) & F.col("__text").isNotNull())
+    marked = marked.withColumn("__slot", F.bool_or(is_main).over(slot))  # after the narrower window, whose order serves it
     kept = marked.where(is_main | (F.col("__slot") & ~F.col("__known")))
     prefixed = ~is_main & F.coalesce(F.array_contains("main_rooms", F.col("room_label")), F.lit(False))
     kept = kept.withColumn("room_label", F.when(prefixed, F.concat("person", F.lit(": "), "room_label")).otherwise(F.col("room_label")))

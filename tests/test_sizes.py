@@ -99,3 +99,17 @@ def test_rooms_of_contexts_keep_a_row_a_context(spark, name):
     plan = plan_of(spark, name)
     assert not any("Window" in line and "context_id" in line for line in plan.split("\n"))
     assert not any("Aggregate" in line and "context_id" in line for line in plan.split("\n"))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_merged_slots_are_sorted_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = queries.QUERIES["j4_j6_merge_slots"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [x.strip(" :+-*(0123456789)") for x in plan.split("\n")]
+    assert sum(x.startswith("Sort [meeting_id") and " tb#" in x for x in lines) == 1, plan
+    assert sum(x.startswith("Exchange") for x in lines) <= 4, plan
