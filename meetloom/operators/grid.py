@@ -178,8 +178,8 @@ def table_column_colors(cells: DataFrame) -> DataFrame:
     inside = _in_table(cells).where("row_idx > 0").withColumns({"__inner": _is_inner(), "__day1": F.col("__days")[0]["day"], "d": F.explode(_days_of())})
     colored = F.when(F.col("col_start") > 0, F.struct("col_start", fill.alias("f")))
     rows = inside.groupBy(*ROW, "d.day", "d.day_start", "__day1").agg(F.transform(F.array_sort(F.collect_list(colored)), lambda c: c["f"]).alias("colors"), F.count_if("__inner").alias("n"))
-    numbered = F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    same = F.exists(numbered, lambda x: F.exists(numbered, lambda y: (y["i"] > x["i"]) & T.colors_match(x["c"], y["c"])))
+    read = F.transform("colors", lambda c, i: F.struct(c.alias("c"), i.alias("i"), F.array(*[T.channel(c, k) for k in range(3)]).alias("rgb")))  # once a colour, not once a pair
+    same = F.transform(F.array(read), lambda n: F.exists(n, lambda x: F.exists(n, lambda y: (y["i"] > x["i"]) & T.channels_match(x, y))))[0]
     rows = rows.withColumns({"n_rooms": F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(*TABLE, "day"))), "first": F.greatest(F.lit(1), F.max(F.when(F.col("day") == F.col("__day1"), F.col("n"))).over(Window.partitionBy(*TABLE)))})
     full = rows.where((F.size("colors") == F.col("n_rooms")) & ~same)
     return full.groupBy(*TABLE).agg(F.min_by("colors", F.struct("row_idx", "day_start")).alias("colors"), F.first("first").cast("int").alias("n_rooms"))
