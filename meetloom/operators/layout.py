@@ -22,9 +22,11 @@ def layout_block(sessions: DataFrame) -> DataFrame:
     rooms (the day's names in order).
     """
     n = F.size("rooms")
-    start = T.grid_row(F.col("start_time"))
-    end = T.grid_row(F.col("end_time"))
-    rows = sessions.withColumn("row_start", start).withColumn("row_end", F.when((end <= start) & (F.col("duration_minutes") > 0), start + 1).otherwise(end))
+    # read once, by a generator: as plain columns the filter would repeat them below, in code too long to be compiled
+    times = F.struct(T.minutes(F.col("start_time")).alias("__from"), T.minutes(F.col("end_time")).alias("__to"))
+    rows = sessions.select("*", F.inline(F.array(times)))
+    rows = rows.withColumns({"row_start": T.row_of(F.col("__from")), "row_end": T.row_of(F.col("__to"))})
+    rows = rows.withColumn("row_end", F.when((F.col("row_end") <= F.col("row_start")) & (F.col("duration_minutes") > 0), F.col("row_start") + 1).otherwise(F.col("row_end")))
     rows = rows.where(F.col("row_end") > F.col("row_start"))
     low, high = F.greatest("room_col_start", F.lit(2)), F.least("room_col_end", n + 2)
     empty = low >= high
@@ -38,11 +40,11 @@ def layout_block(sessions: DataFrame) -> DataFrame:
             "show_chair": (F.col("slots") >= 3) & (chair != ""),
             "show_time": F.col("slots") >= 4,
             "show_agenda": (F.col("slots") >= 6) & (item != ""),
-            "is_long": T.crosses_block(F.col("start_time"), F.col("end_time")),
+            "is_long": T.crosses_block(F.col("__from"), F.col("__to")),
             "room_names": F.coalesce(F.array_join(span, ", "), F.lit("")),
             "data_ai": F.array_join(F.coalesce(T.agenda_list(F.col("agenda_item")), F.array()), "|"),
         }
-    )
+    ).drop("__from", "__to")
 
 
 def facet_rows(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:

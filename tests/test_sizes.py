@@ -113,3 +113,10 @@ def test_merged_slots_are_sorted_once(spark):
     lines = [x.strip(" :+-*(0123456789)") for x in plan.split("\n")]
     assert sum(x.startswith("Sort [meeting_id") and " tb#" in x for x in lines) == 1, plan
     assert sum(x.startswith("Exchange") for x in lines) <= 4, plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_layout_reads_times_once(spark):
+    """Else the filter repeats them below, in code that is too long for Java to compile."""
+    filters = [line for line in plan_of(spark, "f19_f20_layout").split("\n") if "Filter" in line]
+    assert not any("split" in line for line in filters)
