@@ -41,10 +41,15 @@ def apply_group_mapping(sessions: DataFrame, mappings: DataFrame, key: str = "me
 
     A meeting with one different group at most stays as it is.
     """
-    last = mappings.groupBy(key, "original").agg(F.max_by("simplified", "ord").alias("__simple"))
-    several = sessions.where("group_header != ''").groupBy(key).agg(F.min("group_header").alias("a"), F.max("group_header").alias("b")).where("a != b").select(key)
-    last = last.join(several, key, "left_semi").withColumnRenamed("original", "group_header")
-    return sessions.join(last, [key, "group_header"], "left").withColumn("group_header", F.coalesce("__simple", "group_header")).drop("__simple")
+    its = Window.partitionBy(key, "group_header")
+    group = F.when(F.col("__place").isNull() & (F.col("group_header") != ""), F.col("group_header"))
+    told = mappings.where("original IS NOT NULL").select(key, F.struct("ord", "simplified").alias("__place"), F.col("original").alias("group_header"))
+    dealt = sessions.withColumn("__place", F.lit(None).cast(told.schema["__place"].dataType)).unionByName(told, allowMissingColumns=True).repartition(key)
+    seen = dealt.withColumns({"__simple": F.max_by("__place.simplified", "__place.ord").over(its), "__least": F.min(group).over(its)})
+    all_ = Window.partitionBy(key)
+    several = F.col(key).isNotNull() & (F.min("__least").over(all_) != F.max("__least").over(all_))
+    mapped = seen.withColumn("__several", several).where("__place IS NULL").withColumn("group_header", F.when(F.col("__several"), F.coalesce("__simple", "group_header")).otherwise(F.col("group_header")))
+    return mapped.select(*sessions.columns)
 
 
 def elect_groups(sessions: DataFrame, key: str = "meeting_id", order: str = "ord") -> DataFrame:
@@ -53,24 +58,21 @@ def elect_groups(sessions: DataFrame, key: str = "meeting_id", order: str = "ord
     Of "X / Y / Z" that is X, if X is a label itself or begins several labels; else the first
     other part that is a label or begins one; else X. A label that exists is preferred to
     another spelling of it (of several spellings the first). What is yet to be assigned is TBD.
-    A meeting's labels are few and come to each of them as one array.
+    What a label's parts meet, other labels and their first parts, is told by windows over equal
+    words, so the work grows with the labels and not with their square.
     """
-    labels = sessions.where(_group() != "").groupBy(key, F.col("group_header").alias("original")).agg(F.min(order).alias(order))
-    all_ = Window.partitionBy(key)
-    part = F.split("original", " / ")
-    told = labels.withColumns({"__labels": F.array_sort(F.collect_list("original").over(all_)), "__tops": F.collect_list(F.lower(part[0])).over(all_)})
-
-    def spelled(p: Column) -> Column:
-        return F.try_element_at(F.filter("__labels", lambda x: F.lower(x) == F.lower(p)), F.lit(1))
-
-    def begun(p: Column) -> Column:
-        return F.size(F.filter("__tops", lambda x: x == F.lower(p)))
-
-    first = part[0]
-    others = F.filter(F.slice(part, 2, F.size(part)), lambda p: spelled(p).isNotNull() | (begun(p) > 0))
-    chosen = F.when(spelled(first).isNotNull() | (begun(first) > 1), first).otherwise(F.coalesce(F.try_element_at(others, F.lit(1)), first))
-    simple = F.when(T.group_label(F.col("original")) == "TBD", "TBD").otherwise(F.coalesce(spelled(F.col("__chosen")), F.col("__chosen")))
-    return told.withColumn("__chosen", chosen).select(key, order, "original", simple.alias("simplified"))
+    labels = sessions.where(_group() != "").repartition(key).groupBy(key, F.col("group_header").alias("original")).agg(F.min(order).alias(order))
+    parts = F.transform(F.split("original", " / "), lambda p, i: F.struct(i.alias("place"), p.alias("part"), F.lower(p).alias("word"), F.lit(None).cast("string").alias("label")))
+    itself = F.struct(F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("part"), F.lower("original").alias("word"), F.col("original").alias("label"))
+    same = Window.partitionBy(key, "word")
+    words = labels.select(key, order, "original", F.inline(F.concat(parts, F.array(itself))))
+    words = words.withColumns({"spelled": F.min("label").over(same), "begun": F.count_if(F.col("place") == 0).over(same)}).where("place IS NOT NULL")
+    first, known = F.col("place") == 0, F.col("spelled").isNotNull()
+    other = F.when(~first & (known | (F.col("begun") > 0)), F.col("place"))
+    rank = F.when(first, F.when(known | (F.col("begun") > 1), 0).otherwise(2**31 - 1)).otherwise(other)
+    best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.coalesce("spelled", "part").alias("s"))))["s"]
+    elected = words.groupBy(key, "original").agg(F.min(order).alias(order), best.alias("best"))
+    return elected.select(key, order, "original", F.when(T.group_label(F.col("original")) == "TBD", "TBD").otherwise(F.col("best")).alias("simplified"))
 
 
 def _group() -> Column:

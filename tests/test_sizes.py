@@ -120,3 +120,21 @@ def test_layout_reads_times_once(spark):
     """Else the filter repeats them below, in code that is too long for Java to compile."""
     filters = [line for line in plan_of(spark, "f19_f20_layout").split("\n") if "Filter" in line]
     assert not any("split" in line for line in filters)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_labels_are_not_compared_with_all_of_their_meeting(spark):
+    assert "collect_list" not in plan_of(spark, "f26_label_election")
+    plan = plan_of(spark, "f26_j7_simplified_groups")
+    assert not any(kind in plan for kind in ("LeftOuter", "LeftSemi"))
+
+
+def test_mapping_of_odd_meetings(spark):
+    """A meeting without a key, one with one group, a mapping of no group and one that maps to nothing."""
+    from meetloom.operators import timeline
+
+    sessions = spark.createDataFrame([(None, 1, "A"), (None, 2, "B"), (1, 3, "A"), (1, 4, ""), (2, 5, "A"), (2, 6, "B"), (2, 7, None), (2, 8, "C")], "meeting_id long, ord long, group_header string")
+    rows = [(m, o, g, s) for m in (None, 1, 2) for o, g, s in ((1, "A", "x"), (2, "A", "y"), (3, None, "z"), (4, "C", None), (5, "D", "d"))]
+    got = timeline.apply_group_mapping(sessions, spark.createDataFrame(rows, "meeting_id long, ord long, original string, simplified string"))
+    assert got.columns == sessions.columns
+    assert {r.ord: r.group_header for r in got.collect()} == {1: "A", 2: "B", 3: "A", 4: "", 5: "y", 6: "B", 7: None, 8: "C"}
