@@ -173,7 +173,7 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = view(spark, sf_dir, "sessions").select("meeting_id", "ord", "name", "start_time", "end_time")
     path = shared_path(spark, "schedule")
     state.write_schedule(sessions, path)
-    return spark.read.parquet(path).select("meeting_id", "ord", "name", "start_time", "end_time")
+    return state.read_schedule(spark, path).select(F.col("meeting_id").cast("int").alias("meeting_id"), "ord", "name", "start_time", "end_time")
 
 
 QUERIES["s8_write_schedule"] = s8

@@ -138,3 +138,27 @@ def test_mapping_of_odd_meetings(spark):
     got = timeline.apply_group_mapping(sessions, spark.createDataFrame(rows, "meeting_id long, ord long, original string, simplified string"))
     assert got.columns == sessions.columns
     assert {r.ord: r.group_header for r in got.collect()} == {1: "A", 2: "B", 3: "A", 4: "", 5: "y", 6: "B", 7: None, 8: "C"}
+
+
+def test_meetings_of_a_schedule_share_files(spark, tmp_path):
+    from meetloom.sources import state
+
+    path = str(tmp_path / "schedule")
+    state.write_schedule(spark.range(500).selectExpr("id % 300 AS meeting_id", "id AS ord").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS meeting_id, 500L AS ord")), path)
+    assert sum(f.endswith(".parquet") for _, _, files in os.walk(path) for f in files) <= 10
+    assert sorted(r.ord for r in state.read_schedule(spark, path).collect()) == list(range(501))
+    state.write_schedule(spark.sql("SELECT * FROM VALUES (7L, 1000L), (CAST(NULL AS LONG), 1001L) AS t(meeting_id, ord)"), path)
+    assert sorted(r.ord for r in state.read_schedule(spark, path).collect()) == [*(i for i in range(500) if i % 300 != 7), 1000, 1001]
+
+
+def test_versions_do_not_pile_up(spark, tmp_path, monkeypatch):
+    from meetloom.sources import state
+
+    monkeypatch.setattr(state, "COMPACT", 2)
+    path = str(tmp_path / "p")
+    for n in range(5):
+        other = spark.range(3).selectExpr("id AS meeting_id", f"{n} AS w").where("false" if n == 4 else f"meeting_id <= {n}")
+        state.publish({"one": spark.range(3).selectExpr("id AS meeting_id", f"{n} AS v").where(f"meeting_id % 3 = {n % 3}"), "two": other}, path)
+    assert sorted(map(tuple, state.read_published(spark, path, "one").collect())) == [(0, 3), (1, 4)]
+    assert sorted(map(tuple, state.read_published(spark, path, "two").collect())) == [(0, 3), (2, 3)]
+    assert len(os.listdir(f"{path}/one")) <= 5
