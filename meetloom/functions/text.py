@@ -186,6 +186,12 @@ def is_error_page(content: Column, length: Column, listing: Column | bool = Fals
 
 def natural_key(s: Column) -> Column:
     """A sort key with digit runs of any length compared as numbers, the rest in lower case (O3)."""
-    parts = F.regexp_extract_all(F.lower(s), F.lit(r"(\d+|\D+)"), F.lit(1))
-    keys = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number_key(p)).otherwise(p))
-    return F.when(s.rlike(r"^\d"), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
+    low = F.lower(s)
+    parts = F.regexp_extract_all(low, F.lit(r"(\d+|\D+)"), F.lit(1))
+    keys = F.transform(parts, lambda p: F.when(_digit_first(p), number_key(p)).otherwise(p))
+    keys = F.when(_digit_first(low), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
+    return F.when(~low.rlike(r"\d") & (low != ""), F.array(low)).otherwise(keys)
+
+
+def _digit_first(s: Column) -> Column:
+    return (s >= "0") & (s < ":")  # the character after 9

@@ -51,19 +51,19 @@ def facet_rows(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:
     """(key, grp, name, ais, has_no_ai): the facet tree's sessions (A4) as rows, ais in natural order."""
     group = F.coalesce("group_header", F.lit(""))
     items = sessions.select(key, group.alias("grp"), "name", F.coalesce(F.nullif("agenda_item", F.lit("")), F.lit("")).alias("item"))
-    ais = F.array_distinct(F.flatten(F.collect_set(F.coalesce(T.agenda_list(F.col("item")), F.array()))))
-    sets = items.groupBy(key, "grp", "name").agg(ais.alias("ais"), F.bool_or(F.col("item") == "").alias("none"))
+    sets = items.groupBy(key, "grp", "name").agg(F.collect_set("item").alias("l"))
+    sets = sets.select(key, "grp", "name", F.array_distinct(F.flatten(F.transform("l", T.agenda_list))).alias("ais"), F.array_contains("l", "").alias("none"))
     return sets.select(key, "grp", "name", natural_sorted(F.col("ais")).alias("ais"), (F.col("none") & (F.size("ais") > 0)).alias("has_no_ai"))
 
 
 def natural_sorted(values: F.Column) -> F.Column:
     keyed = F.transform(values, lambda v: F.struct(T.natural_key(v).alias("k"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+    return F.when(F.size(values) < 2, values).otherwise(F.transform(F.array_sort(keyed), lambda x: x["v"]))
 
 
 def facet_tree(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:
-    """The facet tree as one JSON text per meeting (A4, A5)."""
-    rows = facet_rows(sessions, key)
+    """The facet tree as one JSON text per meeting (A4, A5). Sessions are dealt by meeting once, for all its levels."""
+    rows = facet_rows(sessions.repartition(key), key)
     entry = F.struct("name", F.concat_ws("|", "name", "grp").alias("key"), "ais", F.when(F.col("has_no_ai"), True).alias("hasNoAI"))
     session = F.struct(T.natural_key(F.col("name")).alias("k"), F.col("name").alias("n"), entry.alias("v"))
     named = F.when(F.col("grp") == "", "Other").otherwise(F.col("grp"))

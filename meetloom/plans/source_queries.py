@@ -182,8 +182,9 @@ ORACLE_SQL["s8_write_schedule"] = with_views("SELECT CAST(meeting_id AS INTEGER)
 
 def s8_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions, their layout and the facets of all meetings, then of every third one again, shorter."""
-    path = shared_path(spark, "published")
-    sessions = view(spark, sf_dir, "sessions").withColumn("rooms", F.array(F.lit("R1"), F.lit("R2")))
+    path, made = shared_path(spark, "published"), shared_path(spark, "sessions")
+    view(spark, sf_dir, "sessions").write.parquet(made)  # once, as six tables are made of them
+    sessions = spark.read.parquet(made).withColumn("rooms", F.array(F.lit("R1"), F.lit("R2")))
 
     def tables(some: DataFrame) -> dict[str, DataFrame]:
         laid = layout.layout_block(some).select("meeting_id", "ord", "row_start", "row_end", "col_start", "col_end")

@@ -162,3 +162,28 @@ def test_versions_do_not_pile_up(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, state.read_published(spark, path, "one").collect())) == [(0, 3), (1, 4)]
     assert sorted(map(tuple, state.read_published(spark, path, "two").collect())) == [(0, 3), (2, 3)]
     assert len(os.listdir(f"{path}/one")) <= 5
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_published_tables_are_made_of_sessions_made_once(spark, monkeypatch):
+    given = []
+    publish = source_queries.state.publish
+    monkeypatch.setattr(source_queries.state, "publish", lambda tables, path: given.extend(tables.values()) or publish(tables, path))
+    queries.QUERIES["s8_publish_together"](spark, DATA)
+    assert len(given) == 6 and not any(DATA in file for table in given for file in table.inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_facet_tree_deals_sessions_once(spark):
+    assert exchanges(spark, "a4_facet_tree") == 4  # three of them of the view: items, and its join's two sides
+
+
+def exchanges(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return sum(x.strip(" :+-*(0123456789)").startswith("Exchange") for x in plan.split("\n"))
