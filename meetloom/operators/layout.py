@@ -81,43 +81,32 @@ def distinct_ais(sessions: DataFrame, key: str = "meeting_id") -> DataFrame:
     return sets.select(key, F.posexplode(natural_sorted(F.col("ais"))).alias("place", "ai"))
 
 
-def expanded_choice(rows: DataFrame, ais: list[str], keys: list[str], no_ai_keys: list[str], groups: list[str], sessions: list[str], key: str = "meeting_id") -> DataFrame:
-    """Facet rows with what is chosen in their meeting (__ais, __keys, __bare).
-
-    A chosen group (by name, or __other__) chooses its sessions. A chosen session chooses its
-    agenda items, and what it has without one; or itself, if it has none.
-    """
-    given = [F.array(*[F.lit(x) for x in c]).cast("array<string>") for c in (ais, keys, no_ai_keys)]
-    own, group = F.concat_ws("|", "name", "grp"), F.when(F.col("grp") == "", "__other__").otherwise(F.col("grp"))
-    picked = own.isin(sessions) | group.isin(groups)
-    meeting = Window.partitionBy(key)
-    with_items = F.size("ais") > 0
-    more = (
-        F.flatten(F.collect_list(F.when(picked, F.col("ais"))).over(meeting)),
-        F.collect_list(F.when(picked & ~with_items, own)).over(meeting),
-        F.collect_list(F.when(picked & with_items & F.col("has_no_ai"), own)).over(meeting),
-    )
-    return rows.withColumns({name: F.array_union(a, b) for name, a, b in zip(("__ais", "__keys", "__bare"), given, more, strict=True)})
-
-
 def apply_facets(sessions: DataFrame, ais: list[str], keys: list[str], no_ai_keys: list[str], key: str = "meeting_id", groups: list[str] | None = None, session_keys: list[str] | None = None) -> DataFrame:
     """Sessions that chosen facets let through (P11); choices are lists a user made, nothing chosen keeps all.
 
-    Groups and sessions (session_keys) choose what the tree has under them, meeting by meeting;
-    of a meeting without any of the chosen nothing is kept.
+    Groups (by name, or __other__) and sessions (session_keys) choose what the tree has under
+    them, meeting by meeting: a group its sessions, a session its agenda items, and what it has
+    without one; or itself, if it has none. Of a meeting without any of the chosen nothing is
+    kept. Sessions are dealt by meeting once; the tree's rows are windows over them, and only a
+    meeting's chosen agenda items come to each.
     """
     if not (ais or keys or no_ai_keys or groups or session_keys):
         return sessions
-    chosen, wanted, bare = F.col("__ais"), F.col("__keys"), F.col("__bare")
-    rows = expanded_choice(facet_rows(sessions, key), ais, keys, no_ai_keys, groups or [], session_keys or [], key)
-    own = F.concat_ws("|", "name", "grp")
-    derived = (F.size(chosen) > 0) & (F.size("ais") > 0) & F.forall("ais", lambda a: F.array_contains(chosen, a)) & (~F.col("has_no_ai") | F.array_contains(bare, own))
-    passed = rows.withColumn("__passed", F.array_contains(wanted, own) | derived).select(key, F.col("grp").alias("__grp"), F.col("name").alias("__name"), "__passed", "__ais", "__keys", "__bare")
-    items = F.coalesce(T.agenda_list(F.col("agenda_item")), F.array())
-    label = F.concat_ws("|", "name", F.coalesce("group_header", F.lit("")))
-    joined = sessions.join(passed.withColumnRenamed(key, "__key"), (F.col(key) == F.col("__key")) & (F.coalesce("group_header", F.lit("")) == F.col("__grp")) & (F.col("name") == F.col("__name")))
-    kept = joined.where(F.col("__passed") | F.arrays_overlap(items, chosen) | ((F.size(items) == 0) & F.array_contains(bare, label)))
-    return kept.select(*sessions.columns)
+    group = F.coalesce("group_header", F.lit(""))
+    items = F.coalesce(T.agenda_list(F.col("agenda_item")), F.array().cast("array<string>"))
+    known = sessions.where(F.col(key).isNotNull() & F.col("name").isNotNull())
+    rows = known.withColumns({"__grp": group, "__own": F.concat_ws("|", "name", group), "__items": items, "__none": F.coalesce("agenda_item", F.lit("")) == ""}).repartition(key)
+    # from the finest on, so that one order serves all; different sessions may have one key
+    meeting, same, facet = (Window.partitionBy(key, *more) for more in ((), ("__own",), ("__own", "__grp", "name")))
+    rows = rows.withColumns({"__ais": F.flatten(F.collect_set("__items").over(facet)), "__bare": F.bool_or("__none").over(facet)})
+    own, has = F.col("__own"), F.size("__ais") > 0
+    picked = own.isin(session_keys or []) | F.when(F.col("__grp") == "", "__other__").otherwise(F.col("__grp")).isin(groups or [])
+    rows = rows.withColumns({"__wanted": own.isin(keys) | F.bool_or(picked & ~has).over(same), "__without": own.isin(no_ai_keys) | F.bool_or(picked & has & F.col("__bare")).over(same)})
+    given = F.array(*[F.lit(x) for x in ais]).cast("array<string>")
+    rows = rows.withColumn("__chosen", F.array_union(given, F.flatten(F.collect_set(F.when(picked, F.col("__items"))).over(meeting))))
+    chosen, wanted, without = F.col("__chosen"), F.col("__wanted"), F.col("__without")
+    derived = has & (F.size(F.array_except("__ais", chosen)) == 0) & (~F.col("__bare") | without)
+    return rows.where(wanted | derived | F.arrays_overlap("__items", chosen) | ((F.size("__items") == 0) & without)).select(*sessions.columns)
 
 
 def day_schedule(sessions: DataFrame, rooms: DataFrame, key: str = "meeting_id", order: str = "ord") -> DataFrame:

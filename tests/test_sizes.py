@@ -187,3 +187,19 @@ def exchanges(spark, name):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     return sum(x.strip(" :+-*(0123456789)").startswith("Exchange") for x in plan.split("\n"))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["p11_expanded_choice", "p11_apply_facets"])
+def test_facets_are_windows_over_sessions(spark, name):
+    assert exchanges(spark, name) == 4 and plan_of(spark, name).count("Join") == 1  # of items with their parts
+
+
+def test_different_sessions_of_one_key(spark):
+    """Both are "a|b|c": what one has without an item is chosen by the key, so is the other's."""
+    from meetloom.operators import layout
+
+    rows = [(1, "a|b", None, "c"), (1, "a", "9.1", "b|c"), (1, "a", None, "b|c"), (None, "a|b", None, "c"), (1, None, None, "c")]
+    sessions = spark.createDataFrame(rows, "meeting_id long, name string, agenda_item string, group_header string")
+    got = layout.apply_facets(sessions, [], [], [], groups=["c"]).collect()
+    assert sorted((r["name"], r.agenda_item or "") for r in got) == [("a", ""), ("a", "9.1"), ("a|b", "")]
