@@ -196,6 +196,53 @@ def test_a_hot_anchor_takes_a_row_a_chunk():
     assert sum(len(r["payload"]) // 5 for r in rows if r["bucket"] >= 0 and r["block_id"] >= 0) == 20 * 50 - 1
 
 
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 240])
+def test_rows_are_of_chunks_and_buckets(spark, monkeypatch, group):
+    """However many blocks a chunk has, it exchanges a row or two with a bucket; what it sends may go in groups of blocks."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = np.random.default_rng(5)
+    lines = ["".join(chr(c) for c in rng.integers(97, 123, 150)) for _ in range(60)]
+    corpus = [(int(i), "".join(lines[j] for j in rng.integers(0, 60, 2)) + "é" * int(i % 3)) for i in rng.permutation(200)]
+    counts, dealt = [], suffix_dedup._dealt
+    monkeypatch.setattr(suffix_dedup, "_dealt", lambda rows, *order: (counts.append(rows.where("bucket >= 0").count()), dealt(rows, *order))[1])
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == brute_removal(corpus)
+    blocks, buckets = 200, 4  # a document is over half a block
+    chunks = -(-blocks // suffix_dedup.CHUNK)
+    assert len(counts) == 2 and counts[0] <= 2 * chunks * buckets
+    assert counts[1] <= chunks * buckets if group != 240 else chunks * buckets < counts[1] <= blocks * buckets
+
+
+@pytest.mark.parametrize("most", [1, 1000, 1 << 40])
+def test_equal_contexts_are_sorted_once(most):
+    """Copies of a context take the place of one in the sort, and bits go to each of them."""
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 123, 3000).astype(np.uint8)
+
+    def sent(doc_id, data):
+        block = suffix_dedup.Block(suffix_dedup._pack(np.array([doc_id], np.int64), np.zeros(1, np.uint8), np.array([len(data)], np.int64), data))
+        a, low, _ = block.contexts(np.arange(len(block.first)))
+        first, windows = block.first[a], block.last[a] - block.first[a] + 1
+        return [(block.anchor[a] - first).astype(np.uint8), windows.astype(np.uint8), low, block.data[suffix_dedup._ragged(first, windows + 49)]]
+
+    parts = [sent(7, text), sent(5, text[100:2000]), sent(9, text)]
+    found, different = np.zeros(sum(len(p[1]) for p in parts), object), 0
+    for i, w in suffix_dedup.windows_of(parts, most=most):
+        different += len(w.x)
+        for j, bits in zip(i.tolist(), np.split(w.smaller(w.all()), np.cumsum(w.windows)[:-1]), strict=True):
+            found[j] = int(bits.sum())
+    assert 2951 <= different < 3100  # of 7,753; the cut document has other contexts at its ends
+    of = np.repeat([0, 1, 2], [len(p[1]) for p in parts])
+    assert [int(found[of == k].sum()) for k in range(3)] == [1851, 0, 2951]
+
+
+def test_blocks_take_their_bits_in_turn():
+    bits = suffix_dedup.Bits(4, [(2, np.packbits([1, 0, 1, 1, 0, 0, 1]).tobytes()), (0, np.packbits([0, 1, 1]).tobytes())])
+    assert bits.take(np.array([2, 0, 3, 2]), np.array([2, 1, 2, 1])).tolist() == [True, False, False, False, False, True]
+    assert bits.take(np.array([1, 0, 2]), np.array([1, 2, 4])).tolist() == [False, True, True, True, False, False, True]
+
+
 def test_suffix_classes_against_sets():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
